@@ -29,6 +29,8 @@ HEAVY_KEYS = 100_000
 _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
 
+_WHOLE_GROUP = (Window.unboundedPreceding, Window.unboundedFollowing)
+
 
 @dataclass(frozen=True)
 class Heavy:
@@ -86,6 +88,11 @@ def first_of(column: str) -> Metric:
     return Metric("first", column)
 
 
+def last_of(column: str) -> Metric:
+    """Value of the last row of the group."""
+    return Metric("last", column)
+
+
 def next_of(column: str) -> Metric:
     """Value of the following row; null on the last."""
     return Metric("next", column)
@@ -141,13 +148,16 @@ def _by_window(df, keys, order, peer_order, metrics) -> DataFrame:
     rows = Window.partitionBy(*keys).orderBy(*order)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
     made = {}
-    for name, metric in metrics.items():
+    # Ranks last: their order is a prefix of the row order, so the rows are sorted only once.
+    for name, metric in sorted(metrics.items(), key=lambda item: item[1].kind == "ranked"):
         if metric.kind == "numbered":
             made[name] = F.row_number().over(rows).cast("long")
         elif metric.kind == "ranked":
             made[name] = F.rank().over(Window.partitionBy(*keys).orderBy(*peer_order)).cast("long")
         elif metric.kind == "first":
             made[name] = F.first(metric.column).over(rows)
+        elif metric.kind == "last":
+            made[name] = F.last(metric.column).over(rows.rowsBetween(*_WHOLE_GROUP))
         elif metric.kind == "next":
             made[name] = F.lead(metric.column).over(rows)
         elif metric.kind == "previous":
@@ -193,6 +203,8 @@ def _by_ranges(df, keys, order, peer_order, metrics, heavy: Heavy) -> DataFrame:
             made[name] = F.col("_rows_before") + F.rank().over(peers)
         elif metric.kind == "first":
             made[name] = F.col(f"_start.{name}")
+        elif metric.kind == "last":
+            made[name] = F.col(f"_end.{name}")
         elif metric.kind == "next":
             last = F.col("_at") == F.col("_last_at")
             made[name] = F.when(last, F.col(f"_following.{name}")).otherwise(
@@ -230,6 +242,7 @@ def _carried(placed: DataFrame, keys, metrics) -> DataFrame:
         "_last_at",
         _or_zero(F.sum("_rows").over(earlier)).alias("_rows_before"),
         F.first("_first_row").over(ranges).alias("_start"),
+        F.last("_last_row").over(ranges.rowsBetween(*_WHOLE_GROUP)).alias("_end"),
         F.lead("_first_row").over(ranges).alias("_following"),
         F.lag("_last_row").over(ranges).alias("_preceding"),
         *[_or_zero(F.sum(f"_sum_{n}").over(earlier)).alias(f"_total_{n}") for n in totals],
@@ -247,14 +260,12 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    part = F.shiftright("_at", _ROW_BITS)
+    part = F.shiftright("_at", _ROW_BITS).cast("int")
     row = F.col("_at").bitwiseAND(F.lit(_ROW_MASK))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(part.alias("_part"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", _or_zero(F.sum("_rows").over(earlier)).alias("_offset"))
-    )
-    return placed.join(F.broadcast(offsets), part == F.col("_part")).select(
-        *df.columns, (F.col("_offset") + row + 1).alias(name)
-    )
+    # One row per partition of the sort.
+    sizes = dict(placed.groupBy(part.alias("_part")).count().collect())
+    offsets = [0]
+    for index in range(max(sizes, default=0)):
+        offsets.append(offsets[-1] + sizes.get(index, 0))
+    offset = F.element_at(F.array(*[F.lit(n).cast("long") for n in offsets]), part + 1)
+    return placed.select(*df.columns, (offset + row + 1).alias(name))

@@ -9,6 +9,9 @@ Borrows are counted by the highest bit in which the two days differ. At each bit
 number whose days agree above it form a group; in order of time of day, a call with a 0 there
 borrows from the calls with a 1 before it. A number with n calls over d days takes n log d rows,
 where the pairs would take n squared.
+
+All sums are integers, of days and of microseconds of duration, so that taking one large sum off
+another loses nothing.
 """
 
 from __future__ import annotations
@@ -21,12 +24,15 @@ from trailmark.operators.freeze import frozen
 from trailmark.operators.ordered import (
     GROUP_ROWS,
     Heavy,
+    first_of,
     heavy_keys,
+    last_of,
     ordered_metrics,
     total_before,
 )
 
-_MICROS_PER_DAY = 86_400_000_000
+_MICROS_PER_SECOND = 1_000_000
+_MICROS_PER_DAY = 86_400 * _MICROS_PER_SECOND
 _KEYS = ["CallingNumber", "_session"]
 _EXACT = "decimal(38,0)"
 
@@ -41,9 +47,13 @@ def repeat_call_stats(
     durations of the first and of the second call. Equal rows of `calls` count once.
     """
     points = _points(calls)
+    first, last = points.agg(F.min("_day"), F.max("_day")).first()
+    first, last = first or 0, last or 0
     heavy = heavy_keys(points, _KEYS, group_rows)
-    sums = _later_sums(points, heavy).unionByName(
-        _borrow_sums(points, heavy, group_rows), allowMissingColumns=True
+    rows = _with_later(points.withColumn("_day", F.col("_day") - first), heavy)
+    bits = max(1, (last - first).bit_length())
+    sums = _later_sums(rows).unionByName(
+        _borrow_sums(rows, bits, heavy, group_rows), allowMissingColumns=True
     )
     return _statistics(sums, ["date", "TollFreeNumber"] if by_toll_free else ["date"])
 
@@ -65,16 +75,17 @@ def _points(calls: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("_sign"), F.lit(None).cast("string").alias("_session")),
         F.struct(F.lit(-1).alias("_sign"), F.col("SessionId").cast("string").alias("_session")),
     )
-    duration = F.col("CallDuration")
+    duration = F.round(F.col("CallDuration") * _MICROS_PER_SECOND).cast(_EXACT)
+    nothing = F.lit(0).cast(_EXACT)
     added = (
         unique.withColumn("_scope", F.explode(scopes))
-        .select("CallingNumber", "TimeStamp", "CallDuration", "_scope.*")
+        .select("CallingNumber", "TimeStamp", duration.alias("_micros"), "_scope.*")
         .groupBy("CallingNumber", "_session", "_sign", "TimeStamp")
         .agg(
             F.count(F.lit(1)).alias("_calls"),
-            F.count(duration).alias("_known"),
-            F.coalesce(F.sum(duration), F.lit(0.0)).alias("_sum"),
-            F.coalesce(F.sum(duration * duration), F.lit(0.0)).alias("_squares"),
+            F.count("_micros").alias("_known"),
+            F.coalesce(F.sum("_micros"), nothing).alias("_sum"),
+            F.coalesce(F.sum(F.col("_micros") * F.col("_micros")), nothing).alias("_squares"),
         )
     )
     micros = F.unix_micros(F.col("TimeStamp").cast("timestamp"))
@@ -92,8 +103,8 @@ def _exact(name: str) -> Column:
     return F.col(name).cast(_EXACT)
 
 
-def _later_sums(points: DataFrame, heavy: Heavy | None) -> DataFrame:
-    """Per instant: the sums over its pairs with all later calls, borrows left out."""
+def _with_later(points: DataFrame, heavy: Heavy | None) -> DataFrame:
+    """Instants with totals over the later ones and the first and last day of their number."""
     weighted = points.withColumns(
         {
             "_days": F.col("_calls") * F.col("_day"),
@@ -107,9 +118,15 @@ def _later_sums(points: DataFrame, heavy: Heavy | None) -> DataFrame:
         "_later_known": total_before("_known"),
         "_later_sum": total_before("_sum"),
         "_later_squares": total_before("_squares"),
+        "_newest": first_of("_day"),
+        "_oldest": last_of("_day"),
     }
     newest_first = [F.col("_day").desc(), F.col("_time").desc()]
-    rows = ordered_metrics(weighted, _KEYS, newest_first, metrics, heavy)
+    return ordered_metrics(weighted, _KEYS, newest_first, metrics, heavy)
+
+
+def _later_sums(rows: DataFrame) -> DataFrame:
+    """Per instant: the sums over its pairs with all later calls, borrows left out."""
     calls, later, day = _exact("_calls"), _exact("_later"), _exact("_day")
     days = _exact("_later_days")
     squares = _exact("_later_day_squares")
@@ -121,34 +138,43 @@ def _later_sums(points: DataFrame, heavy: Heavy | None) -> DataFrame:
         (calls * (days - later * day)).alias("days"),
         (calls * (squares - 2 * day * days + later * day * day)).alias("day_squares"),
         (_exact("_known") * later).alias("first_known"),
-        (F.col("_sum") * F.col("_later")).alias("first_sum"),
-        (F.col("_squares") * F.col("_later")).alias("first_squares"),
+        (F.col("_sum") * later).alias("first_sum"),
+        (F.col("_squares") * later).alias("first_squares"),
         (calls * _exact("_later_known")).alias("second_known"),
-        (F.col("_calls") * F.col("_later_sum")).alias("second_sum"),
-        (F.col("_calls") * F.col("_later_squares")).alias("second_squares"),
+        (calls * F.col("_later_sum")).alias("second_sum"),
+        (calls * F.col("_later_squares")).alias("second_squares"),
     )
 
 
-def _borrow_sums(points: DataFrame, heavy: Heavy | None, group_rows: int) -> DataFrame:
+def _borrow_sums(rows: DataFrame, bits: int, heavy: Heavy | None, group_rows: int) -> DataFrame:
     """Per instant and bit: what the borrows change in the sums of days and of their squares."""
-    first, last = points.agg(F.min("_day"), F.max("_day")).first()
-    bits = max(1, ((last or 0) - (first or 0)).bit_length())
-    day = F.col("_day") - F.lit(first or 0)
-    levels = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-    levels = levels.withColumns(
-        {
-            "_prefix": F.expr(f"shiftright(_day - {first or 0}L, _level + 1)"),
-            "_bit": F.expr(f"shiftright(_day - {first or 0}L, _level) & 1L"),
-            "_day": day,
-        }
+    # A call borrows at the bits where a later day can differ, and lends where an earlier one can.
+    bit = "shiftright(_day, level) & 1L"
+    reach = "shiftright(_day ^ if(bit = 0, _newest, _oldest), level)"
+    candidates = F.expr(
+        f"filter(transform(sequence(0, {bits - 1}), level -> named_struct("
+        f"'_level', level, '_bit', {bit})), x -> "
+        + reach.replace("level", "x._level").replace("bit", "x._bit")
+        + " > 0)"
     )
+    levels = rows.select(
+        *_KEYS,
+        "_sign",
+        "date",
+        "TollFreeNumber",
+        "_calls",
+        "_day",
+        "_time",
+        F.explode(candidates).alias("_at_bit"),
+    ).select("*", "_at_bit._level", "_at_bit._bit")
     one = F.col("_bit") == 1
     levels = levels.withColumns(
         {
+            "_prefix": F.expr("shiftright(_day, _level + 1)"),
             "_lenders": F.when(one, F.col("_calls")).otherwise(0),
             "_lender_days": F.when(one, F.col("_calls") * F.col("_day")).otherwise(0),
         }
-    )
+    ).drop("_at_bit")
     keys = [*_KEYS, "_level", "_prefix"]
     # A group here is part of a group of `_KEYS`, so none is heavy if none was there.
     heavy_levels = heavy and heavy_keys(levels, keys, group_rows)
@@ -173,15 +199,27 @@ def _borrow_sums(points: DataFrame, heavy: Heavy | None, group_rows: int) -> Dat
 def _statistics(sums: DataFrame, by: list[str]) -> DataFrame:
     names = [name for name in sums.columns if name not in ("date", "TollFreeNumber", "_sign")]
     totals = sums.groupBy(*by).agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names])
-    stats = {
-        "days_between_calls": ("pairs", "days", "day_squares"),
-        "first_call_duration": ("first_known", "first_sum", "first_squares"),
-        "second_call_duration": ("second_known", "second_sum", "second_squares"),
-    }
     made = [F.col("pairs").cast("long").alias("count")]
-    for name, columns in stats.items():
-        n, total, squares = (F.col(column).cast("double") for column in columns)
-        made.append(F.when(n > 0, total / n).alias(f"mean_{name}"))
-        spread = F.greatest(squares - total * total / F.nullif(n, F.lit(0.0)), F.lit(0.0))
-        made.append(F.when(n > 1, F.sqrt(spread / F.nullif(n - 1, F.lit(0.0)))).alias(f"std_{name}"))
+    for name, columns, unit in (
+        ("days_between_calls", ("pairs", "days", "day_squares"), 1),
+        ("first_call_duration", ("first_known", "first_sum", "first_squares"), _MICROS_PER_SECOND),
+        ("second_call_duration", ("second_known", "second_sum", "second_squares"), _MICROS_PER_SECOND),
+    ):
+        mean, deviation = _moments(*columns)
+        made += [(mean / unit).alias(f"mean_{name}"), (deviation / unit).alias(f"std_{name}")]
     return totals.filter(F.col("pairs") > 0).select(*by, *made)
+
+
+def _moments(known: str, total: str, squares: str) -> tuple[Column, Column]:
+    """Mean and sample deviation; null for no value and for fewer than two."""
+    n = F.col(known).cast("double")
+    mean = F.when(n > 0, F.col(total).cast("double") / F.nullif(n, F.lit(0.0)))
+    # Centre on a whole number near the mean while the sums are still exact.
+    centre = F.floor(mean).cast(_EXACT)
+    off = F.col(total) - F.col(known) * centre
+    off_squares = F.col(squares) - 2 * centre * F.col(total) + F.col(known) * centre * centre
+    spread = off_squares.cast("double") - off.cast("double") * off.cast("double") / F.nullif(
+        n, F.lit(0.0)
+    )
+    freedom = F.nullif(n - 1, F.lit(0.0))
+    return mean, F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / freedom))

@@ -53,8 +53,8 @@ def user_sequence(
 ) -> DataFrame:
     """The enriched sequence of 17 columns, one row per step and known number of its session.
 
-    A session whose path is null is left out. The session paths are written once to the checkpoint
-    folder: ranking and naming both read them, and they are the costly part.
+    A session whose path is null is left out. Session paths and caller sessions, each read more
+    than once, are written to the checkpoint folder; events are not, they are scanned again.
     """
     kept = filter_events(events, flows, start, end)
     heavy = heavy_keys(kept, ["SessionId"], group_rows)
@@ -63,9 +63,7 @@ def user_sequence(
     names = name_paths(paths.select("SessionId", "Path"), ranks).select(
         "SessionId", "path_nickname"
     )
-    calls = callbacks(caller_sessions(kept), group_rows).withColumnRenamed(
-        "TimeStamp", "_first_call"
-    )
+    calls = callbacks(frozen(caller_sessions(kept)), group_rows).drop("TimeStamp")
     steps = step_parts(kept.drop("CallingNumber"), heavy)
     parts = [_attributed(steps[0], names, calls)]
     if heavy is not None:
