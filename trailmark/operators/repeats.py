@@ -75,7 +75,8 @@ def _points(calls: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("_sign"), F.lit(None).cast("string").alias("_session")),
         F.struct(F.lit(-1).alias("_sign"), F.col("SessionId").cast("string").alias("_session")),
     )
-    duration = F.round(F.col("CallDuration") * _MICROS_PER_SECOND).cast(_EXACT)
+    duration = F.round(F.col("CallDuration") * _MICROS_PER_SECOND).cast("long")
+    square = _exact("_micros") * _exact("_micros")
     nothing = F.lit(0).cast(_EXACT)
     added = (
         unique.withColumn("_scope", F.explode(scopes))
@@ -84,8 +85,8 @@ def _points(calls: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("_calls"),
             F.count("_micros").alias("_known"),
-            F.coalesce(F.sum("_micros"), nothing).alias("_sum"),
-            F.coalesce(F.sum(F.col("_micros") * F.col("_micros")), nothing).alias("_squares"),
+            F.coalesce(F.sum("_micros").cast(_EXACT), nothing).alias("_sum"),
+            F.coalesce(F.sum(square), nothing).alias("_squares"),
         )
     )
     micros = F.unix_micros(F.col("TimeStamp").cast("timestamp"))
