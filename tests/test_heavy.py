@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import trailmark as tm
 from contract.mapping import END, FLOWS, START, events_log
 from tests.conftest import rows
-from trailmark.operators import ordered, paths
+from trailmark.operators import freeze, ordered, paths
 from trailmark.plans import sequence as sequence_plan
 
 START_TIME = dt.datetime(2024, 3, 1)
@@ -111,6 +111,23 @@ def test_sequence(spark, small, monkeypatch, callers):
     assert rows(split) == rows(plain)
 
 
+@pytest.mark.parametrize("limit", [100, 3])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_attribute_join(skewed, limit, how):
+    attributes = skewed.filter("ActionId = 'a'").select("SessionId", F.col("weight").alias("w"))
+    steps = skewed.select("SessionId", "EventId")
+    expected = steps.join(attributes, "SessionId", how)
+    joined = freeze.join_attributes(steps, attributes, "SessionId", how, limit)
+    assert rows(joined) == rows(expected)
+
+
+def test_fits(spark, monkeypatch):
+    texts = spark.createDataFrame([("abcd",), (None,), ("ef",)], "t string")
+    assert freeze.fits(texts, 3) and not freeze.fits(texts, 2)
+    monkeypatch.setattr(freeze, "BROADCAST_CHARS", 5)
+    assert not freeze.fits(texts, 3)
+
+
 def test_names_of_frequent_and_rare_paths(spark, monkeypatch):
     sessions = spark.createDataFrame(
         [(f"s{n}", None if n % 7 == 0 else f"path-{n % 5}") for n in range(60)],

@@ -30,7 +30,7 @@ def caller_sessions(events: DataFrame) -> DataFrame:
     )
 
 
-def callbacks(calls: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def callbacks(calls: DataFrame, group_rows: int | None = GROUP_ROWS) -> DataFrame:
     """Caller sessions with their instance per number, whole days since the last call and the
     duration of the last call."""
     metrics = {

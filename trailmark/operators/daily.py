@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import path_length
 from trailmark.functions.dates import as_list
+from trailmark.operators.paths import name_paths
 
 
 def _exits_of(exits: DataFrame, flows) -> DataFrame:
@@ -35,19 +36,18 @@ def daily_path_length(exits: DataFrame, flows=None) -> DataFrame:
 def daily_path_metrics(paths: DataFrame, top: DataFrame) -> DataFrame:
     """Distinct sessions and mean duration per date for each of the `top` ranked paths.
 
-    `top` is the result of a top-k and is broadcast. The text of a path goes through the
-    aggregation only as its nickname and is added at the end.
+    A path goes through the aggregation as its nickname; its text is added to the result.
     """
-    top = F.broadcast(top.select("Path", "nickname"))
-    return (
-        paths.join(top, "Path")
+    daily = (
+        name_paths(paths, top)
+        .withColumnRenamed("path_nickname", "nickname")
         .groupBy(F.to_date("TimeStamp").alias("date"), "nickname")
         .agg(
             F.count_distinct("SessionId").alias("count"),
             F.avg("Duration").alias("avg_duration"),
         )
-        .join(top, "nickname")
     )
+    return daily.join(top.select("nickname", "Path"), "nickname")
 
 
 def daily_events(sequence: DataFrame) -> DataFrame:

@@ -1,13 +1,18 @@
-"""Reliable materialisation: results that must not be computed a second time."""
+"""Results written once, and joins whose strategy depends on a measured size."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Text that a broadcast table may hold, and the ways a key is spread beyond that.
+BROADCAST_CHARS = 50_000_000
+SALTS = 64
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names; a scratch folder only in local mode."""
@@ -32,6 +37,27 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has at most `rows` rows; reads no more than one row past that."""
-    return df.limit(rows + 1).count() <= rows
+def join_attributes(
+    rows: DataFrame, attributes: DataFrame, key: str, how: str, limit: int = 100_000
+) -> DataFrame:
+    """`rows` joined with the `attributes` of their `key`, where one key may hold most of `rows`.
+
+    Attributes of at most `limit` rows and BROADCAST_CHARS of text are broadcast. Larger ones are
+    copied once per salt, and the rows of a key are spread over the salts by a hash of their other
+    columns. `attributes` is read twice: pass a frozen frame.
+    """
+    if fits(attributes, limit):
+        return rows.join(F.broadcast(attributes), key, how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    others = F.xxhash64(*[name for name in rows.columns if name != key])
+    salted = rows.withColumn("_salt", F.pmod(others, F.lit(SALTS)).cast("int"))
+    return salted.join(attributes.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
+
+
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether `df` has at most `limit` rows and BROADCAST_CHARS characters of text."""
+    texts = [F.coalesce(F.length(n), F.lit(0)) for n, kind in df.dtypes if kind == "string"]
+    chars = sum(texts, F.lit(0))
+    measured = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(chars))
+    rows, text = measured.first()
+    return rows <= limit and (text or 0) <= BROADCAST_CHARS

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.freeze import join_attributes
 from trailmark.operators.ordered import number_rows
 
 # Link colours.
@@ -75,7 +76,9 @@ def link_ids(links: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("node_id", "label")
     source = ids.toDF("sourceID", "source")
     target = ids.toDF("targetID", "target")
-    return links.join(source, "source").join(target, "target")
+    # Many links share an end, so neither join may shuffle by label alone.
+    with_source = join_attributes(links, source, "source", "inner")
+    return join_attributes(with_source, target, "target", "inner")
 
 
 def threshold_links(

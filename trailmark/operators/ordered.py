@@ -51,12 +51,18 @@ def _all(conditions) -> Column:
     return functools.reduce(operator.and_, conditions)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], group_rows: int = GROUP_ROWS) -> Heavy | None:
+def heavy_keys(
+    df: DataFrame, keys: Sequence[str], group_rows: int | None = GROUP_ROWS
+) -> Heavy | None:
     """The groups of `keys` with more than `group_rows` rows; None when there are none.
 
+    With `group_rows=None` the caller vouches that there are none, and nothing is counted.
+
     Costs one pre-aggregated count over the key columns. At most HEAVY_KEYS keys come back: the
     limit is raised to a HEAVY_KEYS-th of all rows, which fewer than HEAVY_KEYS groups can exceed.
     """
+    if group_rows is None:
+        return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     largest, total = sizes.agg(F.max("_rows"), F.sum("_rows")).first()
     limit = max(group_rows, (total or 0) // HEAVY_KEYS)

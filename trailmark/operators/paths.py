@@ -31,7 +31,7 @@ FREQUENT_PATH_CHARS = 10_000
 def session_paths(
     events: DataFrame,
     keys: Sequence[str] = ("SessionId",),
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """One row per session: its start, duration in seconds and path of labels in time order.
 
@@ -147,6 +147,5 @@ def name_paths(paths: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def sessions_on(paths: DataFrame, top: DataFrame, nickname: str) -> DataFrame:
     """Distinct sessions whose path is the one with `nickname` among the `top` ranked paths."""
-    chosen = top.filter(F.col("nickname") == nickname).select("Path")
-    # One row: a nickname belongs to one path.
-    return paths.join(F.broadcast(chosen), "Path", "left_semi").select("SessionId").distinct()
+    chosen = top.filter(F.col("nickname") == nickname)
+    return name_paths(paths.select("SessionId", "Path"), chosen).select("SessionId").distinct()

@@ -38,7 +38,7 @@ _EXACT = "decimal(38,0)"
 
 
 def repeat_call_stats(
-    calls: DataFrame, by_toll_free: bool = True, group_rows: int = GROUP_ROWS
+    calls: DataFrame, by_toll_free: bool = True, group_rows: int | None = GROUP_ROWS
 ) -> DataFrame:
     """Statistics of repeated calls by the date of the earlier call and the caller class.
 
@@ -147,7 +147,7 @@ def _later_sums(rows: DataFrame) -> DataFrame:
     )
 
 
-def _borrow_sums(rows: DataFrame, bits: int, heavy: Heavy | None, group_rows: int) -> DataFrame:
+def _borrow_sums(rows: DataFrame, bits: int, heavy: Heavy | None, group_rows: int | None) -> DataFrame:
     """Per instant and bit: what the borrows change in the sums of days and of their squares."""
     # A call borrows at the bits where a later day can differ, and lends where an earlier one can.
     bit = "shiftright(_day, level) & 1L"

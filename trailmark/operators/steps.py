@@ -42,7 +42,7 @@ def step_parts(
 def step_metrics(
     events: DataFrame,
     keys: tuple[str, ...] = ("SessionId",),
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Events with rank_event, next_event, time_from_start and time_to_next per session."""
     heavy = heavy_keys(events, keys, group_rows)

@@ -47,7 +47,7 @@ def log_sequence(
     event: str = "event_name",
     time: str = "time_event",
     tie: str | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Step metrics for any log of three columns; `tie` orders events of equal time."""
     columns = {user: "SessionId", event: "ActionId", time: "TimeStamp"}
@@ -75,7 +75,7 @@ def flow_graph_from_log(
     tie: str | None = None,
     min_count: int | None = None,
     pct: float | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) straight from a three-column event log."""
     sequence = log_sequence(log, user, event, time, tie, group_rows)
@@ -86,7 +86,7 @@ def compare_periods(
     events: DataFrame,
     flows,
     periods: Mapping[str, tuple],
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Links of the same flows in several date ranges, with a `period` column.
 

@@ -12,7 +12,7 @@ from trailmark.functions.columns import NOT_TOLL_FREE
 from trailmark.functions.dates import as_date
 from trailmark.operators.callers import callbacks, caller_sessions
 from trailmark.operators.events import filter_events
-from trailmark.operators.freeze import fits, frozen
+from trailmark.operators.freeze import frozen, join_attributes
 from trailmark.operators.ordered import GROUP_ROWS, Heavy, heavy_keys
 from trailmark.operators.paths import (
     name_paths,
@@ -24,7 +24,6 @@ from trailmark.operators.steps import step_metrics, step_parts
 
 # Caller rows of heavy sessions that are broadcast; more are joined on salted keys.
 BROADCAST_CALLERS = 100_000
-SALTS = 64
 
 _STEP_COLUMNS = {
     "SessionId": "user_id",
@@ -34,7 +33,7 @@ _STEP_COLUMNS = {
 
 
 def step_sequence(
-    events: DataFrame, flows=None, start=None, end=None, group_rows: int = GROUP_ROWS
+    events: DataFrame, flows=None, start=None, end=None, group_rows: int | None = GROUP_ROWS
 ) -> DataFrame:
     """Steps per session without path and caller: the slim sequence."""
     steps = step_metrics(filter_events(events, flows, start, end), group_rows=group_rows)
@@ -49,7 +48,7 @@ def step_sequence(
 
 
 def user_sequence(
-    events: DataFrame, flows=None, start=None, end=None, group_rows: int = GROUP_ROWS
+    events: DataFrame, flows=None, start=None, end=None, group_rows: int | None = GROUP_ROWS
 ) -> DataFrame:
     """The enriched sequence of 17 columns, one row per step and known number of its session.
 
@@ -64,7 +63,8 @@ def user_sequence(
         "SessionId", "path_nickname"
     )
     calls = callbacks(frozen(caller_sessions(kept)), group_rows).drop("TimeStamp")
-    steps = step_parts(kept.drop("CallingNumber"), heavy)
+    # Events without a session would drop out at the join with the names.
+    steps = step_parts(kept.drop("CallingNumber").filter(F.col("SessionId").isNotNull()), heavy)
     parts = [_attributed(steps[0], names, calls)]
     if heavy is not None:
         parts.append(_heavy_attributed(steps[1], names, calls, heavy))
@@ -81,11 +81,8 @@ def _heavy_attributed(steps, names, calls, heavy: Heavy) -> DataFrame:
     names = F.broadcast(heavy.split(names, ["SessionId"])[1])
     calls = frozen(heavy.split(calls, ["SessionId"])[1])
     named = steps.join(names, "SessionId")
-    if fits(calls, BROADCAST_CALLERS):
-        return _public(named.join(F.broadcast(calls), "SessionId", "left"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = named.withColumn("_salt", (F.col("rank_event") % SALTS).cast("int"))
-    return _public(salted.join(calls.withColumn("_salt", salts), ["SessionId", "_salt"], "left"))
+    joined = join_attributes(named, calls, "SessionId", "left", BROADCAST_CALLERS)
+    return _public(joined)
 
 
 def _public(rows: DataFrame) -> DataFrame:

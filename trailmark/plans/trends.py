@@ -53,7 +53,7 @@ def top_paths(
     start=None,
     end=None,
     k: int = TOP_PATHS,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """The k most frequent session paths with their rank and nickname."""
     kept = filter_events(events, flows, start, end)
@@ -67,12 +67,12 @@ def top_path_trend(
     start=None,
     end=None,
     k: int = TOP_PATHS,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Sessions and mean duration per day for the k most frequent paths, with rolling means."""
     kept = filter_events(events, flows, start, end)
     paths = frozen(session_paths(kept, _FLOW_KEYS, group_rows))
-    top = rank_paths(path_frequencies(paths), k)
+    top = frozen(rank_paths(path_frequencies(paths), k))
     columns = {"avg_14_day_count": "count", "avg_14_day_avg_duration": "avg_duration"}
     daily = daily_path_metrics(paths, top)
     return rolling(daily, columns, ["nickname"], ["date"], **PARTIAL_FRAME)
@@ -86,7 +86,7 @@ def sessions_on_path(
     end=None,
     scope: str = "filtered",
     k: int = TOP_PATHS,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Distinct sessions on one of the k most frequent paths of the flows and dates.
 
@@ -100,7 +100,8 @@ def sessions_on_path(
         events = filter_events(events, flows, start, end)
     paths = frozen(session_paths(events, _FLOW_KEYS, group_rows))
     ranked = paths if scope == "filtered" else filter_events(paths, flows, start, end)
-    return sessions_on(paths, rank_paths(path_frequencies(ranked), k), nickname)
+    top = frozen(rank_paths(path_frequencies(ranked), k))
+    return sessions_on(paths, top, nickname)
 
 
 def top_path_trend_from_sequence(
