@@ -18,54 +18,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def families(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five event families of the `events` table."""
     events = table(spark, sf_dir, "events")
-    user, value = F.col("user_id"), F.col("value")
-    number = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
-    last_digit = user % 10
-    prefix = (
-        F.when(last_digit.isin(2, 3), "+1800555")
-        .when(last_digit == 4, "+1877555")
-        .otherwise("+1212555")
-    )
-    caller = (
-        F.when(last_digit == 0, "Restricted")
-        .when(last_digit == 1, F.lit(None))
-        .otherwise(F.concat(prefix, F.lpad(user.cast("string"), 4, "0")))
-    )
-    indicator = (
-        F.when(number % 10 == 7, F.lit(None))
-        .when(value < 10, F.lit("HANGUP"))
-        .otherwise(F.lit("ANSWER"))
-    )
-    call_action = F.when(number % 33 == 0, F.lit("TRANSFER_33")).otherwise(
-        F.concat(F.lit("ICALL_"), (number % 2).cast("string"))
-    )
-    menu_action = F.concat(F.lit("MENU_TREE_"), (number % 2).cast("string"))
-
-    def family(event_type: str, action, **extra) -> DataFrame:
-        return events.filter(F.col("event_type") == event_type).select(
-            F.concat_ws("-", user.cast("string"), F.to_date("ts").cast("string")).alias(
-                "SessionId"
-            ),
-            F.col("ts").alias("TimeStamp"),
-            action.alias("ActionId"),
-            (1000 + user % 5).cast("string").alias("CustomerId"),
-            F.concat(F.lit("flow-"), (user % 3).cast("string")).alias("FlowName"),
-            F.col("event_id").alias("EventId"),
-            *[column.alias(name) for name, column in extra.items()],
+
+    def family(event_type: str, action: str, *extra: str) -> DataFrame:
+        return events.filter(F.col("event_type") == event_type).selectExpr(
+            "user_id || '-' || to_date(ts) AS SessionId",
+            "ts AS TimeStamp",
+            f"{action} AS ActionId",
+            "cast(1000 + user_id % 5 AS string) AS CustomerId",
+            "'flow-' || user_id % 3 AS FlowName",
+            "event_id AS EventId",
+            *extra,
         )
 
+    number = "cast(regexp_extract(props, '([0-9]+)', 1) AS bigint)"
+    caller = """
+        CASE WHEN user_id % 10 = 0 THEN 'Restricted'
+             WHEN user_id % 10 = 1 THEN NULL
+             WHEN user_id % 10 IN (2, 3) THEN '+1800555' || lpad(user_id, 4, '0')
+             WHEN user_id % 10 = 4 THEN '+1877555' || lpad(user_id, 4, '0')
+             ELSE '+1212555' || lpad(user_id, 4, '0') END"""
+    indicator = f"""
+        CASE WHEN {number} % 10 = 7 THEN NULL WHEN value < 10 THEN 'HANGUP' ELSE 'ANSWER' END"""
+    call_action = f"""
+        CASE WHEN {number} % 33 = 0 THEN 'TRANSFER_33' ELSE 'ICALL_' || {number} % 2 END"""
     return {
-        "api": family("click", F.lit("EXTCALL_51")),
+        "api": family("click", "'EXTCALL_51'"),
         "call": family(
             "error",
             call_action,
-            CallAnswerIndicator=indicator,
-            CallingNumber=caller,
-            CallDuration=value,
+            f"{indicator} AS CallAnswerIndicator",
+            f"{caller} AS CallingNumber",
+            "value AS CallDuration",
         ),
-        "dtmf": family("signup", menu_action, DtmfInput=number % 3),
-        "msg": family("view", F.lit("MSG_1")),
-        "nlp": family("purchase", F.lit("NLP_1")),
+        "dtmf": family("signup", f"'MENU_TREE_' || {number} % 2", f"{number} % 3 AS DtmfInput"),
+        "msg": family("view", "'MSG_1'"),
+        "nlp": family("purchase", "'NLP_1'"),
     }
 
 
@@ -85,32 +72,30 @@ def exit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`orders` read as calls: the customer is the number, the order the session."""
-    return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("+1212"), F.col("o_custkey").cast("string")).alias("CallingNumber"),
-        F.col("o_orderkey").cast("string").alias("SessionId"),
-        F.col("o_orderdate").alias("TimeStamp"),
-        F.col("o_orderstatus").alias("CallAnswerIndicator"),
-        F.col("o_totalprice").alias("CallDuration"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "'+1212' || o_custkey AS CallingNumber",
+        "cast(o_orderkey AS string) AS SessionId",
+        "o_orderdate AS TimeStamp",
+        "o_orderstatus AS CallAnswerIndicator",
+        "o_totalprice AS CallDuration",
     )
 
 
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`conversations` read as events: the turn, in minutes, is the time, the role the action."""
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
-    minutes = F.make_dt_interval(mins=F.col("turn").cast("int"))
-    return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("SessionId"),
-        (start + minutes).alias("TimeStamp"),
-        F.col("role").alias("ActionId"),
-        F.col("turn").alias("EventId"),
-        F.lit("chat").alias("FlowName"),
+    return table(spark, sf_dir, "conversations").selectExpr(
+        "cast(conv_id AS string) AS SessionId",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(turn AS int)) AS TimeStamp",
+        "role AS ActionId",
+        "turn AS EventId",
+        "'chat' AS FlowName",
     )
 
 
 def shipment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`lineitem` read as a three-column log: an order passes through its shipped lines."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("user_id"),
-        F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("event_name"),
-        F.col("l_shipdate").alias("time_event"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_orderkey AS string) AS user_id",
+        "l_returnflag || '-' || l_linestatus AS event_name",
+        "l_shipdate AS time_event",
     )
