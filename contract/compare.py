@@ -5,9 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
-
-import __spark_entry__ as contract
+from pyspark.sql import DataFrame
 
 # DuckDB type names and what Spark calls them.
 TYPES = {
@@ -28,11 +26,10 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def difference(spark: SparkSession, connection, name: str, sf_dir: str) -> str:
-    """What differs between the query and its SQL; empty when nothing does."""
-    df = contract.queries()[name](spark, sf_dir)
+def difference(df: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> str:
+    """What differs between a Spark result and that of `sql`; empty when nothing does."""
     mine = [tuple(row) for row in df.collect()]
-    cursor = connection.execute(contract.oracle_sql()[name])
+    cursor = connection.execute(sql)
     columns = [entry[0] for entry in cursor.description]
     kinds = {entry[0]: TYPES.get(str(entry[1]), str(entry[1])) for entry in cursor.description}
     theirs = cursor.fetchall()

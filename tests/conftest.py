@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", str(folder / "checkpoints"))
         .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
@@ -36,3 +37,8 @@ def small():
 def rows(df):
     """Rows as tuples, in an order that does not depend on partitions."""
     return sorted((tuple(row) for row in df.collect()), key=repr)
+
+
+def plan_of(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)

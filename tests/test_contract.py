@@ -1,9 +1,10 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every registered query against its SQL, on the smallest tables, with a look at its plan."""
 
 import pytest
 
 import __spark_entry__ as contract
 from contract.compare import database, difference
+from tests.conftest import plan_of
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,12 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query(spark, small, connection, name):
-    assert difference(spark, connection, name, small) == ""
+    df = contract.queries()[name](spark, small)
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    assert "Python" not in plan and "InPandas" not in plan
+    assert difference(df, connection, contract.oracle_sql()[name]) == ""
 
 
 def test_entry(spark):

@@ -1,34 +1,15 @@
-"""Physical plans: pushdown, pruning, no cross join, no Python in the executors."""
+"""Physical plans: pushdown, pruning, shuffles."""
 
 import re
 
-import pytest
-
-import __spark_entry__ as contract
 import trailmark as tm
 from contract.mapping import END, FLOWS, START, families
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
-
-
-@pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_no_cross_join_and_no_python(spark, small, name):
-    plan = plan_of(contract.queries()[name](spark, small))
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    assert "Python" not in plan
-    assert "InPandas" not in plan
+from tests.conftest import plan_of
 
 
 def test_dates_reach_the_scan_and_columns_are_pruned(spark, small):
     events = tm.unify_events(families(spark, small))
-    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     plan = plan_of(tm.filter_events(events, FLOWS, START, END).select("SessionId"))
-    spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = re.findall(r"PushedFilters: \[(.*)\]", plan)
     assert len(pushed) == 5
     assert all("GreaterThanOrEqual(ts,2024-01-03" in p for p in pushed)
