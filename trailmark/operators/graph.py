@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.freeze import join_attributes
+from trailmark.operators.freeze import frozen, join_attributes
 from trailmark.operators.ordered import number_rows
 
 # Link colours.
@@ -84,11 +84,15 @@ def link_ids(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def threshold_links(
     links: DataFrame, min_count: int | None = None, pct: float | None = None
 ) -> DataFrame:
-    """Links with at least `min_count` transitions, or at least `pct` percent of the largest."""
+    """Links with at least `min_count` transitions, or at least `pct` percent of the largest.
+
+    For the largest the links are needed twice, so with `pct` they are frozen first.
+    """
     if (min_count is None) == (pct is None):
         raise ValueError("give either min_count or pct")
     if min_count is not None:
         return links.filter(F.col("count") >= min_count)
+    links = frozen(links)
     largest = links.agg(F.floor(F.max("count") * F.lit(pct / 100))).scalar()
     return links.filter(F.col("count") >= largest)
 

@@ -33,9 +33,10 @@ def flow_graph(
     Reads the sequence once for the nodes and once for the links: pass a materialised one.
     """
     nodes = flow_nodes(sequence)
-    links = link_ids(flow_links(sequence, by, sessions), nodes)
+    links = flow_links(sequence, by, sessions)
     if min_count is not None or pct is not None:
         links = threshold_links(links, min_count, pct)
+    links = link_ids(links, nodes)
     if highlight is not None:
         links = highlight_path(links, highlight)
     return nodes, links

@@ -140,6 +140,7 @@ def trend_frame(df: DataFrame, series: str, metrics: Sequence[str], start=None,
     Each metric gives a raw and a rolling line; `metric_max` is the largest value of the line over
     all series, the height of a date band. `start` and `end` mark the band in `in_band`.
     """
+    df = frozen(df)  # small, and read for the lines and for their largest values
     lines = [
         F.struct(
             F.lit(metric).alias("metric"),
