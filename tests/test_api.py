@@ -96,6 +96,13 @@ def test_graph(flow):
     assert {r.color for r in flow.highlight(None).collect()} == {"#d3d3d3"}
 
 
+def test_graph_with_sessions(flow):
+    _, links = tm.flow_graph(flow.sequence, sessions=True)
+    plain = tm.flow_graph(flow.sequence)[1]
+    assert rows(links.select(plain.columns)) == rows(plain)
+    assert links.filter("sessions < 1 OR sessions > count").count() == 0
+
+
 def test_threshold_arguments(flow):
     links = tm.flow_links(flow.sequence)
     with pytest.raises(ValueError):

@@ -104,20 +104,20 @@ def test_paths_too_long_for_a_row(spark):
 
 @pytest.mark.parametrize("callers", [100_000, 2])
 def test_sequence(spark, small, monkeypatch, callers):
-    monkeypatch.setattr(sequence_plan, "BROADCAST_CALLERS", callers)
+    monkeypatch.setattr(sequence_plan, "BROADCAST_ROWS", callers)
     events = events_log(spark, small)
     plain = tm.user_sequence(events, FLOWS, START, END)
     split = tm.user_sequence(events, FLOWS, START, END, group_rows=4)
     assert rows(split) == rows(plain)
 
 
-@pytest.mark.parametrize("limit", [100, 3])
+@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_attribute_join(skewed, limit, how):
+def test_attribute_join(skewed, small, how):
     attributes = skewed.filter("ActionId = 'a'").select("SessionId", F.col("weight").alias("w"))
     steps = skewed.select("SessionId", "EventId")
     expected = steps.join(attributes, "SessionId", how)
-    joined = freeze.join_attributes(steps, attributes, "SessionId", how, limit)
+    joined = freeze.join_attributes(steps, attributes, "SessionId", how, small)
     assert rows(joined) == rows(expected)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# Text that a broadcast table may hold, and the ways a key is spread beyond that.
+# Rows and text that a broadcast table may hold, and the ways a key is spread beyond that.
+BROADCAST_ROWS = 100_000
 BROADCAST_CHARS = 50_000_000
 SALTS = 64
 
@@ -43,15 +44,14 @@ def frozen(df: DataFrame) -> DataFrame:
 
 
 def join_attributes(
-    rows: DataFrame, attributes: DataFrame, key: str, how: str, limit: int = 100_000
+    rows: DataFrame, attributes: DataFrame, key: str, how: str, small: bool
 ) -> DataFrame:
     """`rows` joined with the `attributes` of their `key`, where one key may hold most of `rows`.
 
-    Attributes of at most `limit` rows and BROADCAST_CHARS of text are broadcast. Larger ones are
-    copied once per salt, and the rows of a key are spread over the salts by a hash of their other
-    columns. `attributes` is read twice: pass a frozen frame.
+    `small` attributes, as `fits` found them, are broadcast. Others are copied once per salt, and
+    the rows of a key are spread over the salts by a hash of their other columns.
     """
-    if fits(attributes, limit):
+    if small:
         return rows.join(F.broadcast(attributes), key, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     others = F.xxhash64(*[name for name in rows.columns if name != key])

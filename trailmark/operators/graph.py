@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.freeze import frozen, join_attributes
+from trailmark.operators.freeze import BROADCAST_ROWS, fits, frozen, join_attributes
 from trailmark.operators.ordered import number_rows
 
 # Link colours.
@@ -15,6 +15,16 @@ HIGHLIGHT_COLOR = "#ed7953"
 LINK_COLOR = "#d3d3d3"
 
 
+def flow_moves(sequence: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Steps added up by (event_name, next_event, rank_event, *by): all a graph needs of them."""
+    return sequence.groupBy("event_name", "next_event", "rank_event", *by).agg(
+        F.count(F.lit(1)).alias("steps"),
+        F.sum("count").alias("count"),
+        F.sum("time_from_start").alias("seconds"),
+        F.count("time_from_start").alias("timed"),
+    )
+
+
 def flow_links(
     sequence: DataFrame, by: Sequence[str] = ("path_nickname",), sessions: bool = False
 ) -> DataFrame:
@@ -23,17 +33,22 @@ def flow_links(
     Steps without a next event, or with a null in any key, make no link. `count` is transitions;
     `sessions` adds the distinct sessions beside it, at the price of a shuffle by session.
     """
-    keys = ["source", "target", *by]
-    steps = sequence.withColumnsRenamed({"event_name": "source", "next_event": "target"})
     extra = [F.count_distinct("user_id").alias("sessions")] if sessions else []
+    return _links(sequence, by, F.avg("time_from_start"), extra)
+
+
+def links_of(moves: DataFrame, by: Sequence[str] = ("path_nickname",)) -> DataFrame:
+    """The links of steps added up by `flow_moves` with the same `by`."""
+    return _links(moves, by, F.try_divide(F.sum("seconds"), F.sum("timed")))
+
+
+def _links(rows: DataFrame, by: Sequence[str], seconds: Column, extra=()) -> DataFrame:
+    keys = ["source", "target", *by]
+    ends = rows.withColumnsRenamed({"event_name": "source", "next_event": "target"})
     return (
-        steps.dropna(subset=keys)
+        ends.dropna(subset=keys)
         .groupBy(*keys)
-        .agg(
-            F.sum("count").alias("count"),
-            F.avg("time_from_start").alias("time_from_start"),
-            *extra,
-        )
+        .agg(F.sum("count").alias("count"), seconds.alias("time_from_start"), *extra)
     )
 
 
@@ -44,22 +59,25 @@ def flow_nodes(sequence: DataFrame) -> DataFrame:
     that occur only as a next event follow after all others; their position is that of the step
     before. `node_id` numbers the nodes from 0 in this order.
     """
-    # One pass over the sequence; the roles are told apart on its few distinct transitions.
-    moves = sequence.groupBy("event_name", "next_event", "rank_event").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    role = F.explode(
+    # One pass over the sequence; the two ends are told apart on its few distinct moves.
+    steps = F.count(F.lit(1)).alias("steps")
+    return nodes_of(sequence.groupBy("event_name", "next_event", "rank_event").agg(steps))
+
+
+def nodes_of(moves: DataFrame) -> DataFrame:
+    """The nodes of steps added up by `flow_moves`."""
+    ends = F.explode(
         F.array(
             F.struct(F.lit(0).alias("_role"), F.col("event_name").alias("label")),
             F.struct(F.lit(1).alias("_role"), F.col("next_event").alias("label")),
         )
     )
     ranks = (
-        moves.select(role.alias("_end"), "rank_event", "_n")
-        .select("_end.*", "rank_event", "_n")
+        moves.select(ends.alias("_end"), "rank_event", "steps")
+        .select("_end.*", "rank_event", "steps")
         .filter(F.col("label").isNotNull())
         .groupBy("_role", "label", "rank_event")
-        .agg(F.sum("_n").alias("_n"))
+        .agg(F.sum("steps").alias("_n"))
     )
     modes = ranks.groupBy("_role", "label").agg(
         F.max(F.struct("_n", (-F.col("rank_event")).alias("_rank"))).alias("_mode")
@@ -74,11 +92,12 @@ def flow_nodes(sequence: DataFrame) -> DataFrame:
 def link_ids(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links with the node ids of both ends as sourceID and targetID."""
     ids = nodes.select("node_id", "label")
+    small = fits(ids, BROADCAST_ROWS)
     source = ids.toDF("sourceID", "source")
     target = ids.toDF("targetID", "target")
     # Many links share an end, so neither join may shuffle by label alone.
-    with_source = join_attributes(links, source, "source", "inner")
-    return join_attributes(with_source, target, "target", "inner")
+    with_source = join_attributes(links, source, "source", "inner", small)
+    return join_attributes(with_source, target, "target", "inner", small)
 
 
 def threshold_links(

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.dates import as_date
 from trailmark.operators.events import filter_events, within_dates
+from trailmark.operators.freeze import frozen
 from trailmark.operators.graph import (
     flow_links,
-    flow_nodes,
+    flow_moves,
     highlight_path,
     link_ids,
+    links_of,
+    nodes_of,
     threshold_links,
 )
 from trailmark.operators.ordered import GROUP_ROWS
@@ -30,10 +33,12 @@ def flow_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of a sequence; links carry the ids of their nodes.
 
-    Reads the sequence once for the nodes and once for the links: pass a materialised one.
+    The sequence is read once, and added up to a table from which both are made; counting
+    `sessions` reads it a second time.
     """
-    nodes = flow_nodes(sequence)
-    links = flow_links(sequence, by, sessions)
+    moves = frozen(flow_moves(sequence, by))
+    nodes = nodes_of(moves)
+    links = flow_links(sequence, by, sessions) if sessions else links_of(moves, by)
     if min_count is not None or pct is not None:
         links = threshold_links(links, min_count, pct)
     links = link_ids(links, nodes)

@@ -12,7 +12,7 @@ from trailmark.functions.columns import NOT_TOLL_FREE
 from trailmark.functions.dates import as_date
 from trailmark.operators.callers import callbacks, caller_sessions
 from trailmark.operators.events import filter_events
-from trailmark.operators.freeze import frozen, join_attributes
+from trailmark.operators.freeze import BROADCAST_ROWS, fits, frozen, join_attributes
 from trailmark.operators.ordered import GROUP_ROWS, Heavy, heavy_keys
 from trailmark.operators.paths import (
     name_paths,
@@ -22,9 +22,6 @@ from trailmark.operators.paths import (
 )
 from trailmark.operators.steps import step_metrics, step_parts
 
-# Caller rows of heavy sessions that are broadcast; more are joined on salted keys.
-BROADCAST_CALLERS = 100_000
-
 _STEP_COLUMNS = {
     "SessionId": "user_id",
     "ActionId": "event_name",
@@ -57,7 +54,7 @@ def user_sequence(
     """
     kept = filter_events(events, flows, start, end)
     heavy = heavy_keys(kept, ["SessionId"], group_rows)
-    paths = frozen(paths_of(kept, ["SessionId"], heavy))
+    paths = frozen(paths_of(kept, ["SessionId"], heavy).drop("Duration"))
     ranks = rank_paths(path_frequencies(paths))
     names = name_paths(paths.select("SessionId", "Path"), ranks).select(
         "SessionId", "path_nickname"
@@ -81,8 +78,8 @@ def _heavy_attributed(steps, names, calls, heavy: Heavy) -> DataFrame:
     names = F.broadcast(heavy.split(names, ["SessionId"])[1])
     calls = frozen(heavy.split(calls, ["SessionId"])[1])
     named = steps.join(names, "SessionId")
-    joined = join_attributes(named, calls, "SessionId", "left", BROADCAST_CALLERS)
-    return _public(joined)
+    small = fits(calls, BROADCAST_ROWS)
+    return _public(join_attributes(named, calls, "SessionId", "left", small))
 
 
 def _public(rows: DataFrame) -> DataFrame:
