@@ -408,6 +408,12 @@ ORACLE: dict[str, str] = {
     "path_ranks": _with(
         _FILTERED, _paths("filtered", "SessionId"), _ranks(), "SELECT * FROM named"
     ),
+    "session_nicknames": _with(
+        _FILTERED,
+        _paths("filtered", "SessionId"),
+        _ranks(),
+        "SELECT SessionId, Path, nickname AS path_nickname FROM paths JOIN named USING (Path)",
+    ),
     "top_paths": _with(
         _FILTERED,
         _paths("filtered", "SessionId, FlowName"),
@@ -484,6 +490,21 @@ in_scope AS (
 SELECT TollFreeNumber, date, round(avg_duration, 6) AS avg_duration, "count",
        {_full("avg_duration", "TollFreeNumber", rows=3)} AS mean_3,
        {_full('"count"', "TollFreeNumber", rows=3, fn="sum")} AS sum_3
+FROM daily""",
+    ),
+    "top_nicknames": _with(_SEQUENCE, _DAILY_TOP, "SELECT path_nickname FROM top"),
+    "daily_top_paths": _with(
+        _SEQUENCE,
+        _DAILY_TOP,
+        'SELECT path_nickname, date, round(avg_duration, 6) AS avg_duration, "count" FROM daily',
+    ),
+    "daily_callbacks": _with(
+        _SEQUENCE,
+        _daily_callbacks(),
+        """
+SELECT TollFreeNumber, date, round(avg_duration, 6) AS avg_duration,
+       round(avg_previous_duration, 6) AS avg_previous_duration,
+       round(avg_days_since_last_call, 6) AS avg_days_since_last_call, "count"
 FROM daily""",
     ),
     "trend_frame": _with(
@@ -502,6 +523,18 @@ SELECT g.*, {_color('1-Path_Freq_Rank')} FROM ({_GRAPH}) g
 WHERE "count" >= (SELECT floor(max("count") * 0.1) FROM links)""",
     ),
     "dashboard_callbacks": _with(_SEQUENCE, _SHOWN, _daily_callbacks("shown"), _CALLBACK_TREND),
+    "daily_sessions": _with(
+        _EXITS,
+        'SELECT CAST("TimeStamp" AS DATE) AS date, FlowName, '
+        'count(DISTINCT SessionId) AS "count" FROM exits GROUP BY ALL',
+    ),
+    "daily_path_length": _with(
+        _EXITS,
+        'SELECT CAST("TimeStamp" AS DATE) AS date, FlowName, '
+        'count(DISTINCT SessionId) AS "count", '
+        "round(avg(length(Path) - length(replace(Path, ';', ''))), 6) AS avg_pathLength "
+        "FROM exits GROUP BY ALL",
+    ),
     "daily_session_trend": _with(
         _EXITS,
         """
@@ -583,6 +616,11 @@ calls AS (
     "conversation_path_ranks": _with(
         _CHATS, _paths("chats", "SessionId"), _ranks(), "SELECT * FROM named"
     ),
+    "conversation_path_lengths": _with(
+        _CHATS,
+        _paths("chats", "SessionId"),
+        "SELECT SessionId, length(Path) - length(replace(Path, ';', '')) AS pathLength FROM paths",
+    ),
     "conversation_steps": _with(_CHATS, _steps("chats"), _SLIM),
     "shipment_steps": _with(_SHIPMENTS, "SELECT * FROM seq"),
     "flow_graph_from_log": _with(_SHIPMENTS, _links(by=""), _nodes(), _GRAPH),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import trailmark as tm
 from contract import mapping
 from contract.mapping import END, FLOWS, START
+from trailmark.functions import path_length
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,17 @@ def _frequencies(events: DataFrame) -> DataFrame:
     return tm.path_frequencies(tm.session_paths(events))
 
 
+def _nicknames(events: DataFrame) -> DataFrame:
+    paths = tm.session_paths(events)
+    ranks = tm.rank_paths(tm.path_frequencies(paths))
+    return tm.name_paths(paths.select("SessionId", "Path"), ranks)
+
+
+def _path_lengths(spark, sf_dir):
+    paths = tm.session_paths(mapping.conversation_events(spark, sf_dir))
+    return paths.select("SessionId", path_length(F.col("Path")).alias("pathLength"))
+
+
 def _order_calls(spark, sf_dir):
     calls = mapping.order_calls(spark, sf_dir)
     return tm.callbacks(
@@ -114,6 +126,9 @@ PANELS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "daily_event_trend_ungrouped": lambda s: tm.daily_event_trend(s, by=()),
     "callback_trend": tm.callback_trend,
     "rolling_three": _rolling_three,
+    "top_nicknames": tm.top_nicknames,
+    "daily_top_paths": tm.daily_top_paths,
+    "daily_callbacks": tm.daily_callbacks,
     "trend_frame": lambda s: tm.trend_frame(
         tm.top_path_trend_from_sequence(s), "path_nickname", ["count", "avg_duration"], *WINDOW
     ),
@@ -137,6 +152,7 @@ QUERIES: dict[str, Query] = {
     "session_flow_paths": _of_kept(lambda kept: tm.session_paths(kept, ["SessionId", "FlowName"])),
     "path_frequencies": _of_kept(_frequencies),
     "path_ranks": _of_kept(lambda kept: tm.rank_paths(_frequencies(kept))),
+    "session_nicknames": _of_kept(_nicknames),
     "top_paths": _of_events(lambda log: tm.top_paths(log, FLOWS, START, END)),
     "sessions_on_path": _of_events(
         lambda log: tm.sessions_on_path(log, "1-Path_Freq_Rank", FLOWS, START, END)
@@ -148,6 +164,8 @@ QUERIES: dict[str, Query] = {
     "callbacks": _of_kept(lambda kept: tm.callbacks(tm.caller_sessions(kept))),
     "user_sequence": _sequence,
     **{name: of_sequence(panel) for name, panel in PANELS.items()},
+    "daily_sessions": _of_exits(tm.daily_sessions),
+    "daily_path_length": _of_exits(tm.daily_path_length),
     "daily_session_trend": _of_exits(lambda exits: tm.daily_session_trend(exits, FLOWS)),
     "flow_trend": _of_exits(tm.flow_trend),
     "top_path_trend": _of_events(lambda log: rounded(tm.top_path_trend(log, FLOWS, START, END))),
@@ -162,6 +180,7 @@ QUERIES: dict[str, Query] = {
     "conversation_path_ranks": lambda spark, sf_dir: tm.rank_paths(
         _frequencies(mapping.conversation_events(spark, sf_dir))
     ),
+    "conversation_path_lengths": _path_lengths,
     "conversation_steps": lambda spark, sf_dir: tm.step_sequence(
         mapping.conversation_events(spark, sf_dir)
     ),

@@ -29,6 +29,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def uncached(spark):
+    """Plans of one module must not read what another has persisted."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def small():
     return SMALL

@@ -8,6 +8,7 @@ from contract.mapping import END, FLOWS, START, events_log, exit_events, familie
 from tests.conftest import rows
 from tests.edge import FLOW, edge_families
 from trailmark import schemas
+from trailmark.operators import freeze
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +99,34 @@ def test_customer_and_exclusive_start(spark):
     assert tm.filter_events(events, customers=["8"]).count() == 0
     after = tm.filter_events(events, FLOW, start="2020-07-02", start_exclusive=True)
     assert {r.SessionId for r in after.collect()} == {"S5", "S6"}
+
+
+def test_frozen_tables_go_where_the_session_says(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    table = freeze.frozen(spark.range(5).filter("id > 9"))
+    assert table.count() == 0 and table.columns == ["id"]
+    table = freeze.frozen(spark.range(5))
+    assert all(folder in file for file in table.inputFiles())
+    assert rows(table) == [(n,) for n in range(5)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        freeze.ensure_checkpoint_dir(Session())

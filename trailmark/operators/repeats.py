@@ -75,7 +75,7 @@ def _points(calls: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("_sign"), F.lit(None).cast("string").alias("_session")),
         F.struct(F.lit(-1).alias("_sign"), F.col("SessionId").cast("string").alias("_session")),
     )
-    duration = F.round(F.col("CallDuration") * _MICROS_PER_SECOND).cast("long")
+    duration = F.rint(F.col("CallDuration") * _MICROS_PER_SECOND).cast("long")
     square = _exact("_micros") * _exact("_micros")
     nothing = F.lit(0).cast(_EXACT)
     added = (
@@ -147,16 +147,20 @@ def _later_sums(rows: DataFrame) -> DataFrame:
     )
 
 
-def _borrow_sums(rows: DataFrame, bits: int, heavy: Heavy | None, group_rows: int | None) -> DataFrame:
+def _borrow_sums(
+    rows: DataFrame, bits: int, heavy: Heavy | None, group_rows: int | None
+) -> DataFrame:
     """Per instant and bit: what the borrows change in the sums of days and of their squares."""
     # A call borrows at the bits where a later day can differ, and lends where an earlier one can.
-    bit = "shiftright(_day, level) & 1L"
-    reach = "shiftright(_day ^ if(bit = 0, _newest, _oldest), level)"
     candidates = F.expr(
-        f"filter(transform(sequence(0, {bits - 1}), level -> named_struct("
-        f"'_level', level, '_bit', {bit})), x -> "
-        + reach.replace("level", "x._level").replace("bit", "x._bit")
-        + " > 0)"
+        f"""
+        filter(
+          transform(
+            sequence(0, {bits - 1}),
+            bit -> named_struct('_level', bit, '_bit', shiftright(_day, bit) & 1L)
+          ),
+          at -> shiftright(_day ^ if(at._bit = 0, _newest, _oldest), at._level) > 0
+        )"""
     )
     levels = rows.select(
         *_KEYS,
@@ -201,10 +205,11 @@ def _statistics(sums: DataFrame, by: list[str]) -> DataFrame:
     names = [name for name in sums.columns if name not in ("date", "TollFreeNumber", "_sign")]
     totals = sums.groupBy(*by).agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names])
     made = [F.col("pairs").cast("long").alias("count")]
-    for name, columns, unit in (
-        ("days_between_calls", ("pairs", "days", "day_squares"), 1),
-        ("first_call_duration", ("first_known", "first_sum", "first_squares"), _MICROS_PER_SECOND),
-        ("second_call_duration", ("second_known", "second_sum", "second_squares"), _MICROS_PER_SECOND),
+    second = _MICROS_PER_SECOND
+    for name, unit, *columns in (
+        ("days_between_calls", 1, "pairs", "days", "day_squares"),
+        ("first_call_duration", second, "first_known", "first_sum", "first_squares"),
+        ("second_call_duration", second, "second_known", "second_sum", "second_squares"),
     ):
         mean, deviation = _moments(*columns)
         made += [(mean / unit).alias(f"mean_{name}"), (deviation / unit).alias(f"std_{name}")]

@@ -134,7 +134,9 @@ def callback_trend(sequence: DataFrame) -> DataFrame:
     return rolling(daily, columns, ["TollFreeNumber"], ["date"], **FULL_FRAME)
 
 
-def trend_frame(df: DataFrame, series: str, metrics: Sequence[str], start=None, end=None) -> DataFrame:
+def trend_frame(
+    df: DataFrame, series: str, metrics: Sequence[str], start=None, end=None
+) -> DataFrame:
     """Long form of a daily trend: (series, date, metric, rolling, value, metric_max).
 
     Each metric gives a raw and a rolling line; `metric_max` is the largest value of the line over
