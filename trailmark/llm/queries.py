@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import licenses, lines, mixing, warc
+from trailmark.llm import classifier, licenses, lines, mixing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are documents labelled as good and not toxic."""
+    labels = _table(spark, sf_dir, "labels")
+    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0")
+    return classifier.classify(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC files, audited against a replica with known damage.
 
@@ -85,6 +92,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs)
@@ -92,7 +103,9 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_warc_fixity": op5_warc_fixity,
     "op6_line_dedup": op6_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
 }
