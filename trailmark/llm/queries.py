@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import classifier, licenses, lines, mixing, quality, warc
+from trailmark.llm import classifier, fingerprints, licenses, lines, mixing, neardup, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +94,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(text: str) -> str:
+        return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+    return fingerprints.edit_probe(_table(spark, sf_dir, "documents"), digest)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -101,11 +110,17 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_warc_fixity": op5_warc_fixity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
+    "op10_minhash_neardup": op10_minhash_neardup,
 }
