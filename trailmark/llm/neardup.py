@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,17 +284,17 @@ class _Links:
         )
 
     def resolve(self, pending: DataFrame, sets: DataFrame, percent: int) -> None:
-        """Confirm pairs, the best of each class first, until all are confirmed, refused or inside
-        one component."""
-        while pending.limit(1).count():
-            chosen = frozen(
-                pending.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
-            )
-            found = frozen(_confirmed(chosen, sets, percent))
-            if found.limit(1).count():
-                self.links = frozen(self.links.union(found))
-                self.labels = connected(self.links)
-            pending = frozen(self.across(pending.join(chosen, ["a", "b"], "left_anti")))
+        """Confirm pairs: the best of each class, then those that are not in one component yet."""
+        best = pending.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
+        self._confirm(frozen(best), sets, percent)
+        rest = pending.join(best, ["a", "b"], "left_anti").select("a", "b")
+        self._confirm(frozen(self.across(rest)), sets, percent)
+
+    def _confirm(self, pairs: DataFrame, sets: DataFrame, percent: int) -> None:
+        found = frozen(_confirmed(pairs, sets, percent))
+        if found.limit(1).count():
+            self.links = frozen(self.links.union(found))
+            self.labels = connected(self.links)
 
 
 def _list_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -325,34 +324,69 @@ def _list_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> D
     )
     signed = spread.join(classes.select("class", "signature"), "class")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = group["_low"].iloc[0], group["_high"].iloc[0]
-        one = group[group["_block"] == low]
-        two = group[group["_block"] == high]
-        signs = [
-            np.frombuffer(b"".join(side["signature"]), np.uint32).reshape(-1, COORDINATES)
-            for side in (one, two)
-        ]
-        names = [side["class"].to_numpy() for side in (one, two)]
-        parts = [side["component"].to_numpy() for side in (one, two)]
-        found = []
-        for i in range(len(names[0])):
-            matches = (signs[1] == signs[0][i]).sum(axis=1)
-            hit = (matches >= MIN_MATCHES) & (parts[1] != parts[0][i])
-            if low == high:
-                hit[: i + 1] = False
-            for j in np.flatnonzero(hit):
-                pair = sorted((int(names[0][i]), int(names[1][j])))
-                found.append((*pair, int(matches[j])))
-        return pd.DataFrame(found, columns=["a", "b", "matches"])
-
+    ordered = ["key", "_low", "_high", "class"]
     return (
-        signed.groupBy("key", "_low", "_high")
-        .applyInPandas(compare, "a long, b long, matches long")
+        signed.repartition(*ordered[:3])
+        .sortWithinPartitions(*ordered)
+        .mapInArrow(_compared, "a long, b long, matches long")
         .distinct()
     )
 
 
+def _group_pairs(
+    own: np.ndarray, classes: np.ndarray, parts: np.ndarray, signs: np.ndarray
+) -> np.ndarray:
+    """Candidates (a, b, matches) between the two blocks of a group, or inside its only one.
+
+    `own` tells the rows of the lower block from those of the upper.
+    """
+    one = np.flatnonzero(own)
+    two = np.flatnonzero(~own)
+    found = []
+    for place, i in enumerate(one):
+        others = two if len(two) else one[place + 1 :]
+        others = others[parts[others] != parts[i]]
+        matches = (signs[others] == signs[i]).sum(axis=1)
+        hit = matches >= MIN_MATCHES
+        if hit.any():
+            names = classes[others[hit]]
+            least, most = np.minimum(names, classes[i]), np.maximum(names, classes[i])
+            found.append(np.stack([least, most, matches[hit]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_group_pairs` of each group (key, _low, _high) in sorted rows."""
+    columns = ["key", "_low", "_high", "_block", "class", "component"]
+    held: tuple[np.ndarray, np.ndarray] | None = None
+
+    def groups(rows: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+        found = [
+            _group_pairs(rows[s:e, 3] == rows[s, 1], rows[s:e, 4], rows[s:e, 5], signs[s:e])
+            for s, e in zip(starts, [*starts[1:], len(rows)])
+        ]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=["a", "b", "matches"]
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns], axis=1)
+        signs = _signatures(batch.column("signature"))
+        if held is not None:
+            rows, signs = np.concatenate([held[0], rows]), np.concatenate([held[1], signs])
+        last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
+        end = last[-1] + 1 if len(last) else 0
+        if end:
+            yield groups(rows[:end], signs[:end])
+        held = rows[end:], signs[end:]
+    if held is not None:
+        yield groups(*held)
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -400,12 +434,9 @@ def near_duplicates(
         )
         if sets is not None:
             wanted = frozen(wanted.join(sets, "class", "left_anti"))
-        if wanted.limit(1).count():
-            more = frozen(_sets(docs, wanted, shingle, text_column))
-            sets = more if sets is None else sets.union(more)
-            state.resolve(pending, sets, percent)
-        elif sets is not None:
-            state.resolve(pending, sets, percent)
+        more = frozen(_sets(docs, wanted, shingle, text_column))
+        sets = more if sets is None else sets.union(more)
+        state.resolve(pending, sets, percent)
         if step == 0:
             pending = frozen(_list_pairs(postings, state.labels, classes))
 
