@@ -5,8 +5,10 @@ posted under its (coordinate, value) keys. Two classes that agree in MIN_MATCHES
 of the COORDINATES - MIN_MATCHES + 1 keys that come first in any common order; keys are ordered by how
 often they occur, rare ones first, and only these prefixes are posted. Members of a list are compared
 with its least and greatest member first, which joins groups of copies without listing their pairs.
-Lists whose members are then not yet in one component are compared pair by pair inside tasks, block by
-block. All candidates are confirmed on the full sets.
+Where the members of a list are then not in one component, signatures are compared inside tasks, block
+by block, to find which classes may belong to which other component; these are compared with all its
+members on the full sets, and one link is kept. So no pairs inside a group are listed, and no link
+between components is lost. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ CELL_BITS = 16
 BROADCAST_CLASSES = 1_000_000
 # Members of a list that one task compares with as many others.
 BLOCK = 1000
+# Bytes of packed sets that one task compares with as many others.
+BLOCK_BYTES = 4_000_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(1))
 _FACTORS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -291,100 +295,217 @@ class _Links:
         self._confirm(frozen(self.across(rest)), sets, percent)
 
     def _confirm(self, pairs: DataFrame, sets: DataFrame, percent: int) -> None:
-        found = frozen(_confirmed(pairs, sets, percent))
+        self.add(frozen(_confirmed(pairs, sets, percent)))
+
+    def add(self, found: DataFrame) -> None:
         if found.limit(1).count():
             self.links = frozen(self.links.union(found))
             self.labels = connected(self.links)
 
 
-def _list_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """`a`, `b`, `matches` of candidates in lists whose members are in several components."""
+def _open_questions(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """`class`, `component`: which classes must be compared with which other components.
+
+    They come from lists whose members are in several components: the signatures of two members agree
+    in MIN_MATCHES places, and the class is the one in the smaller component. A component is named
+    once per class, however many of its members are candidates.
+    """
+    members = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_members"))
+    known = labels.join(members, "component")
     placed = frozen(
-        postings.join(labels, "class", "left").select(
-            "key", "class", F.coalesce("component", "class").alias("component")
+        postings.join(known, "class", "left").select(
+            "key",
+            "class",
+            F.coalesce("component", "class").alias("component"),
+            F.coalesce("_members", F.lit(1)).alias("_members"),
         )
     )
     split = (
         placed.groupBy("key")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        .filter("_n > 1 and _lo < _hi")
+        .filter("_lo < _hi")
         .select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     )
-    members = placed.join(split, "key").withColumn(
+    blocks = placed.join(split, "key").withColumn(
         "_block", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int")
     )
     others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    spread = members.withColumn("_other", others).select(
+    spread = blocks.withColumn("_other", others).select(
         "key",
         F.least("_block", "_other").alias("_low"),
         F.greatest("_block", "_other").alias("_high"),
         "_block",
         "class",
         "component",
+        "_members",
     )
     signed = spread.join(classes.select("class", "signature"), "class")
-
     ordered = ["key", "_low", "_high", "class"]
     return (
         signed.repartition(*ordered[:3])
         .sortWithinPartitions(*ordered)
-        .mapInArrow(_compared, "a long, b long, matches long")
+        .mapInArrow(_asked, "class long, component long")
         .distinct()
     )
 
 
-def _group_pairs(
-    own: np.ndarray, classes: np.ndarray, parts: np.ndarray, signs: np.ndarray
-) -> np.ndarray:
-    """Candidates (a, b, matches) between the two blocks of a group, or inside its only one.
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal `keys`, whole groups, several at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = np.ones(batch.num_rows, bool)
+        for key in keys:
+            column = batch.column(key).to_numpy()
+            last &= column == column[-1]
+        other = np.flatnonzero(~last)
+        end = other[-1] + 1 if len(other) else 0
+        same = bool(held) and all(
+            held[-1].column(key)[-1].as_py() == batch.column(key)[0].as_py() for key in keys
+        )
+        if held and (end or not same):
+            yield pa.Table.from_batches([*held, batch.slice(0, end)] if same else held)
+            if not same and end:
+                yield pa.Table.from_batches([batch.slice(0, end)])
+            held = []
+        elif end:
+            yield pa.Table.from_batches([batch.slice(0, end)])
+        held.append(batch.slice(end))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
+    """Where the groups of a table from `_grouped` begin and end."""
+    edge = np.zeros(table.num_rows, bool)
+    edge[:1] = True
+    for key in keys:
+        column = table.column(key).to_numpy()
+        edge[1:] |= column[1:] != column[:-1]
+    starts = np.flatnonzero(edge).tolist()
+    return zip(starts, [*starts[1:], table.num_rows])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, component) of candidates in each pair of blocks (key, _low, _high)."""
+    keys = ["key", "_low", "_high"]
+    for table in _grouped(batches, keys):
+        low, block, classes, parts, members = (
+            table.column(n).to_numpy() for n in ("_low", "_block", "class", "component", "_members")
+        )
+        signs = _signatures(table.column("signature"))
+        found: set[tuple[int, int]] = set()
+        for start, end in _runs(table, keys):
+            inside = np.arange(start, end)
+            one = inside[block[start:end] == low[start]]
+            two = inside[block[start:end] != low[start]]
+            for place, i in enumerate(one):
+                rest = two if len(two) else one[place + 1 :]
+                rest = rest[parts[rest] != parts[i]]
+                hit = rest[(signs[rest] == signs[i]).sum(axis=1) >= MIN_MATCHES]
+                mine = (members[i], parts[i])
+                for j in hit.tolist():
+                    if mine < (members[j], parts[j]):
+                        found.add((int(classes[i]), int(parts[j])))
+                    else:
+                        found.add((int(classes[j]), int(parts[i])))
+        if found:
+            names, against = zip(*sorted(found))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.array(against, pa.int64())],
+                names=["class", "component"],
+            )
+
+
+def _answers(questions: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A link (a, b) for each class and component of `questions` between which there is one.
 
-    `own` tells the rows of the lower block from those of the upper.
+    Classes and members of a component meet in tasks block by block, with their full sets.
     """
-    one = np.flatnonzero(own)
-    two = np.flatnonzero(~own)
-    found = []
-    for place, i in enumerate(one):
-        others = two if len(two) else one[place + 1 :]
-        others = others[parts[others] != parts[i]]
-        matches = (signs[others] == signs[i]).sum(axis=1)
-        hit = matches >= MIN_MATCHES
-        if hit.any():
-            names = classes[others[hit]]
-            least, most = np.minimum(names, classes[i]), np.maximum(names, classes[i])
-            found.append(np.stack([least, most, matches[hit]], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`_group_pairs` of each group (key, _low, _high) in sorted rows."""
-    columns = ["key", "_low", "_high", "_block", "class", "component"]
-    held: tuple[np.ndarray, np.ndarray] | None = None
-
-    def groups(rows: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
-        found = [
-            _group_pairs(rows[s:e, 3] == rows[s, 1], rows[s:e, 4], rows[s:e, 5], signs[s:e])
-            for s, e in zip(starts, [*starts[1:], len(rows)])
-        ]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=["a", "b", "matches"]
+    sized = sets.withColumn("_size", F.length("members"))
+    asked = questions.join(sized, "class").withColumn("_side", F.lit(0))
+    touched = questions.select("component").distinct()
+    own = touched.join(labels, "component", "left").select(
+        F.coalesce("class", "component").alias("class"), "component"
+    )
+    there = own.join(sized, "class").withColumn("_side", F.lit(1))
+    rows = asked.unionByName(there)
+    blocks = (
+        rows.groupBy("component")
+        .agg(
+            *[
+                F.ceil(F.sum(F.when(F.col("_side") == side, F.col("_size"))) / BLOCK_BYTES)
+                .cast("int")
+                .alias(f"_blocks{side}")
+                for side in (0, 1)
+            ]
+        )
+        .filter("_blocks0 is not null and _blocks1 is not null")
+    )
+    side = F.col("_side") == 0
+    mine = F.pmod(F.xxhash64("class"), F.when(side, F.col("_blocks0")).otherwise(F.col("_blocks1")))
+    every = F.explode(
+        F.sequence(F.lit(0), F.when(side, F.col("_blocks1")).otherwise(F.col("_blocks0")) - 1)
+    )
+    spread = (
+        rows.join(blocks, "component")
+        .withColumn("_mine", mine.cast("int"))
+        .withColumn("_other", every)
+        .select(
+            "component",
+            F.when(side, F.col("_mine")).otherwise(F.col("_other")).alias("_x"),
+            F.when(side, F.col("_other")).otherwise(F.col("_mine")).alias("_y"),
+            "_side",
+            "class",
+            "members",
         )
+    )
+    keys = ["component", "_x", "_y"]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns], axis=1)
-        signs = _signatures(batch.column("signature"))
-        if held is not None:
-            rows, signs = np.concatenate([held[0], rows]), np.concatenate([held[1], signs])
-        last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
-        end = last[-1] + 1 if len(last) else 0
-        if end:
-            yield groups(rows[:end], signs[:end])
-        held = rows[end:], signs[end:]
-    if held is not None:
-        yield groups(*held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, keys):
+            sides, classes = (table.column(n).to_numpy() for n in ("_side", "class"))
+            found = []
+            for start, end in _runs(table, keys):
+                group = [_unpack(m.as_py()) for m in table.column("members")[start:end]]
+                first = int((sides[start:end] == 0).sum())
+                if 0 < first < len(group):
+                    found += [
+                        (int(classes[start + i]), int(classes[start + first + j]))
+                        for i, j in _overlapping(group[:first], group[first:], percent)
+                    ]
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
+                )
+
+    return (
+        spread.repartition(*keys)
+        .sortWithinPartitions(*keys, "_side", "class")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
+def _overlapping(
+    one: list[np.ndarray], two: list[np.ndarray], percent: int
+) -> Iterator[tuple[int, int]]:
+    """For each set of `one` the first of `two` that overlaps it enough, as places."""
+    _, ids = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    sizes = np.array([len(x) for x in (*one, *two)])
+    starts = np.cumsum(sizes) - sizes
+    split = starts[len(one)]
+    right, offsets, others = ids[split:], starts[len(one) :] - split, sizes[len(one) :]
+    marked = np.zeros(len(ids), bool)
+    for i in range(len(one)):
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        shared = np.add.reduceat(marked[right].astype(np.int64), offsets)
+        marked[own] = False
+        hit = np.flatnonzero(100 * shared >= percent * (sizes[i] + others - shared))
+        if len(hit):
+            yield i, int(hit[0])
 
 
 def near_duplicates(
@@ -427,18 +548,19 @@ def near_duplicates(
     )
     state = _Links(docs.sparkSession)
     pending = frozen(_matching(stars, classes))
-    sets = None
-    for step in range(2):
-        wanted = frozen(
-            pending.select(F.col("a").alias("class")).union(pending.select("b")).distinct()
-        )
-        if sets is not None:
-            wanted = frozen(wanted.join(sets, "class", "left_anti"))
-        more = frozen(_sets(docs, wanted, shingle, text_column))
-        sets = more if sets is None else sets.union(more)
-        state.resolve(pending, sets, percent)
-        if step == 0:
-            pending = frozen(_list_pairs(postings, state.labels, classes))
+    wanted = frozen(pending.select(F.col("a").alias("class")).union(pending.select("b")).distinct())
+    state.resolve(pending, frozen(_sets(docs, wanted, shingle, text_column)), percent)
+
+    questions = frozen(_open_questions(postings, state.labels, classes))
+    against = (
+        questions.select("component")
+        .distinct()
+        .join(state.labels, "component", "left")
+        .select(F.coalesce("class", "component").alias("class"))
+    )
+    wanted = frozen(questions.select("class").union(against).distinct())
+    sets = frozen(_sets(docs, wanted, shingle, text_column))
+    state.add(frozen(_answers(questions, state.labels, sets, percent)))
 
     least = classes.join(state.labels, "class", "left").select(
         "class", "least", F.coalesce("component", "class").alias("component")
