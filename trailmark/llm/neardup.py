@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -137,18 +138,21 @@ def _frequencies(classes: DataFrame) -> np.ndarray:
     return total
 
 
-def _postings(classes: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """`key`, `class`: each class under the first PREFIX of its keys, rare ones first."""
-    shared = classes.sparkSession.sparkContext.broadcast(frequencies)
+def _prefix(keys: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+    """The places of the first PREFIX keys of each row, rare ones first."""
+    often = frequencies[(keys >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+    return np.lexsort((keys, often), axis=1)[:, :PREFIX]
+
+
+def _postings(classes: DataFrame, shared: Broadcast) -> DataFrame:
+    """`key`, `class`: each class under the first PREFIX of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = _keys(_signatures(batch.column("signature")))
-            often = shared.value[(keys >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-            order = np.lexsort((keys, often), axis=1)[:, :PREFIX]
-            first = np.take_along_axis(keys, order, axis=1)
+            first = np.take_along_axis(keys, _prefix(keys, shared.value), axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(first.ravel().view(np.int64)),
@@ -303,12 +307,14 @@ class _Links:
             self.labels = connected(self.links)
 
 
-def _open_questions(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def _open_questions(
+    postings: DataFrame, labels: DataFrame, classes: DataFrame, shared: Broadcast, percent: int
+) -> DataFrame:
     """`class`, `component`: which classes must be compared with which other components.
 
     They come from lists whose members are in several components: the signatures of two members agree
-    in MIN_MATCHES places, and the class is the one in the smaller component. A component is named
-    once per class, however many of its members are candidates.
+    in MIN_MATCHES places, their sizes allow a link, and the class is the one in the smaller
+    component. Of the lists that two classes share only that of the first place counts them.
     """
     members = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_members"))
     known = labels.join(members, "component")
@@ -339,12 +345,16 @@ def _open_questions(postings: DataFrame, labels: DataFrame, classes: DataFrame)
         "component",
         "_members",
     )
-    signed = spread.join(classes.select("class", "signature"), "class")
+    signed = spread.join(classes.select("class", "n", "signature"), "class")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _asked(batches, shared.value, percent)
+
     ordered = ["key", "_low", "_high", "class"]
     return (
         signed.repartition(*ordered[:3])
         .sortWithinPartitions(*ordered)
-        .mapInArrow(_asked, "class long, component long")
+        .mapInArrow(asked, "class long, component long")
         .distinct()
     )
 
@@ -387,14 +397,20 @@ def _runs(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
     return zip(starts, [*starts[1:], table.num_rows])
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(
+    batches: Iterator[pa.RecordBatch], frequencies: np.ndarray, percent: int
+) -> Iterator[pa.RecordBatch]:
     """(class, component) of candidates in each pair of blocks (key, _low, _high)."""
     keys = ["key", "_low", "_high"]
     for table in _grouped(batches, keys):
         low, block, classes, parts, members = (
             table.column(n).to_numpy() for n in ("_low", "_block", "class", "component", "_members")
         )
-        signs = _signatures(table.column("signature"))
+        signs, sizes = _signatures(table.column("signature")), table.column("n").to_numpy()
+        posted = _keys(signs)
+        place_of = (posted == table.column("key").to_numpy().view(np.uint64)[:, None]).argmax(axis=1)
+        inside_prefix = np.zeros(posted.shape, bool)
+        np.put_along_axis(inside_prefix, _prefix(posted, frequencies), True, axis=1)
         found: set[tuple[int, int]] = set()
         for start, end in _runs(table, keys):
             inside = np.arange(start, end)
@@ -403,7 +419,13 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for place, i in enumerate(one):
                 rest = two if len(two) else one[place + 1 :]
                 rest = rest[parts[rest] != parts[i]]
-                hit = rest[(signs[rest] == signs[i]).sum(axis=1) >= MIN_MATCHES]
+                alike = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(
+                    sizes[rest], sizes[i]
+                )
+                rest = rest[alike]
+                equal = signs[rest] == signs[i]
+                first = (equal & inside_prefix[rest] & inside_prefix[i]).argmax(axis=1)
+                hit = rest[(equal.sum(axis=1) >= MIN_MATCHES) & (first == place_of[i])]
                 mine = (members[i], parts[i])
                 for j in hit.tolist():
                     if mine < (members[j], parts[j]):
@@ -531,9 +553,10 @@ def near_duplicates(
     classes = frozen(
         rows.filter("class is not null")
         .groupBy("class")
-        .agg(F.min("_id").alias("least"), F.first("signature").alias("signature"))
+        .agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     )
-    postings = frozen(_postings(classes, _frequencies(classes)))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(classes))
+    postings = frozen(_postings(classes, shared))
     ends = (
         postings.groupBy("key")
         .agg(F.min("class").alias("_lo"), F.max("class").alias("_hi"))
@@ -551,7 +574,7 @@ def near_duplicates(
     wanted = frozen(pending.select(F.col("a").alias("class")).union(pending.select("b")).distinct())
     state.resolve(pending, frozen(_sets(docs, wanted, shingle, text_column)), percent)
 
-    questions = frozen(_open_questions(postings, state.labels, classes))
+    questions = frozen(_open_questions(postings, state.labels, classes, shared, percent))
     against = (
         questions.select("component")
         .distinct()

@@ -7,7 +7,10 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import classifier, fingerprints, licenses, lines, mixing, neardup, quality, warc
+from trailmark.llm import classifier, fingerprints, licenses, lines, mixing, neardup, quality, sentencepieces, warc
+
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,36 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op4_sentencepiece(
+    spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL
+) -> DataFrame:
+    """Sampled segmentations of each document as sizes, scores and hashes; the first one decoded."""
+    docs = _table(spark, sf_dir, "documents")
+    vocabulary = sentencepieces.Vocabulary(model_file)
+    return segmentation_digest(docs, vocabulary)
+
+
+def segmentation_digest(docs: DataFrame, vocabulary: sentencepieces.Vocabulary) -> DataFrame:
+    found = sentencepieces.sample_segmentations(docs, vocabulary)
+    first = found.withColumn("_ids", F.col("samples")[0]["ids"])
+    decoded = sentencepieces.decode(first, vocabulary, "_ids")
+    brief = F.transform(
+        "samples",
+        lambda s: F.struct(
+            F.size(s["ids"]).cast("long").alias("n_pieces"),
+            F.xxhash64(s["ids"]).alias("ids_hash"),
+            F.round(s["logp"], 6).alias("logp"),
+            F.round(s["log_inclusion"], 6).alias("log_inclusion"),
+        ),
+    )
+    return decoded.select(
+        "doc_id",
+        F.size("samples").cast("long").alias("n_samples"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        brief.alias("samples"),
+    )
+
+
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC files, audited against a replica with known damage.
 
@@ -117,6 +150,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_warc_fixity": op5_warc_fixity,
     "op6_line_dedup": op6_line_dedup,
     "op7_fingerprints": op7_fingerprints,

@@ -22,13 +22,15 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of `batches` with about CHUNK_CHARS of text each, or one longer text."""
+def chunks(
+    batches: Iterator[pa.RecordBatch], text: str, chars: int = CHUNK_CHARS
+) -> Iterator[pa.RecordBatch]:
+    """Slices of `batches` with about `chars` code points of text each, or one longer text."""
     for batch in batches:
         sizes = np.asarray(
             pc.fill_null(pc.utf8_length(batch.column(text)), 0).cast(pa.int64())
         )
-        starts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_CHARS, prepend=-1))
+        starts = np.flatnonzero(np.diff(np.cumsum(sizes) // chars, prepend=-1))
         for start, end in zip(starts, [*starts[1:], len(sizes)]):
             yield batch.slice(start, end - start)
 
@@ -48,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n-1 of an odd constant and of its inverse, modulo 2**64."""
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_ODD, _INVERSE)):
@@ -63,7 +65,7 @@ def window_hashes(of_words: np.ndarray, size: int) -> np.ndarray:
     n = len(of_words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(of_words))
+    up, down = powers(len(of_words))
     total = np.zeros(len(of_words) + 1, np.uint64)
     np.cumsum(of_words * up, out=total[1:])
     return mixed((total[size:] - total[:-size]) * down[:n])
