@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from trailmark.llm.streams import grouped, runs
 from trailmark.llm.words import hashes, mixed, window_hashes
 from trailmark.operators.freeze import fits, frozen
 
@@ -359,50 +360,12 @@ def _open_questions(
     )
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each run of equal `keys`, whole groups, several at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = np.ones(batch.num_rows, bool)
-        for key in keys:
-            column = batch.column(key).to_numpy()
-            last &= column == column[-1]
-        other = np.flatnonzero(~last)
-        end = other[-1] + 1 if len(other) else 0
-        same = bool(held) and all(
-            held[-1].column(key)[-1].as_py() == batch.column(key)[0].as_py() for key in keys
-        )
-        if held and (end or not same):
-            yield pa.Table.from_batches([*held, batch.slice(0, end)] if same else held)
-            if not same and end:
-                yield pa.Table.from_batches([batch.slice(0, end)])
-            held = []
-        elif end:
-            yield pa.Table.from_batches([batch.slice(0, end)])
-        held.append(batch.slice(end))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _runs(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
-    """Where the groups of a table from `_grouped` begin and end."""
-    edge = np.zeros(table.num_rows, bool)
-    edge[:1] = True
-    for key in keys:
-        column = table.column(key).to_numpy()
-        edge[1:] |= column[1:] != column[:-1]
-    starts = np.flatnonzero(edge).tolist()
-    return zip(starts, [*starts[1:], table.num_rows])
-
-
 def _asked(
     batches: Iterator[pa.RecordBatch], frequencies: np.ndarray, percent: int
 ) -> Iterator[pa.RecordBatch]:
     """(class, component) of candidates in each pair of blocks (key, _low, _high)."""
     keys = ["key", "_low", "_high"]
-    for table in _grouped(batches, keys):
+    for table in grouped(batches, keys):
         low, block, classes, parts, members = (
             table.column(n).to_numpy() for n in ("_low", "_block", "class", "component", "_members")
         )
@@ -412,7 +375,7 @@ def _asked(
         inside_prefix = np.zeros(posted.shape, bool)
         np.put_along_axis(inside_prefix, _prefix(posted, frequencies), True, axis=1)
         found: set[tuple[int, int]] = set()
-        for start, end in _runs(table, keys):
+        for start, end in runs(table, keys):
             inside = np.arange(start, end)
             one = inside[block[start:end] == low[start]]
             two = inside[block[start:end] != low[start]]
@@ -486,10 +449,10 @@ def _answers(questions: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     keys = ["component", "_x", "_y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, keys):
+        for table in grouped(batches, keys):
             sides, classes = (table.column(n).to_numpy() for n in ("_side", "class"))
             found = []
-            for start, end in _runs(table, keys):
+            for start, end in runs(table, keys):
                 group = [_unpack(m.as_py()) for m in table.column("members")[start:end]]
                 first = int((sides[start:end] == 0).sum())
                 if 0 < first < len(group):

@@ -7,7 +7,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import classifier, fingerprints, licenses, lines, mixing, neardup, quality, sentencepieces, warc
+from trailmark.llm import classifier, fingerprints, licenses, lines, mixing, neardup, quality, repeats, sentencepieces, warc
 
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -33,6 +33,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted are documents labelled as good and not toxic."""
     labels = _table(spark, sf_dir, "labels")
@@ -149,6 +154,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_warc_fixity": op5_warc_fixity,
