@@ -19,13 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.streams import grouped
+from trailmark.llm.streams import grouped, runs
 from trailmark.llm.words import chunks, hashes, window_hashes, words_of
 from trailmark.operators.freeze import frozen
 
 WINDOW = 35
 PREFIX = 16
 HOT_ROWS = 1000
+SALTS = 32
+PARTS = 4
+
+# Text that a task holds as words and hashes at once.
+CHUNK_CHARS = 2_000_000
 
 # Bits of the bitmaps of prefixes that occur twice and of hot ones: 16 MB and 2 MB. A prefix that shares
 # its bit with such a one is treated like it, which costs time and changes no result.
@@ -78,7 +83,7 @@ def _counted_prefixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
     """`prefix`, `n` of the anchors' prefixes that occur twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "_text"):
+        for chunk in chunks(batches, "_text", CHUNK_CHARS):
             found = [
                 _anchors(hashes(words_of(text)), window, prefix)[0]
                 for text in chunk.column("_text").to_pylist()
@@ -95,13 +100,15 @@ def _counted_prefixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
 
 
 _SUFFIXES = "hot boolean, key long, _id string, _digest long, place int, first int, suffixes binary"
+_MARK_NAMES = ["_id", "_digest", "first", "mask"]
+_MARKS = "_id string, _digest long, first int, mask long"
 
 
 def _suffixes(rows: DataFrame, twice, hot, window: int, prefix: int) -> DataFrame:
-    """A row per anchor that may occur twice, with the hashes of its windows; per window if it is hot."""
+    """A row per anchor that may occur twice, with the hashes of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "_text"):
+        for chunk in chunks(batches, "_text", CHUNK_CHARS):
             out: list[tuple] = []
             texts = zip(*(chunk.column(n).to_pylist() for n in ("_id", "_digest", "_text")))
             for row, digest, text in texts:
@@ -115,13 +122,8 @@ def _suffixes(rows: DataFrame, twice, hot, window: int, prefix: int) -> DataFram
                 names = keys.view(np.int64)
                 for i, is_hot in zip(kept.tolist(), busy):
                     start, end = int(firsts[i]), int(firsts[i] + counts[i])
-                    if is_hot:
-                        for at, name in zip(range(start, end), whole[start:end].view(np.int64).tolist()):
-                            out.append((True, name, row, digest, at, at, None))
-                    else:
-                        out.append(
-                            (False, int(names[i]), row, digest, int(places[i]), start, whole[start:end].tobytes())
-                        )
+                    own = whole[start:end].tobytes()
+                    out.append((is_hot, int(names[i]), row, digest, int(places[i]), start, own))
             if out:
                 kinds = [pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
@@ -160,6 +162,87 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found.combine_chunks().to_batches()
 
 
+def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`key`, `window`, `n`: how often a hot prefix has each window, per batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        packed = batch.column("suffixes").to_pylist()
+        many = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
+        pairs = np.stack(
+            [np.repeat(batch.column("key").to_numpy(), many), np.frombuffer(b"".join(packed), np.int64)],
+            axis=1,
+        )
+        found, n = np.unique(pairs, axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(c)) for c in (*found.T, n.astype(np.int64))],
+            names=["key", "window", "n"],
+        )
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of anchors, from rows sorted by (key, _salt, _side): lists of windows, then anchors.
+
+    Only the windows of one prefix and one batch are held.
+    """
+    current, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out = []
+        sides, lists = batch.column("_side").to_numpy(), batch.column("windows")
+        for start, end in runs(batch, ["key", "_salt"]):
+            name = (batch.column("key")[start].as_py(), batch.column("_salt")[start].as_py())
+            if name != current:
+                current, held = name, []
+            first = start + int((sides[start:end] == 0).sum())
+            if first > start:
+                held.append(lists.slice(start, first - start).flatten().to_numpy())
+            if first == end or not held:
+                continue
+            held = [np.unique(np.concatenate(held))]
+            anchors = batch.slice(first, end - first)
+            packed = anchors.column("suffixes").to_pylist()
+            many = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
+            hit = np.flatnonzero(np.isin(np.frombuffer(b"".join(packed), np.int64), held[0]))
+            owner = np.repeat(np.arange(len(packed)), many)[hit]
+            inside = hit - (np.cumsum(many) - many)[owner]
+            mask = np.zeros(len(packed), np.int64)
+            np.bitwise_or.at(mask, owner, np.int64(1) << inside)
+            kept = np.flatnonzero(mask)
+            found = anchors.select(["_id", "_digest", "first"]).take(pa.array(kept))
+            out.append(pa.RecordBatch.from_arrays([*found.columns, pa.array(mask[kept])], names=_MARK_NAMES))
+        yield from (found for found in out if found.num_rows)
+
+
+def _equal_leaves(anchors: DataFrame) -> DataFrame:
+    """Marks of hot anchors (key, _id, _digest, first, suffixes), by counting their windows.
+
+    Windows are counted per batch before the shuffle. The anchors of a prefix are spread over SALTS
+    tasks, to each of which go the prefix's repeated windows in PARTS lists.
+    """
+    repeated = (
+        anchors.mapInArrow(_window_counts, "key long, window long, n long")
+        .groupBy("key", "window")
+        .agg(F.sum("n").alias("n"))
+        .filter("n > 1")
+    )
+    lists = (
+        repeated.groupBy("key", F.pmod("window", F.lit(PARTS)).alias("_part"))
+        .agg(F.collect_list("window").alias("windows"))
+        .select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "windows")
+        .withColumn("_side", F.lit(0))
+    )
+    salt = F.pmod(F.xxhash64("_id", "_digest"), F.lit(SALTS)).cast("int")
+    rows = anchors.withColumn("_salt", salt).withColumn("_side", F.lit(1))
+    return (
+        lists.unionByName(rows, allowMissingColumns=True)
+        .repartition("key", "_salt")
+        .sortWithinPartitions("key", "_salt", "_side")
+        .mapInArrow(_marked, _MARKS)
+    )
+
+
 def _repeated_windows(rows: DataFrame, window: int, prefix: int) -> DataFrame:
     """`_id`, `_digest`, `marks` (array of first window and bit mask) of each text with repeats."""
     context = rows.sparkSession.sparkContext
@@ -173,15 +256,11 @@ def _repeated_windows(rows: DataFrame, window: int, prefix: int) -> DataFrame:
         .drop("hot")
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_deep_nodes, "_id string, _digest long, first int, mask long")
-    )
-    leaves = found.filter("hot").select("key", "_id", "_digest", "first")
-    equal = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    split = leaves.join(equal, "key").select(
-        "_id", "_digest", "first", F.lit(1).cast("long").alias("mask")
+        .mapInArrow(_deep_nodes, _MARKS)
     )
+    hot_marks = frozen(_equal_leaves(found.filter("hot").drop("hot", "place")))
     return (
-        trees.unionByName(split)
+        trees.unionByName(hot_marks)
         .groupBy("_id", "_digest")
         .agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
     )
@@ -224,7 +303,7 @@ def remove_repeats(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "_text"):
+        for chunk in chunks(batches, "_text", CHUNK_CHARS):
             out = []
             for text, found in zip(*(chunk.column(n).to_pylist() for n in ("_text", "marks"))):
                 words = words_of(text)

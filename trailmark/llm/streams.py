@@ -35,7 +35,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def runs(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
+def runs(table: pa.Table | pa.RecordBatch, keys: list[str]) -> Iterator[tuple[int, int]]:
     """Where the groups of a table from `grouped` begin and end."""
     edge = np.zeros(table.num_rows, bool)
     edge[:1] = True
