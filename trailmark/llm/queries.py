@@ -48,31 +48,23 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(
     spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL
 ) -> DataFrame:
-    """Sampled segmentations of each document as sizes, scores and hashes; the first one decoded."""
-    docs = _table(spark, sf_dir, "documents")
-    vocabulary = sentencepieces.Vocabulary(model_file)
-    return segmentation_digest(docs, vocabulary)
+    """Sampled segmentations of each document as sizes, scores and hashes of their ids."""
+    return segmentation_digest(_table(spark, sf_dir, "documents"), model_file)
 
 
-def segmentation_digest(docs: DataFrame, vocabulary: sentencepieces.Vocabulary) -> DataFrame:
-    found = sentencepieces.sample_segmentations(docs, vocabulary)
-    first = found.withColumn("_ids", F.col("samples")[0]["ids"])
-    decoded = sentencepieces.decode(first, vocabulary, "_ids")
+def segmentation_digest(docs: DataFrame, model_file: str) -> DataFrame:
+    vocabulary = sentencepieces.Vocabulary(model_file)
+    found = sentencepieces.sample_segmentations(docs, vocabulary, digest=True)
     brief = F.transform(
         "samples",
         lambda s: F.struct(
-            F.size(s["ids"]).cast("long").alias("n_pieces"),
-            F.xxhash64(s["ids"]).alias("ids_hash"),
+            s["n_pieces"].alias("n_pieces"),
+            s["ids_hash"].alias("ids_hash"),
             F.round(s["logp"], 6).alias("logp"),
             F.round(s["log_inclusion"], 6).alias("log_inclusion"),
         ),
     )
-    return decoded.select(
-        "doc_id",
-        F.size("samples").cast("long").alias("n_samples"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        brief.alias("samples"),
-    )
+    return found.select("doc_id", "round_trip", brief.alias("samples"))
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
