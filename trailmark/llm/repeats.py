@@ -26,13 +26,8 @@ from trailmark.operators.freeze import frozen
 WINDOW = 35
 PREFIX = 16
 HOT_ROWS = 1000
-<<<<<<< Updated upstream
 SALTS = 32
 PARTS = 4
-=======
-SALTS = 8
-PARTS = 8
->>>>>>> Stashed changes
 
 # Text that a task holds as words and hashes at once.
 CHUNK_CHARS = 2_000_000
