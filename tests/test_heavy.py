@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import trailmark as tm
 from contract.mapping import END, FLOWS, START, events_log
 from tests.conftest import rows
+from trailmark.functions import path_length
 from trailmark.operators import freeze, ordered, paths
 from trailmark.plans import sequence as sequence_plan
 
@@ -61,11 +62,17 @@ def test_no_heavy_keys(skewed):
     assert ordered.heavy_keys(skewed.limit(0), ["SessionId"], 100) is None
 
 
-def test_heavy_keys_are_bounded(skewed, monkeypatch):
-    monkeypatch.setattr(ordered, "HEAVY_KEYS", 3)
-    assert ordered.heavy_keys(skewed, ["SessionId"], 20) is None  # a third each: none above a third
-    monkeypatch.setattr(ordered, "HEAVY_KEYS", 4)
-    assert ordered.heavy_keys(skewed, ["SessionId"], 20).keys.count() == 2
+@pytest.mark.parametrize("limit", [20, 99])
+def test_many_heavy_keys(skewed, monkeypatch, limit):
+    """Beyond HEAVY_KEYS the same groups are split, by shuffle."""
+    monkeypatch.setattr(ordered, "HEAVY_KEYS", 1)
+    heavy = ordered.heavy_keys(skewed, ["SessionId"], limit)
+    assert not heavy.small and heavy.keys.count() == 2
+    order = [F.col("TimeStamp"), F.col("EventId")]
+    split = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, heavy, peers=1)
+    whole = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, None, peers=1)
+    assert rows(split.select(whole.columns)) == rows(whole)
+    assert rows(tm.session_paths(skewed, group_rows=limit)) == rows(tm.session_paths(skewed))
 
 
 @pytest.mark.parametrize("limit", [20, 99])
@@ -84,22 +91,16 @@ def test_pieces_make_the_path(skewed, piece_steps):
     assert text == path
 
 
-def test_paths_too_long_for_a_row(spark):
-    """Three sessions, two of equal path: as digests they rank as their texts would."""
-    data = [
-        (session, START_TIME + dt.timedelta(seconds=n), "x" if n % 2 else end, n)
-        for session, end in (("p", "y"), ("q", "y"), ("r", "z"))
-        for n in range(40)
-    ]
+def test_equal_paths_on_both_sides_of_the_limit(spark):
+    """Null labels make one of two equal paths heavy; they stay one path of the right length."""
+    data = [("a", START_TIME + dt.timedelta(seconds=n), f"l{n}" if n < 9 else None, n) for n in range(14)]
+    data += [("b", START_TIME + dt.timedelta(seconds=n), f"l{n}", 20 + n) for n in range(9)]
     schema = "SessionId string, TimeStamp timestamp, ActionId string, EventId long"
     events = spark.createDataFrame(data, schema)
-    heavy = ordered.heavy_keys(events, ["SessionId"], 10)
-    made = paths.paths_of(events, ["SessionId"], heavy, max_path_chars=20, piece_steps=7)
-    digests = {r.SessionId: r.Path for r in made.collect()}
-    assert digests["p"] == digests["q"] != digests["r"]
-    assert all(d.startswith("sha256:") and len(d) == 71 for d in digests.values())
-    counts = tm.rank_paths(tm.path_frequencies(made)).orderBy("rank").collect()
-    assert [r["count"] for r in counts] == [2, 1]
+    made = tm.session_paths(events, group_rows=10)
+    counts = tm.rank_paths(tm.path_frequencies(made)).collect()
+    assert [r["count"] for r in counts] == [2]
+    assert made.select(path_length(F.col("Path"))).distinct().first()[0] == 8
 
 
 @pytest.mark.parametrize("callers", [100_000, 2])

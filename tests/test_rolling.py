@@ -58,3 +58,15 @@ def test_whole_frame_in_blocks(spark, monkeypatch, block):
     values = [row[2] for row in data]
     means = [None, None] + [sum(values[i - 2 : i + 1]) / 3 for i in range(2, len(values))]
     assert rows(rolled) == sorted((a + (m,) for a, m in zip(data, means)), key=repr)
+
+
+@pytest.mark.parametrize("frame", [2, 4, 8])
+def test_frames_longer_than_a_block(spark, monkeypatch, frame):
+    monkeypatch.setattr(module, "BLOCK_ROWS", 3)
+    day = dt.date(2024, 1, 1)
+    data = [(day + dt.timedelta(n), float(n * n)) for n in range(20)]
+    df = spark.createDataFrame(data, "date date, value double").repartition(3)
+    rolled = tm.rolling(df, {"total": "value"}, (), ["date"], rows=frame, min_rows=1, fn="sum")
+    values = [value for _, value in data]
+    totals = [sum(values[max(0, i + 1 - frame) : i + 1]) for i in range(len(values))]
+    assert rows(rolled) == sorted(((*row, total) for row, total in zip(data, totals)), key=repr)

@@ -62,6 +62,10 @@ def test_materialize(spark, sequence, tmp_path):
     assert (tmp_path / "stored" / "date=2024-01-03").exists()
     plan = stored.filter(F.col("date") == dt.date(2024, 1, 5))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
+    window = tm.restrict_window(stored, "2024-01-05", "2024-01-09")
+    assert rows(window) == rows(tm.restrict_window(sequence, "2024-01-05", "2024-01-09"))
+    bounds = window._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert ">= 2024-01-05" in bounds and "< 2024-01-09" in bounds
 
 
 def test_query_arguments(spark, small):

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.freeze import frozen
+from trailmark.operators.freeze import BROADCAST_ROWS, fits, frozen
 
 # Rows that one task may sort or collect as a group.
 GROUP_ROWS = 1_000_000
-# Upper bound of the number of heavy keys, and so of the rows broadcast for them.
+# Heavy keys that are broadcast; more are joined by shuffle.
 HEAVY_KEYS = 100_000
 
 # monotonically_increasing_id() holds the partition above these bits, the row below.
@@ -39,10 +39,13 @@ class Heavy:
     keys: DataFrame
     rows: int
     group_rows: int
+    small: bool = True
 
     def split(self, df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """(ordinary rows, heavy rows) of `df`, without a shuffle of either."""
-        marked = F.broadcast(self.keys.toDF(*[f"_heavy_{name}" for name in names]))
+        """(ordinary rows, heavy rows) of `df`, without a shuffle while the keys are few and short."""
+        marked = self.keys.toDF(*[f"_heavy_{name}" for name in names])
+        if self.small:
+            marked = F.broadcast(marked)
         same = _all(F.col(name).eqNullSafe(F.col(f"_heavy_{name}")) for name in names)
         return df.join(marked, same, "left_anti"), df.join(marked, same, "left_semi")
 
@@ -58,19 +61,17 @@ def heavy_keys(
 
     With `group_rows=None` the caller vouches that there are none, and nothing is counted.
 
-    Costs one pre-aggregated count over the key columns. At most HEAVY_KEYS keys come back: the
-    limit is raised to a HEAVY_KEYS-th of all rows, which fewer than HEAVY_KEYS groups can exceed.
+    Costs one pre-aggregated count over the key columns. The limit does not depend on the table.
     """
     if group_rows is None:
         return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest, total = sizes.agg(F.max("_rows"), F.sum("_rows")).first()
-    limit = max(group_rows, (total or 0) // HEAVY_KEYS)
-    if (largest or 0) <= limit:
-        return None
-    large = frozen(sizes.filter(F.col("_rows") > limit))
+    large = frozen(sizes.filter(F.col("_rows") > group_rows))
     rows = large.agg(F.sum("_rows")).first()[0]
-    return Heavy(large.select(*keys), rows, limit)
+    if rows is None:
+        return None
+    named = large.select(*keys)
+    return Heavy(named, rows, group_rows, fits(named, HEAVY_KEYS))
 
 
 @dataclass(frozen=True)
@@ -195,8 +196,10 @@ def _by_ranges(df, keys, order, peer_order, metrics, heavy: Heavy) -> DataFrame:
         [F.col("_range") == F.col("_carry_range")]
         + [F.col(key).eqNullSafe(F.col(f"_carry_{key}")) for key in keys]
     )
-    # One row per range and heavy key: bounded by partitions + HEAVY_KEYS.
-    joined = placed.join(F.broadcast(carried), same)
+    # One row per range and heavy key, broadcast while these are few and short.
+    carried = frozen(carried)
+    few = heavy.small and fits(carried, BROADCAST_ROWS)
+    joined = placed.join(F.broadcast(carried) if few else carried, same)
 
     rows = Window.partitionBy(*keys, "_range").orderBy("_at")
     before = rows.rowsBetween(Window.unboundedPreceding, -1)

@@ -18,8 +18,6 @@ from trailmark.operators.ordered import (
     ordered_metrics,
 )
 
-# Longest path of a heavy session that is given as text.
-MAX_PATH_CHARS = 50_000_000
 # Labels per piece of a heavy session's path.
 PIECE_STEPS = 100_000
 
@@ -37,9 +35,9 @@ def session_paths(
 
     Null labels are left out of the path; a session with no label at all has a null path.
 
-    A heavy session's path is joined from pieces. One longer than MAX_PATH_CHARS would not fit a
-    row, so its `Path` is a digest of the whole text: equal for equal paths, hence ranked, counted
-    and joined like any other. `path_pieces` gives its text.
+    A heavy session's path is joined from pieces. A path is the text of all its labels for every
+    session, however large, so equal paths are equal; like any value of a row it ends at 2 GB, and
+    `path_pieces` gives longer ones.
     """
     return paths_of(events, keys, heavy_keys(events, keys, group_rows))
 
@@ -48,13 +46,12 @@ def paths_of(
     events: DataFrame,
     keys: Sequence[str],
     heavy: Heavy | None,
-    max_path_chars: int = MAX_PATH_CHARS,
     piece_steps: int = PIECE_STEPS,
 ) -> DataFrame:
     if heavy is None:
         return _short_paths(events, keys)
     ordinary, large = heavy.split(events, keys)
-    long_paths = _long_paths(large, keys, heavy, max_path_chars, piece_steps)
+    long_paths = _long_paths(large, keys, heavy, piece_steps)
     return _short_paths(ordinary, keys).unionByName(long_paths)
 
 
@@ -85,19 +82,10 @@ def path_pieces(
     return steps.groupBy(*keys, "piece").agg(text.alias("text"))
 
 
-def _long_paths(events, keys, heavy: Heavy, max_path_chars: int, piece_steps: int) -> DataFrame:
+def _long_paths(events, keys, heavy: Heavy, piece_steps: int) -> DataFrame:
     pieces = path_pieces(events, keys, heavy, piece_steps)
-    pieces = pieces.withColumn("digest", F.sha2("text", 256))
-    pieces = pieces.withColumn(
-        "_chars", F.sum(F.length("text") + 1).over(Window.partitionBy(*keys)) - 1
-    )
-    whole = F.col("_chars") <= max_path_chars
-    pieces = pieces.withColumn("text", F.when(whole, F.col("text")))
     text = F.expr(f"listagg(text, '{PATH_SEPARATOR}') WITHIN GROUP (ORDER BY piece)")
-    digest = F.expr("listagg(digest, '') WITHIN GROUP (ORDER BY piece)")
-    paths = pieces.groupBy(*keys).agg(
-        F.coalesce(text, F.concat(F.lit("sha256:"), F.sha2(digest, 256))).alias("Path")
-    )
+    paths = pieces.groupBy(*keys).agg(text.alias("Path"))
     spans = events.groupBy(*keys).agg(*_span())
     renamed = paths.toDF(*[f"_{key}" for key in keys], "Path")
     same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]

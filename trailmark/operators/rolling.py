@@ -36,8 +36,10 @@ def rolling(
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - rows, 0)
         return df.withColumns(_rolled(columns, frame, min_rows, fn))
     at = (F.col("_at") - 1).cast("long")
-    block = F.floor(at / BLOCK_ROWS)
-    tail = at % BLOCK_ROWS >= BLOCK_ROWS - (rows - 1)
+    # A block is as long as a frame at least: a row looks back no further than the block before.
+    size = max(BLOCK_ROWS, rows)
+    block = F.floor(at / size)
+    tail = at % size >= size - (rows - 1)
     blocks = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
     numbered = number_rows(df, [F.col(name) for name in order], "_at")
     copies = numbered.withColumn("_own", block).withColumn("_block", F.explode(blocks))

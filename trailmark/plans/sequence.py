@@ -62,7 +62,9 @@ def user_sequence(
     calls = callbacks(frozen(caller_sessions(kept)), group_rows).drop("TimeStamp")
     # Events without a session would drop out at the join with the names.
     steps = step_parts(kept.drop("CallingNumber").filter(F.col("SessionId").isNotNull()), heavy)
-    parts = [_attributed(steps[0], names, calls)]
+    # Callers of heavy sessions stay out of the ordinary join, where they would meet in one task.
+    ordinary = calls if heavy is None else heavy.split(calls, ["SessionId"])[0]
+    parts = [_attributed(steps[0], names, ordinary)]
     if heavy is not None:
         parts.append(_heavy_attributed(steps[1], names, calls, heavy))
     return functools.reduce(DataFrame.unionByName, parts)
@@ -74,10 +76,10 @@ def _attributed(steps: DataFrame, names: DataFrame, calls: DataFrame) -> DataFra
 
 def _heavy_attributed(steps, names, calls, heavy: Heavy) -> DataFrame:
     """As `_attributed` for the steps of heavy sessions, which must not meet in one task."""
-    # One name per heavy session, and at most HEAVY_KEYS of those.
-    names = F.broadcast(heavy.split(names, ["SessionId"])[1])
+    names = frozen(heavy.split(names, ["SessionId"])[1])
     calls = frozen(heavy.split(calls, ["SessionId"])[1])
-    named = steps.join(names, "SessionId")
+    # One name per heavy session.
+    named = join_attributes(steps, names, "SessionId", "inner", fits(names, BROADCAST_ROWS))
     small = fits(calls, BROADCAST_ROWS)
     return _public(join_attributes(named, calls, "SessionId", "left", small))
 
@@ -105,11 +107,17 @@ def _public(rows: DataFrame) -> DataFrame:
 
 
 def restrict_window(sequence: DataFrame, start=None, end=None) -> DataFrame:
-    """Steps strictly after midnight of `start` and strictly before midnight of `end`."""
+    """Steps strictly after midnight of `start` and strictly before midnight of `end`.
+
+    Where there is a `date` column its bounds follow: a stored sequence is partitioned by it.
+    """
+    day = F.col("date") if "date" in sequence.columns else F.to_date("time_event")
     if start is not None:
-        sequence = sequence.filter(F.col("time_event") > F.lit(as_date(start)))
+        first = F.lit(as_date(start))
+        sequence = sequence.filter((F.col("time_event") > first) & (day >= first))
     if end is not None:
-        sequence = sequence.filter(F.col("time_event") < F.lit(as_date(end)))
+        last = F.lit(as_date(end))
+        sequence = sequence.filter((F.col("time_event") < last) & (day < last))
     return sequence
 
 
