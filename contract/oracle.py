@@ -523,6 +523,14 @@ SELECT g.*, {_color('1-Path_Freq_Rank')} FROM ({_GRAPH}) g
 WHERE "count" >= (SELECT floor(max("count") * 0.1) FROM links)""",
     ),
     "dashboard_callbacks": _with(_SEQUENCE, _SHOWN, _daily_callbacks("shown"), _CALLBACK_TREND),
+    "dashboard_nodes": _with(_SEQUENCE, _SHOWN, _nodes("shown"), "SELECT * FROM nodes"),
+    "dashboard_totals": _with(_SEQUENCE, _DAILY_EVENTS, _event_trend("FlowName", "date")),
+    "dashboard_top_paths": _with(
+        _SEQUENCE,
+        _SHOWN,
+        _DAILY_TOP.replace("FROM seq", "FROM shown"),
+        _top_trend("path_nickname", "date"),
+    ),
     "daily_sessions": _with(
         _EXITS,
         'SELECT CAST("TimeStamp" AS DATE) AS date, FlowName, '

@@ -134,6 +134,9 @@ PANELS: dict[str, Callable[[DataFrame], DataFrame]] = {
     ),
     "dashboard_links": lambda s: _dashboard(s).links,
     "dashboard_callbacks": lambda s: _dashboard(s).callbacks,
+    "dashboard_nodes": lambda s: _dashboard(s).nodes,
+    "dashboard_totals": lambda s: _dashboard(s).totals,
+    "dashboard_top_paths": lambda s: _dashboard(s).top_paths,
 }
 
 QUERIES: dict[str, Query] = {

@@ -146,3 +146,23 @@ def test_dashboard_of_nothing(events):
 def test_unknown_scope(events):
     with pytest.raises(ValueError, match="scope"):
         tm.sessions_on_path(events, "1-Path_Freq_Rank", scope="some")
+
+
+def test_panels_follow_the_dates_and_the_threshold(flow):
+    try:
+        dates = "2024-01-04", "2024-01-28"
+        _, links = flow.flow_graph(*dates)
+        shown = flow.user_sequence(*dates)
+        assert rows(flow.callback_analysis()) == rows(tm.callback_trend(shown))
+        assert rows(flow.top_paths()) == rows(tm.top_path_trend_from_sequence(shown, 10))
+        over = flow.links_over(2)
+        assert 0 < over.count() < links.count()
+        assert flow.highlight("2-Path_Freq_Rank").count() == over.count()
+        flow.set_tollfree_toggle(True)
+        all_callers = tm.restrict_window(flow.sequence, *dates)
+        assert rows(flow.top_paths()) == rows(tm.top_path_trend_from_sequence(all_callers, 10))
+        assert flow.links_over_percent(50).count() == flow.highlight(None).count()
+    finally:
+        flow.set_tollfree_toggle(False)
+        flow.path_highlight = "1-Path_Freq_Rank"
+        flow.flow_graph()

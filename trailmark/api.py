@@ -48,6 +48,8 @@ class Flow:
         self._store = store
         self._sequence: DataFrame | None = None
         self._graph: tuple[DataFrame, DataFrame] | None = None
+        self._dates: tuple[dt.date, dt.date] | None = None
+        self._threshold: dict[str, float] = {}
 
     @classmethod
     def from_sequence(cls, sequence: DataFrame, flow_name: str = "", **options) -> Flow:
@@ -75,7 +77,7 @@ class Flow:
 
     def set_tollfree_toggle(self, value: bool) -> None:
         self.include_tollfree = value
-        self._graph = None
+        self._forget_graph()
 
     def date_at_percent(self, percentage: float) -> dt.date:
         """The date that far between the first and the last step."""
@@ -84,40 +86,57 @@ class Flow:
     def flow_graph(self, start_date=None, end_date=None) -> tuple[DataFrame, DataFrame]:
         """(nodes, links) of the steps between the dates; the flow's own by default.
 
+        The other panels follow these dates from then on.
+
         The links are kept, so a new threshold or highlight only filters and colours them.
         """
-        start = as_date(start_date, self.start_date)
-        end = as_date(end_date, self.end_date)
-        nodes, links = flow_graph(self.user_sequence(start, end))
-        self._graph = nodes.persist(), links.persist()
+        self._dates = as_date(start_date, self.start_date), as_date(end_date, self.end_date)
+        self._threshold = {}
+        self._forget_graph()
+        nodes, links = self._built()
         return nodes, self._coloured(links)
 
+    def _built(self) -> tuple[DataFrame, DataFrame]:
+        if self._graph is None:
+            nodes, links = flow_graph(self.user_sequence(*self._shown_dates()))
+            self._graph = nodes.persist(), links.persist()
+        return self._graph
+
+    def _forget_graph(self) -> None:
+        for frame in self._graph or ():
+            frame.unpersist()
+        self._graph = None
+
+    def _shown_dates(self) -> tuple[dt.date, dt.date]:
+        return self._dates or (self.start_date, self.end_date)
+
     def links_over(self, threshold: int) -> DataFrame:
-        """Links with at least `threshold` transitions."""
-        return self._coloured(threshold_links(self._links(), min_count=threshold))
+        """Links with at least `threshold` transitions, also after another highlight."""
+        self._threshold = {"min_count": threshold}
+        return self._coloured(self._links())
 
     def links_over_percent(self, pct: float) -> DataFrame:
-        """Links with at least `pct` percent of the transitions of the largest."""
-        return self._coloured(threshold_links(self._links(), pct=pct))
+        """Links with at least `pct` percent of the transitions of the largest, as `links_over`."""
+        self._threshold = {"pct": pct}
+        return self._coloured(self._links())
 
     def highlight(self, path_nickname: str | None) -> DataFrame:
-        """Links with another path set apart."""
+        """Links with another path set apart, over the threshold last asked for."""
         self.path_highlight = path_nickname
         return self._coloured(self._links())
 
     def _links(self) -> DataFrame:
-        if self._graph is None:
-            self.flow_graph()
-        return self._graph[1]
+        links = self._built()[1]
+        return threshold_links(links, **self._threshold) if self._threshold else links
 
     def _coloured(self, links: DataFrame) -> DataFrame:
         return highlight_path(links, self.path_highlight)
 
     def callback_analysis(self) -> DataFrame:
-        return callback_trend(self.user_sequence(self.start_date, self.end_date))
+        return callback_trend(self.user_sequence(*self._shown_dates()))
 
     def top_paths(self, k: int = 10) -> DataFrame:
-        shown = self.user_sequence(self.start_date, self.end_date)
+        shown = self.user_sequence(*self._shown_dates())
         return top_path_trend_from_sequence(shown, k)
 
     def daily_events(self) -> DataFrame:
