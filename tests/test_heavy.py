@@ -194,3 +194,41 @@ def test_repeat_calls_against_pairs(spark, seed, limit):
     for date, row in expected.items():
         for got, want in zip(found[date], row):
             assert got == want if want is None else got == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+def _long_calls(spark, durations):
+    """One call a minute of one number, each in a session of its own, half of them twice."""
+    rows = [
+        ("+12125550000", f"s{n}", START_TIME + dt.timedelta(minutes=n), "ANSWER", float(d))
+        for n, d in enumerate(durations)
+    ]
+    schema = (
+        "CallingNumber string, SessionId string, TimeStamp timestamp, "
+        "CallAnswerIndicator string, CallDuration double"
+    )
+    return spark.createDataFrame(rows + rows[::2], schema)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 100])
+@pytest.mark.parametrize("low, high", [(1e11, 1e11), (1e11, 2e11), (0.0, 9e12)])
+def test_repeat_calls_of_very_long_durations(spark, limit, low, high):
+    """Pairs times squared durations need more than 38 digits."""
+    durations = [(low, high)[n % 2] for n in range(600)]
+    found = tm.repeat_call_stats(_long_calls(spark, durations), False, group_rows=limit).first()
+    first = [d for n, d in enumerate(durations) for _ in range(599 - n)]
+    second = [d for n, d in enumerate(durations) for _ in range(n)]
+    assert found["count"] == len(first) == 600 * 599 // 2
+    for which, values in (("first", first), ("second", second)):
+        mean, deviation = statistics.fmean(values), statistics.stdev(values)
+        assert found[f"mean_{which}_call_duration"] == pytest.approx(mean, rel=1e-12)
+        assert found[f"std_{which}_call_duration"] == pytest.approx(deviation, rel=1e-9)
+
+
+def test_repeat_calls_across_the_parts_of_a_duration(spark):
+    """Durations a microsecond apart, on both sides of a multiple of the low part."""
+    edge = 1 << 30
+    durations = [(edge + n % 3 - 1) / 1e6 for n in range(60)]
+    found = tm.repeat_call_stats(_long_calls(spark, durations), False).first()
+    first = [n % 3 - 1 for n in range(60) for _ in range(59 - n)]
+    deviation = statistics.stdev(first) / 1e6
+    assert found["std_first_call_duration"] == pytest.approx(deviation, rel=1e-9)

@@ -11,7 +11,9 @@ borrows from the calls with a 1 before it. A number with n calls over d days tak
 where the pairs would take n squared.
 
 All sums are integers, of days and of microseconds of duration, so that taking one large sum off
-another loses nothing.
+another loses nothing. A duration is kept as a high and a low part, d = high * 2**30 + low, whose
+products are summed apart: the square of a long duration, times the pairs of a placeholder number,
+would not fit into 38 digits.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import is_toll_free
-from trailmark.operators.freeze import frozen
+from trailmark.operators.freeze import BROADCAST_ROWS, fits, frozen, join_attributes
 from trailmark.operators.ordered import (
     GROUP_ROWS,
     Heavy,
@@ -35,6 +37,9 @@ _MICROS_PER_SECOND = 1_000_000
 _MICROS_PER_DAY = 86_400 * _MICROS_PER_SECOND
 _KEYS = ["CallingNumber", "_session"]
 _EXACT = "decimal(38,0)"
+# Bits of the low part of a duration, and the sums of both parts that make a deviation.
+_LOW_BITS = 30
+_PARTS = ["high", "low", "high_squares", "products", "low_squares"]
 
 
 def repeat_call_stats(
@@ -50,7 +55,8 @@ def repeat_call_stats(
     first, last = points.agg(F.min("_day"), F.max("_day")).first()
     first, last = first or 0, last or 0
     heavy = heavy_keys(points, _KEYS, group_rows)
-    rows = _with_later(points.withColumn("_day", F.col("_day") - first), heavy)
+    # Read by both kinds of sums.
+    rows = frozen(_with_later(points.withColumn("_day", F.col("_day") - first), heavy))
     bits = max(1, (last - first).bit_length())
     sums = _later_sums(rows).unionByName(
         _borrow_sums(rows, bits, heavy, group_rows), allowMissingColumns=True
@@ -62,32 +68,23 @@ def _points(calls: DataFrame) -> DataFrame:
     """Calls added up per instant, once per number and once per session of the number.
 
     The pairs inside one session have to come off the pairs of the number. They are the pairs of
-    the same sum taken per session, so both go through the same steps with opposite signs.
+    the same sum taken per session, so both go through the same steps with opposite signs. A session
+    of one instant has no pairs.
     """
-    unique = (
-        calls.select(
-            "CallingNumber", "SessionId", "TimeStamp", "CallAnswerIndicator", "CallDuration"
-        )
-        .dropna(subset=["CallingNumber", "SessionId", "TimeStamp"])
-        .distinct()
-    )
-    scopes = F.array(
-        F.struct(F.lit(1).alias("_sign"), F.lit(None).cast("string").alias("_session")),
-        F.struct(F.lit(-1).alias("_sign"), F.col("SessionId").cast("string").alias("_session")),
+    known = calls.select(
+        "CallingNumber", "SessionId", "TimeStamp", "CallAnswerIndicator", "CallDuration"
+    ).dropna(subset=["CallingNumber", "SessionId", "TimeStamp"])
+    named = known.withColumn("_pair", F.struct("CallingNumber", "SessionId"))
+    several = frozen(
+        named.groupBy("_pair")
+        .agg(F.min("TimeStamp").alias("_first"), F.max("TimeStamp").alias("_last"))
+        .filter("_first < _last")
+        .select("_pair")
     )
-    duration = F.rint(F.col("CallDuration") * _MICROS_PER_SECOND).cast("long")
-    square = _exact("_micros") * _exact("_micros")
-    nothing = F.lit(0).cast(_EXACT)
-    added = (
-        unique.withColumn("_scope", F.explode(scopes))
-        .select("CallingNumber", "TimeStamp", duration.alias("_micros"), "_scope.*")
-        .groupBy("CallingNumber", "_session", "_sign", "TimeStamp")
-        .agg(
-            F.count(F.lit(1)).alias("_calls"),
-            F.count("_micros").alias("_known"),
-            F.coalesce(F.sum("_micros").cast(_EXACT), nothing).alias("_sum"),
-            F.coalesce(F.sum(square), nothing).alias("_squares"),
-        )
+    inside = join_attributes(named, several, "_pair", "left_semi", fits(several, BROADCAST_ROWS))
+    session = F.col("SessionId").cast("string")
+    added = _per_instant(known, 1, F.lit(None).cast("string")).unionByName(
+        _per_instant(inside.select(*known.columns), -1, session)
     )
     micros = F.unix_micros(F.col("TimeStamp").cast("timestamp"))
     time = F.pmod(micros, F.lit(_MICROS_PER_DAY))
@@ -100,6 +97,25 @@ def _points(calls: DataFrame) -> DataFrame:
     )
 
 
+def _per_instant(calls: DataFrame, sign: int, session: Column) -> DataFrame:
+    duration = F.rint(F.col("CallDuration") * _MICROS_PER_SECOND).cast("long")
+    high = F.shiftright("_micros", _LOW_BITS).cast(_EXACT)
+    low = F.col("_micros").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)).cast(_EXACT)
+    parts = [high, low, high * high, high * low, low * low]
+    nothing = F.lit(0).cast(_EXACT)
+    return (
+        calls.distinct()
+        .select("CallingNumber", session.alias("_session"), "TimeStamp", duration.alias("_micros"))
+        .groupBy("CallingNumber", "_session", "TimeStamp")
+        .agg(
+            F.count(F.lit(1)).alias("_calls"),
+            F.count("_micros").alias("_known"),
+            *[F.coalesce(F.sum(x), nothing).alias(f"_{n}") for n, x in zip(_PARTS, parts)],
+        )
+        .withColumn("_sign", F.lit(sign))
+    )
+
+
 def _exact(name: str) -> Column:
     return F.col(name).cast(_EXACT)
 
@@ -109,7 +125,7 @@ def _with_later(points: DataFrame, heavy: Heavy | None) -> DataFrame:
     weighted = points.withColumns(
         {
             "_days": F.col("_calls") * F.col("_day"),
-            "_day_squares": F.col("_calls") * F.col("_day") * F.col("_day"),
+            "_day_squares": _exact("_calls") * _exact("_day") * _exact("_day"),
         }
     )
     metrics = {
@@ -117,8 +133,7 @@ def _with_later(points: DataFrame, heavy: Heavy | None) -> DataFrame:
         "_later_days": total_before("_days"),
         "_later_day_squares": total_before("_day_squares"),
         "_later_known": total_before("_known"),
-        "_later_sum": total_before("_sum"),
-        "_later_squares": total_before("_squares"),
+        **{f"_later_{name}": total_before(f"_{name}") for name in _PARTS},
         "_newest": first_of("_day"),
         "_oldest": last_of("_day"),
     }
@@ -139,11 +154,9 @@ def _later_sums(rows: DataFrame) -> DataFrame:
         (calls * (days - later * day)).alias("days"),
         (calls * (squares - 2 * day * days + later * day * day)).alias("day_squares"),
         (_exact("_known") * later).alias("first_known"),
-        (F.col("_sum") * later).alias("first_sum"),
-        (F.col("_squares") * later).alias("first_squares"),
+        *[(F.col(f"_{name}") * later).alias(f"first_{name}") for name in _PARTS],
         (calls * _exact("_later_known")).alias("second_known"),
-        (calls * F.col("_later_sum")).alias("second_sum"),
-        (calls * F.col("_later_squares")).alias("second_squares"),
+        *[(calls * F.col(f"_later_{name}")).alias(f"second_{name}") for name in _PARTS],
     )
 
 
@@ -205,27 +218,61 @@ def _statistics(sums: DataFrame, by: list[str]) -> DataFrame:
     names = [name for name in sums.columns if name not in ("date", "TollFreeNumber", "_sign")]
     totals = sums.groupBy(*by).agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names])
     made = [F.col("pairs").cast("long").alias("count")]
-    second = _MICROS_PER_SECOND
-    for name, unit, *columns in (
-        ("days_between_calls", 1, "pairs", "days", "day_squares"),
-        ("first_call_duration", second, "first_known", "first_sum", "first_squares"),
-        ("second_call_duration", second, "second_known", "second_sum", "second_squares"),
-    ):
-        mean, deviation = _moments(*columns)
-        made += [(mean / unit).alias(f"mean_{name}"), (deviation / unit).alias(f"std_{name}")]
+    for name, (mean, deviation) in {
+        "days_between_calls": _day_moments(),
+        "first_call_duration": _duration_moments("first"),
+        "second_call_duration": _duration_moments("second"),
+    }.items():
+        made += [mean.alias(f"mean_{name}"), deviation.alias(f"std_{name}")]
     return totals.filter(F.col("pairs") > 0).select(*by, *made)
 
 
-def _moments(known: str, total: str, squares: str) -> tuple[Column, Column]:
+def _day_moments() -> tuple[Column, Column]:
     """Mean and sample deviation; null for no value and for fewer than two."""
-    n = F.col(known).cast("double")
-    mean = F.when(n > 0, F.col(total).cast("double") / F.nullif(n, F.lit(0.0)))
+    n, total = F.col("pairs"), F.col("days")
+    mean = total.cast("double") / _or_null(n)
     # Centre on a whole number near the mean while the sums are still exact.
     centre = F.floor(mean).cast(_EXACT)
-    off = F.col(total) - F.col(known) * centre
-    off_squares = F.col(squares) - 2 * centre * F.col(total) + F.col(known) * centre * centre
-    spread = off_squares.cast("double") - off.cast("double") * off.cast("double") / F.nullif(
-        n, F.lit(0.0)
+    off = total - n * centre
+    squares = F.col("day_squares") - 2 * centre * total + n * centre * centre
+    return mean, _deviation(n, off, squares.cast("double"))
+
+
+def _duration_moments(which: str) -> tuple[Column, Column]:
+    """As `_day_moments` in seconds, from the sums of the parts of the durations."""
+    n, high, low, high_squares, products, low_squares = (
+        F.col(f"{which}_{name}") for name in ("known", *_PARTS)
     )
-    freedom = F.nullif(n - 1, F.lit(0.0))
-    return mean, F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / freedom))
+    unit, factor = F.lit(1 << _LOW_BITS).cast(_EXACT), float(1 << _LOW_BITS)
+
+    def joined(highs: Column, lows: Column) -> Column:
+        """highs * 2**30 + lows, exact up to 38 digits, the leading digits beyond."""
+        exact = F.try_add(F.try_multiply(highs, unit), lows)
+        return F.coalesce(exact.cast("double"), highs.cast("double") * factor + lows.cast("double"))
+
+    mean = joined(high, low) / _or_null(n)
+    centre = F.floor(mean).cast(_EXACT)
+    # The centre in parts like those of a duration, so that each sum stays exact.
+    up = F.floor(mean / factor).cast(_EXACT)
+    down = centre - up * unit
+    highs = high_squares - 2 * up * high + n * up * up
+    mixed = products - up * low - down * high + n * up * down
+    lows = low_squares - 2 * down * low + n * down * down
+    exact = F.try_add(
+        F.try_multiply(F.try_add(F.try_multiply(highs, unit), 2 * mixed), unit), lows
+    )
+    rough = (highs.cast("double") * factor + 2.0 * mixed.cast("double")) * factor + lows.cast("double")
+    squares = F.coalesce(exact.cast("double"), rough)
+    deviation = _deviation(n, joined(high - n * up, low - n * down), squares)
+    return mean / _MICROS_PER_SECOND, deviation / _MICROS_PER_SECOND
+
+
+def _or_null(n: Column) -> Column:
+    return F.nullif(n.cast("double"), F.lit(0.0))
+
+
+def _deviation(n: Column, off: Column, squares: Column) -> Column:
+    """Sample deviation of n values from the sums of their offsets from a centre and the squares."""
+    spread = squares - off.cast("double") * off.cast("double") / _or_null(n)
+    freedom = F.nullif(n.cast("double") - 1, F.lit(0.0))
+    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / freedom))
