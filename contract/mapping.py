@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark import session_paths, unify_events
@@ -63,10 +63,11 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per session its last event time, flow and finished path."""
     log = events_log(spark, sf_dir)
-    paths = session_paths(log, ["SessionId", "FlowName"])
-    ends = log.groupBy("SessionId").agg(F.max("TimeStamp").alias("TimeStamp"))
-    return paths.drop("TimeStamp").join(ends, "SessionId").select(
-        "SessionId", "TimeStamp", "FlowName", "Path"
+    paths = session_paths(log, ["SessionId", "FlowName"], with_end=True)
+    # Rows here are sessions by flow: the events themselves are read and shuffled once.
+    last = F.max("End").over(Window.partitionBy("SessionId"))
+    return paths.select("SessionId", last.alias("TimeStamp"), "FlowName", "Path").filter(
+        F.col("SessionId").isNotNull()
     )
 
 

@@ -373,6 +373,23 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts[:-1]) + parts[-1]
 
 
+# The operators without a filter of their own, on the whole log.
+_WHOLE = _RAW + """,
+filtered AS (SELECT * FROM major)"""
+
+_ON_WHOLE_LOG = [
+    "session_paths",
+    "session_flow_paths",
+    "path_frequencies",
+    "path_ranks",
+    "session_nicknames",
+    "caller_sessions",
+    "callbacks",
+    "step_sequence",
+    "user_sequence",
+]
+
+
 def _color(nickname: str) -> str:
     return f"CASE WHEN path_nickname = '{nickname}' THEN '#ed7953' ELSE '#d3d3d3' END AS color"
 
@@ -633,4 +650,8 @@ calls AS (
     "shipment_steps": _with(_SHIPMENTS, "SELECT * FROM seq"),
     "flow_graph_from_log": _with(_SHIPMENTS, _links(by=""), _nodes(), _GRAPH),
     "flow_graph_from_log_nodes": _with(_SHIPMENTS, _nodes(), "SELECT * FROM nodes"),
+    "sequence_in_order": _with(
+        _SEQUENCE, "SELECT * FROM seq ORDER BY user_id, time_event, rank_event"
+    ),
 }
+ORACLE |= {f"{name}_whole_log": ORACLE[name].replace(_FILTERED, _WHOLE) for name in _ON_WHOLE_LOG}

@@ -108,6 +108,17 @@ def _dashboard(sequence: DataFrame):
     return tm.dashboard_frames(sequence, SLIDER, include_tollfree=False, threshold_pct=10)
 
 
+# Operators without a filter of their own, on the events of two flows and 26 days, and on all.
+BARE: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "session_paths": tm.session_paths,
+    "session_flow_paths": lambda events: tm.session_paths(events, ["SessionId", "FlowName"]),
+    "path_frequencies": _frequencies,
+    "path_ranks": lambda events: tm.rank_paths(_frequencies(events)),
+    "session_nicknames": _nicknames,
+    "caller_sessions": tm.caller_sessions,
+    "callbacks": lambda events: tm.callbacks(tm.caller_sessions(events)),
+}
+
 # Panels drawn from the enriched sequence.
 PANELS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sequence_window": lambda s: tm.restrict_window(s, *WINDOW),
@@ -151,11 +162,11 @@ QUERIES: dict[str, Query] = {
     "call_events": _call_events,
     "available_flows": _of_exits(tm.available_flows),
     "step_sequence": _of_events(lambda log: tm.step_sequence(log, FLOWS, START, END)),
-    "session_paths": _of_kept(tm.session_paths),
-    "session_flow_paths": _of_kept(lambda kept: tm.session_paths(kept, ["SessionId", "FlowName"])),
-    "path_frequencies": _of_kept(_frequencies),
-    "path_ranks": _of_kept(lambda kept: tm.rank_paths(_frequencies(kept))),
-    "session_nicknames": _of_kept(_nicknames),
+    **{name: _of_kept(operator) for name, operator in BARE.items()},
+    **{f"{name}_whole_log": _of_events(operator) for name, operator in BARE.items()},
+    "step_sequence_whole_log": _of_events(tm.step_sequence),
+    "user_sequence_whole_log": _of_events(tm.user_sequence),
+    "sequence_in_order": lambda spark, sf_dir: tm.in_order(_sequence(spark, sf_dir)),
     "top_paths": _of_events(lambda log: tm.top_paths(log, FLOWS, START, END)),
     "sessions_on_path": _of_events(
         lambda log: tm.sessions_on_path(log, "1-Path_Freq_Rank", FLOWS, START, END)
@@ -163,8 +174,6 @@ QUERIES: dict[str, Query] = {
     "sessions_on_path_all": _of_events(
         lambda log: tm.sessions_on_path(log, "1-Path_Freq_Rank", FLOWS, START, END, scope="all")
     ),
-    "caller_sessions": _of_kept(tm.caller_sessions),
-    "callbacks": _of_kept(lambda kept: tm.callbacks(tm.caller_sessions(kept))),
     "user_sequence": _sequence,
     **{name: of_sequence(panel) for name, panel in PANELS.items()},
     "daily_sessions": _of_exits(tm.daily_sessions),

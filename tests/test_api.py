@@ -126,6 +126,21 @@ def test_stored_flow(events, tmp_path):
     assert rows(again.sequence) == rows(flow.sequence)
 
 
+def test_a_stored_sequence_is_reused(events, tmp_path):
+    """One of the same flow and dates is read; others, and refreshed ones, are computed."""
+    store = str(tmp_path / "flows")
+    fewer = events.filter("EventId % 2 = 0")
+    made = rows(tm.Flow(events, "flow-0", START, END, store=store).sequence)
+    assert rows(tm.Flow(fewer, "flow-0", START, END, store=store).sequence) == made
+    other = tm.Flow(events, "flow-0", START, "2024-01-15", store=store).sequence
+    assert rows(other) == rows(tm.user_sequence(events, "flow-0", START, "2024-01-15"))
+    fresh = tm.Flow(fewer, "flow-0", START, END, store=store, refresh=True).sequence
+    assert rows(fresh) == rows(tm.user_sequence(fewer, "flow-0", START, END)) != made
+    assert rows(tm.Flow(events, "flow-0", START, END, store=store).sequence) == rows(fresh)
+    nothing = [tm.Flow(events, "none", START, END, store=store).sequence.count() for _ in range(2)]
+    assert nothing == [0, 0]
+
+
 def test_dashboard(events):
     sequence = tm.user_sequence(events, FLOWS, START, END).persist()
     frames = tm.dashboard_frames(sequence, (0, 100), include_tollfree=False, threshold_pct=20)

@@ -44,6 +44,25 @@ def test_exit_events(spark, small, tmp_path):
     assert rows(tm.available_flows(read)) == [("flow-0",), ("flow-1",), ("flow-2",)]
 
 
+def test_types_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "exits")
+    columns = "'s' AS SessionId, {} AS TimeStamp, 'f' AS FlowName, 'a;b' AS Path"
+    spark.range(2).selectExpr(*columns.format("'2024-01-05'").split(", ")).write.parquet(path)
+    with pytest.raises(TypeError, match="TimeStamp is string, not timestamp"):
+        tm.read_exit_events(spark, path)
+
+
+def test_whole_numbers_of_a_csv_are_exact(spark, tmp_path):
+    path = str(tmp_path / "sequence")
+    names = schemas.SEQUENCE.fieldNames()
+    values = {"time_from_start": str(2**53 + 1), "time_to_next": "12.0", "count": ""}
+    spark.createDataFrame(
+        [tuple(values.get(name) for name in names)], ", ".join(f"`{n}` string" for n in names)
+    ).write.csv(path, header=True)
+    row = tm.read_sequence_csv(spark, path).first()
+    assert (row.time_from_start, row.time_to_next, row["count"]) == (2**53 + 1, 12, None)
+
+
 def test_sequence_csv(spark, sequence, tmp_path):
     path = str(tmp_path / "sequence")
     zoned = sequence.withColumn("time_event", F.col("time_event").cast("timestamp"))

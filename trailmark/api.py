@@ -20,14 +20,16 @@ from trailmark.plans.trends import (
     daily_event_trend,
     top_path_trend_from_sequence,
 )
-from trailmark.sources.tables import materialize
+from trailmark.sources.tables import store_sequence, stored_sequence
 
 
 class Flow:
     """The sequence of a flow and the frames drawn from it.
 
-    `events` is a unified log. The sequence is computed once, on first use: written to
-    `store` when a path is given, persisted in the session otherwise.
+    `events` is a unified log. The sequence is computed once, on first use: written into the
+    folder `store` when one is given, persisted in the session otherwise. A store holds sequences
+    of many flows; one of the same flow and dates is read from it instead of being computed again,
+    unless `refresh` asks for a new one.
     """
 
     def __init__(
@@ -38,6 +40,7 @@ class Flow:
         end_date: dt.date | str | None = None,
         include_tollfree: bool = False,
         store: str | None = None,
+        refresh: bool = False,
     ) -> None:
         self.flow_name = flow_name
         self.start_date = as_date(start_date, DEFAULT_START)
@@ -46,6 +49,7 @@ class Flow:
         self.path_highlight: str | None = "1-Path_Freq_Rank"
         self._events = events
         self._store = store
+        self._refresh = refresh
         self._sequence: DataFrame | None = None
         self._graph: tuple[DataFrame, DataFrame] | None = None
         self._dates: tuple[dt.date, dt.date] | None = None
@@ -66,10 +70,18 @@ class Flow:
     def sequence(self) -> DataFrame:
         """The enriched sequence of the flow and its dates, both ends included."""
         if self._sequence is None:
-            made = user_sequence(self._events, self.flow_name, self.start_date, self.end_date)
-            self._sequence = materialize(made, self._store) if self._store else made.persist()
+            self._sequence = self._kept()
         return self._sequence
 
+    def _kept(self) -> DataFrame:
+        chosen = self.flow_name, self.start_date, self.end_date
+        if self._store and not self._refresh:
+            found = stored_sequence(self.spark, self._store, *chosen)
+            if found is not None:
+                return found
+        made = user_sequence(self._events, *chosen)
+        return store_sequence(made, self._store, *chosen) if self._store else made.persist()
+
     def user_sequence(self, start_date=None, end_date=None) -> DataFrame:
         """The sequence strictly between midnights, without toll-free callers unless included."""
         narrowed = restrict_window(self.sequence, start_date, end_date)

@@ -30,16 +30,18 @@ def session_paths(
     events: DataFrame,
     keys: Sequence[str] = ("SessionId",),
     group_rows: int | None = GROUP_ROWS,
+    with_end: bool = False,
 ) -> DataFrame:
     """One row per session: its start, duration in seconds and path of labels in time order.
 
     Null labels are left out of the path; a session with no label at all has a null path.
+    `with_end` adds the time of the last event as `End`.
 
     A heavy session's path is joined from pieces. A path is the text of all its labels for every
     session, however large, so equal paths are equal; like any value of a row it ends at 2 GB, and
     `path_pieces` gives longer ones.
     """
-    return paths_of(events, keys, heavy_keys(events, keys, group_rows))
+    return paths_of(events, keys, heavy_keys(events, keys, group_rows), with_end=with_end)
 
 
 def paths_of(
@@ -47,24 +49,26 @@ def paths_of(
     keys: Sequence[str],
     heavy: Heavy | None,
     piece_steps: int = PIECE_STEPS,
+    with_end: bool = False,
 ) -> DataFrame:
     if heavy is None:
-        return _short_paths(events, keys)
+        return _short_paths(events, keys, with_end)
     ordinary, large = heavy.split(events, keys)
-    long_paths = _long_paths(large, keys, heavy, piece_steps)
-    return _short_paths(ordinary, keys).unionByName(long_paths)
+    long_paths = _long_paths(large, keys, heavy, piece_steps, with_end)
+    return _short_paths(ordinary, keys, with_end).unionByName(long_paths)
 
 
-def _span():
+def _span(with_end: bool):
     start, end = F.min("TimeStamp"), F.max("TimeStamp")
-    return start.alias("TimeStamp"), whole_seconds(start, end).alias("Duration")
+    span = [start.alias("TimeStamp"), whole_seconds(start, end).alias("Duration")]
+    return span + [end.alias("End")] if with_end else span
 
 
-def _short_paths(events: DataFrame, keys) -> DataFrame:
+def _short_paths(events: DataFrame, keys, with_end: bool) -> DataFrame:
     # One aggregate per session, in place of a running string per event and a rank filter.
     tie = tie_break(events)
     path = F.expr(f"listagg(ActionId, '{PATH_SEPARATOR}') WITHIN GROUP (ORDER BY TimeStamp, {tie})")
-    return events.groupBy(*keys).agg(*_span(), path.alias("Path"))
+    return events.groupBy(*keys).agg(*_span(with_end), path.alias("Path"))
 
 
 def path_pieces(
@@ -82,14 +86,14 @@ def path_pieces(
     return steps.groupBy(*keys, "piece").agg(text.alias("text"))
 
 
-def _long_paths(events, keys, heavy: Heavy, piece_steps: int) -> DataFrame:
+def _long_paths(events, keys, heavy: Heavy, piece_steps: int, with_end: bool) -> DataFrame:
     pieces = path_pieces(events, keys, heavy, piece_steps)
     text = F.expr(f"listagg(text, '{PATH_SEPARATOR}') WITHIN GROUP (ORDER BY piece)")
     paths = pieces.groupBy(*keys).agg(text.alias("Path"))
-    spans = events.groupBy(*keys).agg(*_span())
+    spans = events.groupBy(*keys).agg(*_span(with_end))
     renamed = paths.toDF(*[f"_{key}" for key in keys], "Path")
     same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
-    return spans.join(renamed, same, "left").select(*keys, "TimeStamp", "Duration", "Path")
+    return spans.join(renamed, same, "left").select(*spans.columns, "Path")
 
 
 def path_frequencies(paths: DataFrame) -> DataFrame:

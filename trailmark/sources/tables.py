@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,11 +19,25 @@ from trailmark.operators.events import EVENT_ID
 def read_table(spark: SparkSession, location: str, schema: T.StructType) -> DataFrame:
     """The columns of `schema` from a Parquet path or a catalog table.
 
-    An `EventId` column, where the table has one, is kept to order events of equal time.
+    An `EventId` column, where the table has one, is kept to order events of equal time. Numbers
+    are cast to the declared type and times may lack a zone; any other difference is an error.
     """
     table = spark.read.parquet(location) if "/" in location else spark.table(location)
     tie = [EVENT_ID] if EVENT_ID in table.columns else []
-    return table.select(*schema.fieldNames(), *tie)
+    columns = [_typed(table.schema[field.name], field) for field in schema]
+    return table.select(*columns, *tie)
+
+
+def _typed(found: T.StructField, declared: T.StructField) -> Column:
+    column, kinds = F.col(found.name), (found.dataType, declared.dataType)
+    times = (T.TimestampType, T.TimestampNTZType)
+    if kinds[0] == kinds[1] or all(isinstance(kind, times) for kind in kinds):
+        return column
+    if all(isinstance(kind, T.NumericType) for kind in kinds):
+        return column.cast(declared.dataType).alias(found.name)
+    raise TypeError(
+        f"{found.name} is {found.dataType.simpleString()}, not {declared.dataType.simpleString()}"
+    )
 
 
 def read_events(spark: SparkSession, catalog: Mapping[str, str]) -> dict[str, DataFrame]:
@@ -41,8 +58,8 @@ def read_exit_events(spark: SparkSession, location: str) -> DataFrame:
 def read_sequence_csv(spark: SparkSession, path: str) -> DataFrame:
     """An enriched sequence from CSV with a header; times are UTC, the date follows from them.
 
-    Numbers may be written as floats, as frames with missing values are. Only the columns of the
-    enriched sequence are kept.
+    Numbers may be written as floats, as frames with missing values are; whole ones are read
+    exactly. Only the columns of the enriched sequence are kept.
     """
     rows = spark.read.csv(path, header=True)
     columns = []
@@ -50,7 +67,8 @@ def read_sequence_csv(spark: SparkSession, path: str) -> DataFrame:
         if field.name == "date":
             columns.append(F.to_date(F.to_timestamp("time_event")).alias("date"))
         elif isinstance(field.dataType, T.LongType):
-            columns.append(F.col(field.name).cast("double").cast("long").alias(field.name))
+            whole, fraction = F.col(field.name).try_cast("long"), F.col(field.name).cast("double")
+            columns.append(F.coalesce(whole, fraction.cast("long")).alias(field.name))
         else:
             columns.append(F.col(field.name).cast(field.dataType).alias(field.name))
     return rows.select(*columns)
@@ -67,6 +85,40 @@ def materialize(sequence: DataFrame, path: str, mode: str = "overwrite") -> Data
     return sequence.sparkSession.read.schema(sequence.schema).parquet(path).select(sequence.columns)
 
 
+_STORED = "flow string, start date, end date, folder string, schema string"
+
+
+def stored_sequence(spark: SparkSession, store: str, flow, start, end) -> DataFrame | None:
+    """The sequence last stored for these arguments; None where there is none."""
+    try:
+        index = spark.read.schema(f"{_STORED}, written timestamp").parquet(f"{store}/index")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    same = (F.col("flow") == flow) & (F.col("start") == as_date(start)) & (F.col("end") == as_date(end))
+    last = index.filter(same).agg(F.max_by(F.struct("folder", "schema"), "written")).first()[0]
+    if last is None:
+        return None
+    schema = T.StructType.fromJson(json.loads(last["schema"]))
+    return spark.read.schema(schema).parquet(f"{store}/{last['folder']}").select(*schema.fieldNames())
+
+
+def store_sequence(sequence: DataFrame, store: str, flow, start, end) -> DataFrame:
+    """Write a sequence into `store` for these arguments and return it read back.
+
+    It goes into a folder of its own; a row in the index names it once it is complete.
+    """
+    spark, folder = sequence.sparkSession, f"sequence-{uuid.uuid4()}"
+    stored = materialize(sequence, f"{store}/{folder}")
+    values = [flow, as_date(start), as_date(end), folder, sequence.schema.json()]
+    names = [part.split()[0] for part in _STORED.split(", ")]
+    entry = spark.range(1).select(*[F.lit(v).alias(n) for n, v in zip(names, values)])
+    entry = entry.withColumn("written", F.current_timestamp())
+    entry.write.mode("append").parquet(f"{store}/index")
+    return stored
+
+
 def run_query(spark: SparkSession, query: str, flows, start, end) -> DataFrame:
     """A SQL query with the named arguments :flows (an array), :start and :end (dates).
 
