@@ -52,11 +52,31 @@ def test_metrics(skewed, limit, descending):
     order = [c.desc() for c in columns] if descending else columns
     heavy = ordered.heavy_keys(skewed, ["SessionId"], limit)
     assert heavy is not None and heavy.rows >= 200
-    split = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, heavy, peers=1)
-    whole = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, None, peers=1)
+    split = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, heavy, ["TimeStamp"])
+    whole = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, None, ["TimeStamp"])
     assert rows(split.select(whole.columns)) == rows(whole)
 
 
+@pytest.mark.parametrize("instants", [1, 2, 3, 60])
+def test_many_rows_of_one_instant_are_split(spark, instants):
+    """Ranks of equal times hold across the ranges that these times are cut into."""
+    time = F.timestamp_seconds(F.lit(1709251200) + F.floor(F.col("id") * instants / 400))
+    calls = spark.range(400).select(
+        F.when(F.col("id") % 5 > 0, "hot").alias("SessionId"),
+        F.when(F.col("id") >= 30, time).alias("TimeStamp"),
+        F.lit("a").alias("ActionId"),
+        F.col("id").alias("EventId"),
+        F.col("id").alias("weight"),
+    )
+    order = [F.col("TimeStamp"), F.col("EventId")]
+    heavy = ordered.heavy_keys(calls, ["SessionId"], 20)
+    split = ordered.ordered_metrics(calls, ["SessionId"], order, ALL_METRICS, heavy, ["TimeStamp"])
+    whole = ordered.ordered_metrics(calls, ["SessionId"], order, ALL_METRICS, None, ["TimeStamp"])
+    assert rows(split.select(whole.columns)) == rows(whole)
+    ranges = ordered.placed_in_ranges(calls, ["SessionId"], order, heavy).groupBy("_range").count()
+    assert ranges.count() > 4 and ranges.agg(F.max("count")).first()[0] < 100
+
+
 def test_no_heavy_keys(skewed):
     assert ordered.heavy_keys(skewed, ["SessionId"], 100) is None
     assert ordered.heavy_keys(skewed.limit(0), ["SessionId"], 100) is None
@@ -69,8 +89,8 @@ def test_many_heavy_keys(skewed, monkeypatch, limit):
     heavy = ordered.heavy_keys(skewed, ["SessionId"], limit)
     assert not heavy.small and heavy.keys.count() == 2
     order = [F.col("TimeStamp"), F.col("EventId")]
-    split = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, heavy, peers=1)
-    whole = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, None, peers=1)
+    split = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, heavy, ["TimeStamp"])
+    whole = ordered.ordered_metrics(skewed, ["SessionId"], order, ALL_METRICS, None, ["TimeStamp"])
     assert rows(split.select(whole.columns)) == rows(whole)
     assert rows(tm.session_paths(skewed, group_rows=limit)) == rows(tm.session_paths(skewed))
 
@@ -122,6 +142,23 @@ def test_attribute_join(skewed, small, how):
     assert rows(joined) == rows(expected)
 
 
+def test_intermediate_tables_are_deleted(spark, small):
+    events = events_log(spark, small)
+    kept = freeze.frozen(spark.range(3))
+    with freeze.intermediate_tables(spark):
+        made = tm.user_sequence(events, FLOWS, START, END, group_rows=4)
+        written = list(freeze._written.get())
+        expected = rows(tm.user_sequence(events, FLOWS, START, END))
+        assert written and rows(made) == expected
+    folder = spark.sparkContext.getCheckpointDir()
+    assert all(path.startswith(folder) for path in written)
+    fs = spark._jvm.org.apache.hadoop.fs
+    for path in written:
+        where = fs.Path(path)
+        assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    assert kept.count() == 3
+
+
 def test_fits(spark, monkeypatch):
     texts = spark.createDataFrame([("abcd",), (None,), ("ef",)], "t string")
     assert freeze.fits(texts, 3) and not freeze.fits(texts, 2)

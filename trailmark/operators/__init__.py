@@ -9,6 +9,7 @@ from trailmark.operators.daily import (
     top_nicknames,
 )
 from trailmark.operators.events import available_flows, call_events, filter_events, unify_events
+from trailmark.operators.freeze import intermediate_tables
 from trailmark.operators.graph import (
     flow_links,
     flow_nodes,
@@ -43,6 +44,7 @@ __all__ = [
     "flow_links",
     "flow_nodes",
     "highlight_path",
+    "intermediate_tables",
     "link_ids",
     "name_paths",
     "path_frequencies",

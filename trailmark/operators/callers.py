@@ -40,6 +40,6 @@ def callbacks(calls: DataFrame, group_rows: int | None = GROUP_ROWS) -> DataFram
     }
     heavy = heavy_keys(calls, ["CallingNumber"], group_rows)
     order = [F.col("TimeStamp"), F.col("SessionId")]
-    placed = ordered_metrics(calls, ["CallingNumber"], order, metrics, heavy, peers=1)
+    placed = ordered_metrics(calls, ["CallingNumber"], order, metrics, heavy, ["TimeStamp"])
     days = whole_days(F.col("_last_time"), F.col("TimeStamp"))
     return placed.withColumn("days_since_last_call", days).drop("_last_time")

@@ -121,20 +121,20 @@ def ordered_parts(
     order: Sequence[Column],
     metrics: Mapping[str, Metric],
     heavy: Heavy | None = None,
-    peers: int | None = None,
+    peers: Sequence[str] = (),
 ) -> list[DataFrame]:
     """`df` with the metrics, as one part, or two when there are heavy groups (heavy last).
 
-    `order` decides the row order in a group. The first `peers` of its columns define rows of equal
-    rank; they are all of them unless given.
+    `order` decides the row order in a group. Its first columns, named by `peers`, define rows of
+    equal rank; they are all of them unless given.
     """
-    peer_order = list(order)[: peers or len(order)]
+    peer_order = list(order)[: len(peers) or len(order)]
     if heavy is None:
         return [_by_window(df, keys, order, peer_order, metrics)]
     ordinary, large = heavy.split(df, keys)
     return [
         _by_window(ordinary, keys, order, peer_order, metrics),
-        _by_ranges(large, keys, order, peer_order, metrics, heavy),
+        _by_ranges(large, keys, order, peers, metrics, heavy),
     ]
 
 
@@ -144,7 +144,7 @@ def ordered_metrics(
     order: Sequence[Column],
     metrics: Mapping[str, Metric],
     heavy: Heavy | None = None,
-    peers: int | None = None,
+    peers: Sequence[str] = (),
 ) -> DataFrame:
     """As `ordered_parts`, with the parts in one DataFrame."""
     parts = ordered_parts(df, keys, order, metrics, heavy, peers)
@@ -178,28 +178,39 @@ def _or_zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0))
 
 
-def _by_ranges(df, keys, order, peer_order, metrics, heavy: Heavy) -> DataFrame:
+def placed_in_ranges(df: DataFrame, keys, order, heavy: Heavy) -> DataFrame:
+    """`df` written in ranges of key and order, with the number of its range and place in it.
+
+    All columns of the order cut the ranges, so many rows of one instant do not stay together.
+    """
     partitions = max(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
         math.ceil(heavy.rows / heavy.group_rows),
     )
     by_key = [F.col(key) for key in keys]
-    # Rows of equal rank stay in one range because only peer columns decide the range.
-    placed = frozen(
-        df.repartitionByRange(partitions, *by_key, *peer_order)
+    return frozen(
+        df.repartitionByRange(partitions, *by_key, *order)
         .sortWithinPartitions(*by_key, *order)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_at", _ROW_BITS))
     )
-    carried = _carried(placed, keys, metrics)
-    same = _all(
-        [F.col("_range") == F.col("_carry_range")]
-        + [F.col(key).eqNullSafe(F.col(f"_carry_{key}")) for key in keys]
-    )
-    # One row per range and heavy key, broadcast while these are few and short.
-    carried = frozen(carried)
-    few = heavy.small and fits(carried, BROADCAST_ROWS)
-    joined = placed.join(F.broadcast(carried) if few else carried, same)
+
+
+def _joined_on_range(rows: DataFrame, table: DataFrame, keys, heavy: Heavy) -> DataFrame:
+    """`rows` with `table`, one row per range and heavy key, broadcast while few and short."""
+    same = [F.col("_range") == F.col("_carry_range")]
+    same += [F.col(key).eqNullSafe(F.col(f"_carry_{key}")) for key in keys]
+    few = heavy.small and fits(table, BROADCAST_ROWS)
+    return rows.join(F.broadcast(table) if few else table, _all(same))
+
+
+def _by_ranges(df, keys, order, peers, metrics, heavy: Heavy) -> DataFrame:
+    placed = placed_in_ranges(df, keys, order, heavy)
+    peer_order = list(order)[: len(peers) or len(order)]
+    ranks = any(metric.kind == "ranked" for metric in metrics.values())
+    peers = F.struct(*peers) if peers and ranks else None
+    carried = frozen(_carried(placed, keys, metrics, peers, heavy))
+    joined = _joined_on_range(placed, carried, keys, heavy)
 
     rows = Window.partitionBy(*keys, "_range").orderBy("_at")
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
@@ -208,8 +219,11 @@ def _by_ranges(df, keys, order, peer_order, metrics, heavy: Heavy) -> DataFrame:
         if metric.kind == "numbered":
             made[name] = F.col("_rows_before") + F.col("_at") - F.col("_first_at") + 1
         elif metric.kind == "ranked":
-            peers = Window.partitionBy(*keys, "_range").orderBy(*peer_order)
-            made[name] = F.col("_rows_before") + F.rank().over(peers)
+            inside = Window.partitionBy(*keys, "_range").orderBy(*peer_order)
+            made[name] = F.col("_rows_before") + F.rank().over(inside)
+            if peers is not None:
+                cut = F.col("_peer_start").isNotNull() & peers.eqNullSafe(F.col("_first_peers"))
+                made[name] = F.when(cut, F.col("_peer_start")).otherwise(made[name])
         elif metric.kind == "first":
             made[name] = F.col(f"_start.{name}")
         elif metric.kind == "last":
@@ -229,9 +243,11 @@ def _by_ranges(df, keys, order, peer_order, metrics, heavy: Heavy) -> DataFrame:
     return joined.select(*df.columns, *[column.alias(name) for name, column in made.items()])
 
 
-def _carried(placed: DataFrame, keys, metrics) -> DataFrame:
+def _carried(placed: DataFrame, keys, metrics, peers: Column | None, heavy: Heavy) -> DataFrame:
     """Per (key, range): what the other ranges of the key contribute to its rows."""
     values = [F.col(m.column).alias(n) for n, m in metrics.items() if m.column is not None]
+    if peers is not None:
+        values.append(peers.alias("_peers"))
     row = F.struct(*values, F.lit(True).alias("_present"))
     totals = {n: m.column for n, m in metrics.items() if m.kind == "total"}
     summary = placed.groupBy(*keys, "_range").agg(
@@ -244,7 +260,8 @@ def _carried(placed: DataFrame, keys, metrics) -> DataFrame:
     )
     ranges = Window.partitionBy(*keys).orderBy("_range")
     earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(
+    both = [F.col(f"_{end}_row._peers").alias(f"_{end}_peers") for end in ("first", "last")]
+    carried = summary.select(
         F.col("_range").alias("_carry_range"),
         *[F.col(key).alias(f"_carry_{key}") for key in keys],
         "_first_at",
@@ -255,6 +272,38 @@ def _carried(placed: DataFrame, keys, metrics) -> DataFrame:
         F.lead("_first_row").over(ranges).alias("_following"),
         F.lag("_last_row").over(ranges).alias("_preceding"),
         *[_or_zero(F.sum(f"_sum_{n}").over(earlier)).alias(f"_total_{n}") for n in totals],
+        *([] if peers is None else both),
+    )
+    return carried if peers is None else _peer_starts(placed, frozen(carried), keys, peers, heavy)
+
+
+def _peer_starts(placed: DataFrame, carried: DataFrame, keys, peers: Column, heavy) -> DataFrame:
+    """`carried` with `_peer_start`: the rank of the first rows of a range whose equals began in an
+    earlier one, null where they did not."""
+    ends = carried.select(
+        "_carry_range",
+        *[f"_carry_{key}" for key in keys],
+        "_first_at",
+        F.col("_last_peers").alias("_end_peers"),
+    )
+    # The place of its first row identifies a range of a key.
+    begun = (
+        _joined_on_range(placed, ends, keys, heavy)
+        .filter(peers.eqNullSafe(F.col("_end_peers")))
+        .groupBy("_first_at")
+        .agg(F.min("_at").alias("_begun_at"))
+    )
+    ranges = Window.partitionBy(*[f"_carry_{key}" for key in keys]).orderBy("_carry_range")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    first, last = F.col("_first_peers"), F.col("_last_peers")
+    rank = F.col("_rows_before") + F.col("_begun_at") - F.col("_first_at") + 1
+    return (
+        carried.join(begun, "_first_at")
+        .withColumn("_continues", first.eqNullSafe(F.lag("_last_peers").over(ranges)))
+        .withColumn("_began", F.when(~(F.col("_continues") & first.eqNullSafe(last)), rank))
+        .withColumn(
+            "_peer_start", F.when(F.col("_continues"), F.last("_began", True).over(earlier))
+        )
     )
 
 
