@@ -188,6 +188,14 @@ def test_ranks_number_every_path(spark):
     assert [r["rank"] for r in order] == list(range(1, 5001))
 
 
+@pytest.mark.parametrize("limit", [1, 10_000])
+def test_top_paths_by_either_way(spark, monkeypatch, limit):
+    monkeypatch.setattr(paths, "TOP_IN_ONE_TASK", limit)
+    frequencies = spark.range(50).selectExpr("concat('p', id) AS Path", "id % 9 AS count")
+    top = tm.rank_paths(frequencies, 7)
+    assert rows(top) == rows(tm.rank_paths(frequencies).filter("rank <= 7"))
+
+
 def _brute_force(calls):
     """Statistics over explicit pairs."""
     groups = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.freeze import BROADCAST_ROWS
 from trailmark.functions.columns import path_length
 from trailmark.functions.dates import as_list
 from trailmark.operators.paths import name_paths
@@ -90,6 +91,8 @@ def top_nicknames(sequence: DataFrame, k: int = 10) -> DataFrame:
 
 def daily_top_paths(sequence: DataFrame, k: int = 10) -> DataFrame:
     """Sessions and mean session duration per date for the k nicknames with most rows."""
-    top = F.broadcast(top_nicknames(sequence, k))
+    top = top_nicknames(sequence, k)
+    # Nicknames are short: a bounded number of them fits.
+    top = F.broadcast(top) if k <= BROADCAST_ROWS else top
     kept = sequence.join(top, "path_nickname", "left_semi")
     return _mean_of_sessions(kept, "path_nickname", {"session_duration": "avg_duration"})

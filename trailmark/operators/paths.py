@@ -24,6 +24,8 @@ PIECE_STEPS = 100_000
 # Paths joined by broadcast because many sessions share them: at most this many, this long.
 FREQUENT_PATHS = 1_000
 FREQUENT_PATH_CHARS = 10_000
+# Top paths that one task numbers; more are numbered by a range sort.
+TOP_IN_ONE_TASK = 10_000
 
 
 def session_paths(
@@ -108,11 +110,13 @@ def _frequency_order():
 def rank_paths(frequencies: DataFrame, top_k: int | None = None) -> DataFrame:
     """Paths with `rank` and `nickname`, most frequent first and ties by path.
 
-    With `top_k` only that many are sorted and numbered; without, every path is ranked by a
+    With a small `top_k` only that many are sorted and numbered; otherwise paths are ranked by a
     range sort, with no single task seeing them all.
     """
-    if top_k is None:
+    if top_k is None or top_k > TOP_IN_ONE_TASK:
         ranked = number_rows(frequencies, _frequency_order(), "rank")
+        if top_k is not None:
+            ranked = ranked.filter(F.col("rank") <= top_k)
     else:
         top = frequencies.orderBy(*_frequency_order()).limit(top_k)
         numbers = F.row_number().over(Window.orderBy(*_frequency_order())).cast("long")
