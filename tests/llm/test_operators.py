@@ -399,6 +399,25 @@ def test_mix(docs, none, spark):
     assert mixing.mix(docs, {"a": 1, "absent": 1}).filter("mix_kept").count() == 0
 
 
+def test_mix_keeps_all(spark):
+    """A tiny source neither cuts the others nor is cut, and leaves its slots when it has run out."""
+    sizes = {"hot": 3300, "mid": 350, "tiny": 10, None: 1}
+    rows = [(i, "t", "en", s, 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = table(spark, rows)
+    mixed = mixing.mix(docs).collect()
+    assert sorted(r["doc_id"] for r in mixed if r["mix_kept"]) == list(range(len(rows)))
+    source = {r["mix_slot"]: r["source"] for r in mixed}
+    assert sorted(source) == list(range(207 + 22 + 1 + 1))
+    given = Counter()
+    for slot in range(229):
+        given[source[slot]] += 1
+        if given["mid"] < 22 and given["hot"] < 207:
+            assert abs(given["hot"] / math.sqrt(3300) - given["mid"] / math.sqrt(350)) <= 1 / math.sqrt(350) + 1e-9
+    slots = {r["doc_id"]: r["mix_slot"] for r in mixed}
+    ordered = [slots[r["doc_id"]] for r in mixing.interleave(docs).collect()]
+    assert ordered == sorted(slots.values())
+
+
 # 10
 
 

@@ -136,8 +136,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in a mix at exactly the tempered weights, and how far these can be held."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs)
+    return mixing.mix(docs, mixing.tempered_weights(docs))
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
