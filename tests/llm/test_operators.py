@@ -418,6 +418,25 @@ def test_mix_keeps_all(spark):
     assert ordered == sorted(slots.values())
 
 
+def test_mix_many_sources(spark):
+    """More sources than slots of a period, and a share far below one slot."""
+    rows = [(i, "t", "en", f"s{i % 1500}", 1) for i in range(3000)]
+    many = table(spark, rows)
+    found = mixing.mix(many, mixing.tempered_weights(many), block_rows=1).collect()
+    assert sorted(r["mix_slot"] for r in found) == list(range(3000)) and all(r["mix_kept"] for r in found)
+    assert sorted(r["mix_slot"] for r in mixing.mix(many, block_rows=1).collect()) == list(range(3000))
+    uneven = table(spark, [(i, "t", "en", "rare" if i < 2 else "hot", 1) for i in range(102)])
+    found = mixing.mix(uneven, {"rare": 1, "hot": 30, "gone": 0.3}, block_rows=1, period=10).collect()
+    slots = {(r["source"], r["mix_block"]): (r["mix_slot"], r["mix_kept"]) for r in found}
+    assert sorted(slot for slot, _ in slots.values()) == list(range(102))
+    assert slots["rare", 0] == (30, True) and slots["rare", 1] == (61, True)
+    # The rare source lacks its third block at 3, the absent one its first at 1 / 0.3.
+    assert sum(kept for _, kept in slots.values()) == 2 + 90
+    partly = mixing.mix(uneven, {"rare": 1, "gone": 1e-4}, block_rows=1).collect()
+    assert all((r["mix_slot"] is None) == (r["source"] == "hot") for r in partly)
+    assert not any(r["mix_kept"] for r in partly if r["source"] == "hot")
+
+
 # 10
 
 
