@@ -227,6 +227,27 @@ def test_quality_edges(docs, none):
     assert quality.quality_report(none).count() == 0 and quality.keep_quality(none).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 60, 240])
+def test_quality_copies(spark, corpus, copies):
+    """Copies of one text, up to 80 % of a language, reject neither the other documents nor itself."""
+    clean = [r["text"] for r in corpus.filter("lang = 'en'").collect() if len(words(r["text"])) > 60]
+    hot = clean[0]
+    others = list(dict.fromkeys(clean[1:]))[:60]
+    rows = [(i, x, "xx", "a", 1) for i, x in enumerate(others + [hot] * copies)]
+    found = quality.quality_report(table(spark, rows)).filter("not base_failed").collect()
+    gone = {r["doc_id"] for r in found if not r["kept"]}
+    assert len(found) > copies + 30 and not any(i >= len(others) for i in gone) and len(gone) <= 3, gone
+
+
+def test_quality_equal_quartiles(spark):
+    """Where most texts have one perplexity, a text next to them is not rejected."""
+    base = [f"word{i}" for i in range(200)]
+    texts = [" ".join(base[i:] + base[:i]) for i in range(20)]
+    texts += [" ".join([*base, f"word{i}"]) for i in range(4)]
+    report = quality.quality_report(table(spark, [(i, x, "xx", "a", 1) for i, x in enumerate(texts)]))
+    assert all(r["kept"] for r in report.collect())
+
+
 def test_classifier(spark, docs, none):
     larger = "/root/testdata/sf0.01"
     corpus = spark.read.parquet(f"{larger}/documents.parquet")
