@@ -7,7 +7,22 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import classifier, fingerprints, licenses, lines, mixing, neardup, quality, repeats, sentencepieces, warc
+from trailmark.llm import (
+    classifier,
+    collocations,
+    fingerprints,
+    licenses,
+    lines,
+    mixing,
+    neardup,
+    prefixtrie,
+    quality,
+    repeats,
+    sentencepieces,
+    topk,
+    warc,
+)
+from trailmark.operators.freeze import frozen
 
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -145,6 +160,40 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of two or three words per language that hold together best."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector whose id is divisible by 50 the five others with the largest inner products."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0).select(
+        "query_id", "rank", "vec_id", "score"
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt with the first turns of its hundred's first.
+
+    Of a conversation c the first crc32(c) % 6 turns are replaced by those of c - c % 100.
+    """
+    steps, members = prefixtrie.conversation_steps(_table(spark, sf_dir, "conversations"))
+    member = F.col("member")
+    heads = F.crc32(member.cast("string").cast("binary")) % 6
+    rebuilt = prefixtrie.with_shared_heads(steps, members, member - member % 100, heads, most=5)
+    return prefixtrie.prefix_trie(frozen(rebuilt), members).select(
+        F.col("member").alias("conv_id"),
+        "depth",
+        F.col("parent").alias("parent_conv_id"),
+        F.col("n_members").alias("n_convs"),
+        "n_children",
+        "n_leaves",
+        F.col("saved").alias("saved_tokens"),
+        "ends_sha256",
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -156,4 +205,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_minhash_neardup": op10_minhash_neardup,
+    "op11_collocations": op11_collocations,
+    "op12_top_k": op12_top_k,
+    "op13_prefix_trie": op13_prefix_trie,
 }
