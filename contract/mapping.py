@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark import session_paths, unify_events
+from trailmark.operators.freeze import ensure_checkpoint_dir
 
 FLOWS = ["flow-0", "flow-1"]
 START, END = "2024-01-03", "2024-01-28"
@@ -60,6 +63,27 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify_events(families(spark, sf_dir))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4()}"
+
+
+def family_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The five event families written to files of their own, as a catalog for `read_events`."""
+    folder = scratch(spark)
+    for family, events in families(spark, sf_dir).items():
+        events.write.parquet(f"{folder}/{family}")
+    return {family: f"{folder}/{family}" for family in families(spark, sf_dir)}
+
+
+def exit_file(spark: SparkSession, sf_dir: str) -> str:
+    """The exit events written to a file, for `read_exit_events`."""
+    folder = scratch(spark)
+    exit_events(spark, sf_dir).write.parquet(f"{folder}/exits")
+    return f"{folder}/exits"
+
+
 def exit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per session its last event time, flow and finished path."""
     log = events_log(spark, sf_dir)

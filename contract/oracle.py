@@ -654,4 +654,47 @@ calls AS (
         _SEQUENCE, "SELECT * FROM seq ORDER BY user_id, time_event, rank_event"
     ),
 }
+_STEP = """user_id, event_name, time_event, date, rank_event, next_event, FlowName,
+       time_from_start, time_to_next, path_nickname"""
+
+ORACLE |= {
+    "factorised_steps": _with(
+        _SEQUENCE,
+        f"""
+SELECT {_STEP}, count(*) AS "count",
+       count(*) FILTER (WHERE TollFreeNumber = 'NonTollFree') AS ordinary_count
+FROM seq GROUP BY {_STEP}""",
+    ),
+    "factorised_callers": _with(
+        _SEQUENCE,
+        """
+SELECT DISTINCT user_id, CallingNumber, callback_instance, days_since_last_call,
+       session_duration, previous_duration, TollFreeNumber
+FROM seq WHERE CallingNumber IS NOT NULL""",
+    ),
+    "factorised_links": ORACLE["flow_links"],
+    "factorised_nodes": ORACLE["flow_nodes"],
+    "factorised_callback_trend": ORACLE["callback_trend"],
+    "factorised_top_path_trend": ORACLE["top_path_trend_from_sequence"],
+    **{
+        f"refreshed_{frame}": ORACLE[f"dashboard_{frame}"]
+        for frame in ("links", "nodes", "totals", "top_paths", "callbacks")
+    },
+    "sketched_weeks": _with(
+        _EXITS,
+        """
+SELECT FlowName, CAST(date_trunc('week', "TimeStamp") AS DATE) AS week,
+       count(DISTINCT SessionId) AS sessions, true AS within_error
+FROM exits GROUP BY ALL""",
+    ),
+    "stored_in_parts": _with(
+        _SEQUENCE.replace(
+            "AND CAST(\"TimeStamp\" AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'", ""
+        ),
+        "SELECT * FROM seq",
+    ),
+    "events_from_files": ORACLE["unified_events"],
+    "exit_events_from_files": _with(_EXITS, "SELECT * FROM exits"),
+}
+
 ORACLE |= {f"{name}_whole_log": ORACLE[name].replace(_FILTERED, _WHOLE) for name in _ON_WHOLE_LOG}

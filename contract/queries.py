@@ -108,6 +108,52 @@ def _dashboard(sequence: DataFrame):
     return tm.dashboard_frames(sequence, SLIDER, include_tollfree=False, threshold_pct=10)
 
 
+def _refreshed(sequence: DataFrame):
+    summary = tm.summarise(sequence)
+    return tm.refreshed_at(summary, SLIDER, include_tollfree=False, threshold_pct=10)
+
+
+def of_factorised(operator: Callable[[tm.FactorisedSequence], DataFrame]) -> Query:
+    return lambda spark, sf_dir: rounded(
+        operator(tm.factorised_sequence(_log(spark, sf_dir), FLOWS, START, END))
+    )
+
+
+def _sketched_weeks(exits: DataFrame) -> DataFrame:
+    """Distinct sessions per flow and week, and whether the merged daily sketches agree with them."""
+    week = F.to_date(F.date_trunc("week", "date")).alias("week")
+    daily = tm.daily_session_sketches(exits).select("*", week)
+    estimated = tm.sketched_sessions(daily, by=("FlowName", "week"))
+    exact = (
+        exits.select("SessionId", "FlowName", F.to_date("TimeStamp").alias("date"))
+        .groupBy("FlowName", week)
+        .agg(F.count_distinct("SessionId").alias("exact"))
+    )
+    return exact.join(estimated, ["FlowName", "week"]).select(
+        "FlowName",
+        "week",
+        F.col("exact").alias("sessions"),
+        F.col("exact").between(F.col("low"), F.col("high")).alias("within_error"),
+    )
+
+
+def _stored_in_parts(spark, sf_dir):
+    """The sequence of a store to which the log is added in three parts, of days and of a late half."""
+    log, store = _log(spark, sf_dir), tm.SequenceStore(spark, mapping.scratch(spark), FLOWS)
+    day, late = F.to_date("TimeStamp"), F.col("EventId") % 2 == 1
+    for part in (day < WINDOW[0], (day >= WINDOW[0]) & ~late, (day >= WINDOW[0]) & late):
+        store.add(log.filter(part))
+    return store.sequence()
+
+
+def _from_files(spark, sf_dir):
+    return tm.unify_events(tm.read_events(spark, mapping.family_files(spark, sf_dir)))
+
+
+def _exits_from_files(spark, sf_dir):
+    return tm.read_exit_events(spark, mapping.exit_file(spark, sf_dir))
+
+
 # Operators without a filter of their own, on the events of two flows and 26 days, and on all.
 BARE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "session_paths": tm.session_paths,
@@ -150,6 +196,27 @@ PANELS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "dashboard_top_paths": lambda s: _dashboard(s).top_paths,
 }
 
+# The same panels from steps and callers side by side.
+FACTORISED: dict[str, Callable[[tm.FactorisedSequence], DataFrame]] = {
+    "factorised_steps": lambda f: f.steps,
+    "factorised_callers": lambda f: f.callers,
+    "factorised_links": lambda f: tm.flow_links(f.steps),
+    "factorised_nodes": lambda f: tm.flow_nodes(f.steps),
+    "factorised_callback_trend": lambda f: tm.callback_trend(f.steps, f.callers),
+    "factorised_top_path_trend": lambda f: tm.top_path_trend_from_sequence(
+        f.steps, callers=f.callers
+    ),
+}
+
+# The frames of one refresh merged from daily sums.
+REFRESHED: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "refreshed_links": lambda s: _refreshed(s).links,
+    "refreshed_nodes": lambda s: _refreshed(s).nodes,
+    "refreshed_totals": lambda s: _refreshed(s).totals,
+    "refreshed_top_paths": lambda s: _refreshed(s).top_paths,
+    "refreshed_callbacks": lambda s: _refreshed(s).callbacks,
+}
+
 QUERIES: dict[str, Query] = {
     "unified_events": _log,
     "unified_events_all_actions": lambda spark, sf_dir: tm.unify_events(
@@ -176,6 +243,12 @@ QUERIES: dict[str, Query] = {
     ),
     "user_sequence": _sequence,
     **{name: of_sequence(panel) for name, panel in PANELS.items()},
+    **{name: of_factorised(panel) for name, panel in FACTORISED.items()},
+    **{name: of_sequence(frame) for name, frame in REFRESHED.items()},
+    "sketched_weeks": _of_exits(_sketched_weeks),
+    "stored_in_parts": _stored_in_parts,
+    "events_from_files": _from_files,
+    "exit_events_from_files": _exits_from_files,
     "daily_sessions": _of_exits(tm.daily_sessions),
     "daily_path_length": _of_exits(tm.daily_path_length),
     "daily_session_trend": _of_exits(lambda exits: tm.daily_session_trend(exits, FLOWS)),

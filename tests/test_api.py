@@ -154,8 +154,10 @@ def test_dashboard(events):
 def test_dashboard_of_nothing(events):
     sequence = tm.user_sequence(events, "no such flow", START, END)
     assert sequence.count() == 0
-    with pytest.raises(ValueError, match="empty"):
-        tm.dashboard_frames(sequence)
+    frames = tm.dashboard_frames(sequence)
+    assert [getattr(frames, name).count() for name in vars(frames)] == [0] * 5
+    assert tm.date_at_percent(sequence, 10).first()["date"] is None
+    assert tm.dates_at_percents(sequence, 10, 90) == (None, None)
 
 
 def test_unknown_scope(events):

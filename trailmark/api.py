@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.functions.dates import DEFAULT_START, as_date
 from trailmark.operators.graph import highlight_path, threshold_links
+from trailmark.plans.dashboard import DashboardFrames
 from trailmark.plans.flowgraph import flow_graph
 from trailmark.plans.sequence import (
     dates_at_percents,
@@ -15,12 +16,13 @@ from trailmark.plans.sequence import (
     restrict_window,
     user_sequence,
 )
+from trailmark.plans.summary import SequenceSummary, refreshed_at, summarise
 from trailmark.plans.trends import (
     callback_trend,
     daily_event_trend,
     top_path_trend_from_sequence,
 )
-from trailmark.sources.tables import store_sequence, stored_sequence
+from trailmark.sources.tables import store_sequence, stored_extent, stored_sequence
 
 
 class Flow:
@@ -51,6 +53,7 @@ class Flow:
         self._store = store
         self._refresh = refresh
         self._sequence: DataFrame | None = None
+        self._summary: SequenceSummary | None = None
         self._graph: tuple[DataFrame, DataFrame] | None = None
         self._dates: tuple[dt.date, dt.date] | None = None
         self._threshold: dict[str, float] = {}
@@ -91,9 +94,35 @@ class Flow:
         self.include_tollfree = value
         self._forget_graph()
 
-    def date_at_percent(self, percentage: float) -> dt.date:
-        """The date that far between the first and the last step."""
-        return dates_at_percents(self.sequence, percentage, percentage)[0]
+    def date_at_percent(self, percentage: float) -> dt.date | None:
+        """The date that far between the first and the last step; None without steps.
+
+        With a store the two are in its index, and no step is read.
+        """
+        extent, sequence = None, self.sequence
+        if self._store:
+            chosen = self.flow_name, self.start_date, self.end_date
+            extent = stored_extent(self.spark, self._store, *chosen)
+        return dates_at_percents(sequence if extent is None else extent, percentage, percentage)[0]
+
+    @property
+    def summary(self) -> SequenceSummary:
+        """The daily sums of the sequence, made once, on first use."""
+        if self._summary is None:
+            self._summary = summarise(self.sequence)
+        return self._summary
+
+    def refresh(
+        self, dates_pct: tuple[float, float] = (0, 100), threshold_pct: float | None = None
+    ) -> DashboardFrames:
+        """All frames for a date slider, the toll-free switch and the highlight, from daily sums."""
+        return refreshed_at(
+            self.summary,
+            dates_pct,
+            include_tollfree=self.include_tollfree,
+            threshold_pct=threshold_pct,
+            highlight=self.path_highlight,
+        )
 
     def flow_graph(self, start_date=None, end_date=None) -> tuple[DataFrame, DataFrame]:
         """(nodes, links) of the steps between the dates; the flow's own by default.

@@ -57,6 +57,11 @@ def path_nickname(rank: Column) -> Column:
     return F.concat(rank.cast("string"), F.lit(NICKNAME_SUFFIX))
 
 
+def path_key(path: Column) -> Column:
+    """32 bytes that stand for a path's text, whatever its length; null for the null path."""
+    return F.unhex(F.sha2(path, 256))
+
+
 def path_length(path: Column) -> Column:
     """Number of separators in a path, which is its number of steps less one."""
     separator = F.lit(PATH_SEPARATOR)

@@ -18,6 +18,7 @@ from trailmark.operators.graph import (
     threshold_links,
 )
 from trailmark.operators.paths import (
+    keyed_paths,
     name_paths,
     path_frequencies,
     path_pieces,
@@ -27,6 +28,7 @@ from trailmark.operators.paths import (
 )
 from trailmark.operators.repeats import repeat_call_stats
 from trailmark.operators.rolling import rolling
+from trailmark.operators.sketches import daily_session_sketches, sketched_sessions
 from trailmark.operators.steps import step_metrics
 
 __all__ = [
@@ -38,6 +40,7 @@ __all__ = [
     "daily_events",
     "daily_path_length",
     "daily_path_metrics",
+    "daily_session_sketches",
     "daily_sessions",
     "daily_top_paths",
     "filter_events",
@@ -45,6 +48,7 @@ __all__ = [
     "flow_nodes",
     "highlight_path",
     "intermediate_tables",
+    "keyed_paths",
     "link_ids",
     "name_paths",
     "path_frequencies",
@@ -54,6 +58,7 @@ __all__ = [
     "rolling",
     "session_paths",
     "sessions_on",
+    "sketched_sessions",
     "step_metrics",
     "threshold_links",
     "top_nicknames",

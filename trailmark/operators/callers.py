@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import toll_free_class, whole_days, whole_seconds
+from trailmark.functions.columns import (
+    NOT_TOLL_FREE,
+    toll_free_class,
+    whole_days,
+    whole_seconds,
+)
 from trailmark.operators.events import known_caller
 from trailmark.operators.ordered import (
     GROUP_ROWS,
@@ -30,6 +35,14 @@ def caller_sessions(events: DataFrame) -> DataFrame:
     )
 
 
+def caller_counts(calls: DataFrame) -> DataFrame:
+    """Per session the number of its `callers`, and of those of the ordinary class."""
+    ordinary = F.when(F.col("TollFreeNumber") == NOT_TOLL_FREE, 1)
+    return calls.groupBy("SessionId").agg(
+        F.count(F.lit(1)).alias("callers"), F.count(ordinary).alias("ordinary_callers")
+    )
+
+
 def callbacks(calls: DataFrame, group_rows: int | None = GROUP_ROWS) -> DataFrame:
     """Caller sessions with their instance per number, whole days since the last call and the
     duration of the last call."""

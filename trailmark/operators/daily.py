@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +58,36 @@ def daily_events(sequence: DataFrame) -> DataFrame:
     return sequence.groupBy("date", "FlowName").agg(F.sum("count").alias("count"))
 
 
-def _mean_of_sessions(sequence: DataFrame, series: str, metrics: dict[str, str]) -> DataFrame:
-    """Daily means of session means: each session counts once however many steps it has."""
-    sessions = sequence.groupBy("user_id", "date", series).agg(
-        *[F.avg(column).alias(column) for column in metrics]
+# The caller columns behind the daily callback metrics.
+CALLBACK_METRICS = {
+    "session_duration": "avg_duration",
+    "previous_duration": "avg_previous_duration",
+    "days_since_last_call": "avg_days_since_last_call",
+}
+
+
+def session_means(
+    sequence: DataFrame, series: str, columns: Iterable[str], callers: DataFrame | None = None
+) -> DataFrame:
+    """Per session, day and `series` the means of caller columns over the rows of the sequence.
+
+    With `callers` given, `sequence` holds steps only (see `FactorisedSequence`). All steps of a session
+    have the same callers, so their means over steps and callers are those over the callers, which
+    join the distinct days of the session.
+    """
+    if callers is None:
+        means = [F.avg(column).alias(column) for column in columns]
+        return sequence.groupBy("user_id", "date", series).agg(*means)
+    of_caller = series in callers.columns
+    days = sequence.select("user_id", "date", *([] if of_caller else [series])).distinct()
+    means = callers.groupBy("user_id", *([series] if of_caller else [])).agg(
+        *[F.avg(column).alias(column) for column in columns]
     )
+    return days.join(means, "user_id", "left")
+
+
+def mean_of_sessions(sessions: DataFrame, series: str, metrics: dict[str, str]) -> DataFrame:
+    """Daily means of session means: each session counts once however many steps it has."""
     return (
         sessions.dropna(subset=["user_id", "date", series])
         .groupBy(series, "date")
@@ -71,28 +98,27 @@ def _mean_of_sessions(sequence: DataFrame, series: str, metrics: dict[str, str])
     )
 
 
-def daily_callbacks(sequence: DataFrame) -> DataFrame:
+def daily_callbacks(sequence: DataFrame, callers: DataFrame | None = None) -> DataFrame:
     """Per date and toll-free class: sessions, and their mean duration, previous duration and days
     since the last call."""
-    metrics = {
-        "session_duration": "avg_duration",
-        "previous_duration": "avg_previous_duration",
-        "days_since_last_call": "avg_days_since_last_call",
-    }
-    return _mean_of_sessions(sequence, "TollFreeNumber", metrics)
+    sessions = session_means(sequence, "TollFreeNumber", CALLBACK_METRICS, callers)
+    return mean_of_sessions(sessions, "TollFreeNumber", CALLBACK_METRICS)
 
 
 def top_nicknames(sequence: DataFrame, k: int = 10) -> DataFrame:
     """The k path nicknames with most sequence rows, ties by nickname."""
-    counts = sequence.groupBy("path_nickname").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = sequence.groupBy("path_nickname").agg(F.sum("count").alias("_rows"))
     ordered = counts.orderBy(F.col("_rows").desc(), F.col("path_nickname"))
     return ordered.limit(k).select("path_nickname")
 
 
-def daily_top_paths(sequence: DataFrame, k: int = 10) -> DataFrame:
+def daily_top_paths(
+    sequence: DataFrame, k: int = 10, callers: DataFrame | None = None
+) -> DataFrame:
     """Sessions and mean session duration per date for the k nicknames with most rows."""
     top = top_nicknames(sequence, k)
     # Nicknames are short: a bounded number of them fits.
     top = F.broadcast(top) if k <= BROADCAST_ROWS else top
     kept = sequence.join(top, "path_nickname", "left_semi")
-    return _mean_of_sessions(kept, "path_nickname", {"session_duration": "avg_duration"})
+    sessions = session_means(kept, "path_nickname", ["session_duration"], callers)
+    return mean_of_sessions(sessions, "path_nickname", {"session_duration": "avg_duration"})

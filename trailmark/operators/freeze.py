@@ -8,8 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -35,6 +36,9 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         _written.reset(token)
         for name in written:
+            table = name.rsplit("/", 1)[-1]
+            if table.startswith("clustered_"):
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -85,9 +89,41 @@ def join_attributes(
 
 
 def fits(df: DataFrame, limit: int) -> bool:
-    """Whether `df` has at most `limit` rows and BROADCAST_CHARS characters of text."""
-    texts = [F.coalesce(F.length(n), F.lit(0)) for n, kind in df.dtypes if kind == "string"]
-    chars = sum(texts, F.lit(0))
+    """Whether `df` has at most `limit` rows and BROADCAST_CHARS characters of text.
+
+    Arrays, maps and structs count as their JSON text, so nested values weigh what they hold.
+    """
+    chars = sum((_chars(field) for field in df.schema), F.lit(0))
     measured = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(chars))
     rows, text = measured.first()
     return rows <= limit and (text or 0) <= BROADCAST_CHARS
+
+
+def _chars(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        size = F.length(column)
+    elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.length(F.to_json(F.struct(column)))
+    else:
+        return F.lit(0)
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
+def clustered(df: DataFrame, key: str) -> DataFrame:
+    """`df` written once as a table in buckets of `key` and read back from it.
+
+    Windows, aggregates and joins on `key` then need no further exchange of these rows: whoever
+    joins is brought to them. The rows of a key share a task, so keys that are too large for one
+    must have been taken out before.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"clustered_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    if (written := _written.get()) is not None:
+        written.append(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
+    writer.option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)

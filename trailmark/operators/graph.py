@@ -16,12 +16,16 @@ LINK_COLOR = "#d3d3d3"
 
 
 def flow_moves(sequence: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Steps added up by (event_name, next_event, rank_event, *by): all a graph needs of them."""
+    """Steps added up by (event_name, next_event, rank_event, *by): all a graph needs of them.
+
+    A step counts as often as its `count` says, 1 in a flat sequence.
+    """
+    weight = F.col("count")
+    timed = F.when(F.col("time_from_start").isNotNull(), weight)
     return sequence.groupBy("event_name", "next_event", "rank_event", *by).agg(
-        F.count(F.lit(1)).alias("steps"),
-        F.sum("count").alias("count"),
-        F.sum("time_from_start").alias("seconds"),
-        F.count("time_from_start").alias("timed"),
+        F.sum(weight).alias("count"),
+        F.sum(F.col("time_from_start") * weight).alias("seconds"),
+        F.coalesce(F.sum(timed), F.lit(0)).alias("timed"),
     )
 
 
@@ -34,7 +38,9 @@ def flow_links(
     `sessions` adds the distinct sessions beside it, at the price of a shuffle by session.
     """
     extra = [F.count_distinct("user_id").alias("sessions")] if sessions else []
-    return _links(sequence, by, F.avg("time_from_start"), extra)
+    timed = F.when(F.col("time_from_start").isNotNull(), F.col("count"))
+    seconds = F.sum(F.col("time_from_start") * F.col("count"))
+    return _links(sequence, by, F.try_divide(seconds, F.sum(timed)), extra)
 
 
 def links_of(moves: DataFrame, by: Sequence[str] = ("path_nickname",)) -> DataFrame:
@@ -60,7 +66,7 @@ def flow_nodes(sequence: DataFrame) -> DataFrame:
     before. `node_id` numbers the nodes from 0 in this order.
     """
     # One pass over the sequence; the two ends are told apart on its few distinct moves.
-    steps = F.count(F.lit(1)).alias("steps")
+    steps = F.sum("count").alias("count")
     return nodes_of(sequence.groupBy("event_name", "next_event", "rank_event").agg(steps))
 
 
@@ -73,11 +79,11 @@ def nodes_of(moves: DataFrame) -> DataFrame:
         )
     )
     ranks = (
-        moves.select(ends.alias("_end"), "rank_event", "steps")
-        .select("_end.*", "rank_event", "steps")
+        moves.select(ends.alias("_end"), "rank_event", "count")
+        .select("_end.*", "rank_event", "count")
         .filter(F.col("label").isNotNull())
         .groupBy("_role", "label", "rank_event")
-        .agg(F.sum("steps").alias("_n"))
+        .agg(F.sum("count").alias("_n"))
     )
     modes = ranks.groupBy("_role", "label").agg(
         F.max(F.struct("_n", (-F.col("rank_event")).alias("_rank"))).alias("_mode")

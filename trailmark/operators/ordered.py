@@ -61,15 +61,16 @@ def heavy_keys(
 
     With `group_rows=None` the caller vouches that there are none, and nothing is counted.
 
-    Costs one pre-aggregated count over the key columns. The limit does not depend on the table.
+    Costs one pre-aggregated count over the key columns; only where it finds heavy groups is it made
+    again, to write them. The limit does not depend on the table.
     """
     if group_rows is None:
         return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if (sizes.agg(F.max("_rows")).first()[0] or 0) <= group_rows:
+        return None
     large = frozen(sizes.filter(F.col("_rows") > group_rows))
     rows = large.agg(F.sum("_rows")).first()[0]
-    if rows is None:
-        return None
     named = large.select(*keys)
     return Heavy(named, rows, group_rows, fits(named, HEAVY_KEYS))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import PATH_SEPARATOR, path_nickname, whole_seconds
+from trailmark.functions.columns import PATH_SEPARATOR, path_key, path_nickname, whole_seconds
 from trailmark.operators.events import event_order, tie_break
 from trailmark.operators.ordered import (
     GROUP_ROWS,
@@ -21,9 +21,8 @@ from trailmark.operators.ordered import (
 # Labels per piece of a heavy session's path.
 PIECE_STEPS = 100_000
 
-# Paths joined by broadcast because many sessions share them: at most this many, this long.
+# Paths joined by broadcast because many sessions share them: at most this many keys.
 FREQUENT_PATHS = 1_000
-FREQUENT_PATH_CHARS = 10_000
 # Top paths that one task numbers; more are numbered by a range sort.
 TOP_IN_ONE_TASK = 10_000
 
@@ -54,10 +53,23 @@ def paths_of(
     with_end: bool = False,
 ) -> DataFrame:
     if heavy is None:
-        return _short_paths(events, keys, with_end)
-    ordinary, large = heavy.split(events, keys)
-    long_paths = _long_paths(large, keys, heavy, piece_steps, with_end)
-    return _short_paths(ordinary, keys, with_end).unionByName(long_paths)
+        return paths_of_parts(events, None, keys, None, piece_steps, with_end)
+    return paths_of_parts(*heavy.split(events, keys), keys, heavy, piece_steps, with_end)
+
+
+def paths_of_parts(
+    ordinary: DataFrame,
+    large: DataFrame | None,
+    keys: Sequence[str],
+    heavy: Heavy | None,
+    piece_steps: int = PIECE_STEPS,
+    with_end: bool = False,
+) -> DataFrame:
+    """The paths of ordinary and of heavy sessions whose events have been told apart."""
+    paths = _short_paths(ordinary, keys, with_end)
+    if heavy is None:
+        return paths
+    return paths.unionByName(_long_paths(large, keys, heavy, piece_steps, with_end))
 
 
 def _span(with_end: bool):
@@ -98,6 +110,18 @@ def _long_paths(events, keys, heavy: Heavy, piece_steps: int, with_end: bool) ->
     return spans.join(renamed, same, "left").select(*spans.columns, "Path")
 
 
+def keyed_paths(paths: DataFrame) -> DataFrame:
+    """`paths` with `PathKey`: 32 bytes that stand for the path's text, null for the null path.
+
+    Written beside the text, it lets joins read and shuffle the key alone.
+    """
+    return paths.withColumn("PathKey", path_key(F.col("Path")))
+
+
+def _with_key(paths: DataFrame) -> DataFrame:
+    return paths if "PathKey" in paths.columns else keyed_paths(paths)
+
+
 def path_frequencies(paths: DataFrame) -> DataFrame:
     """Sessions per path; the null path is a group of its own."""
     return paths.groupBy("Path").agg(F.count("TimeStamp").alias("count"))
@@ -127,21 +151,32 @@ def rank_paths(frequencies: DataFrame, top_k: int | None = None) -> DataFrame:
 def name_paths(paths: DataFrame, ranks: DataFrame) -> DataFrame:
     """Sessions with the nickname of their path; those with a null path drop out.
 
-    Frequent paths would pile up in one task of a shuffle join. They are joined by broadcast
-    instead: at most FREQUENT_PATHS rows of bounded text. A path ranked below them holds less than
-    a FREQUENT_PATHS-th of the sessions, so the rest shuffles evenly.
+    Sessions meet the ranks by the fixed-width key of their path, so neither side shuffles text and a
+    path's length does not matter. The most frequent paths, at most FREQUENT_PATHS keys, are joined by
+    broadcast; their sessions pass the shuffle that follows under keys of their own, and so spread. A
+    path ranked below them holds less than a FREQUENT_PATHS-th of the sessions.
     """
-    frequent = (F.col("rank") <= FREQUENT_PATHS) & (F.char_length("Path") <= FREQUENT_PATH_CHARS)
-    names = ranks.select("Path", "rank", F.col("nickname").alias("path_nickname"))
-    hot = names.filter(frequent).drop("rank")
-    cold = names.filter(~frequent).drop("rank")
-    marked = paths.filter(F.col("Path").isNotNull()).join(F.broadcast(hot), "Path", "left")
-    named = marked.filter(F.col("path_nickname").isNotNull())
-    others = marked.filter(F.col("path_nickname").isNull()).drop("path_nickname")
-    return named.unionByName(others.join(cold, "Path"))
+    names = ranks.select(path_key(F.col("Path")).alias("_key"), "rank", "nickname")
+    often = names.filter(F.col("rank") <= FREQUENT_PATHS).select(
+        "_key", F.col("nickname").alias("_often")
+    )
+    seldom = names.filter(F.col("rank") > FREQUENT_PATHS).select(
+        F.col("_key").alias("_other_key"), F.col("nickname").alias("_seldom")
+    )
+    keyed = _with_key(paths).filter(F.col("PathKey").isNotNull())
+    marked = keyed.join(F.broadcast(often), F.col("PathKey") == F.col("_key"), "left")
+    own = F.concat(F.lit("session "), F.coalesce("SessionId", F.lit(""))).cast("binary")
+    met = F.when(F.col("_often").isNull(), F.col("PathKey")).otherwise(own)
+    named = marked.join(seldom, met == F.col("_other_key"), "left")
+    columns = [name for name in paths.columns if name != "PathKey"]
+    return named.select(
+        *columns, F.coalesce("_often", "_seldom").alias("path_nickname")
+    ).filter(F.col("path_nickname").isNotNull())
 
 
 def sessions_on(paths: DataFrame, top: DataFrame, nickname: str) -> DataFrame:
     """Distinct sessions whose path is the one with `nickname` among the `top` ranked paths."""
-    chosen = top.filter(F.col("nickname") == nickname)
-    return name_paths(paths.select("SessionId", "Path"), chosen).select("SessionId").distinct()
+    # A nickname is one path's: one key.
+    chosen = top.filter(F.col("nickname") == nickname).select(path_key(F.col("Path")).alias("PathKey"))
+    keyed = _with_key(paths.drop("Duration"))
+    return keyed.join(F.broadcast(chosen), "PathKey", "left_semi").select("SessionId").distinct()

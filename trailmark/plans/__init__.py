@@ -6,13 +6,27 @@ from trailmark.plans.flowgraph import (
     log_sequence,
 )
 from trailmark.plans.sequence import (
+    FactorisedSequence,
+    FilterCounts,
     date_at_percent,
+    dates_at_percents,
+    factorised,
+    factorised_sequence,
     in_order,
+    restrict_counted,
     restrict_tollfree,
     restrict_window,
     step_sequence,
     user_sequence,
 )
+from trailmark.plans.summary import (
+    SequenceSummary,
+    merge_summaries,
+    read_summary,
+    refreshed,
+    refreshed_at,
+    summarise,
+)
 from trailmark.plans.trends import (
     callback_trend,
     daily_event_trend,
@@ -27,21 +41,33 @@ from trailmark.plans.trends import (
 
 __all__ = [
     "DashboardFrames",
+    "FactorisedSequence",
+    "FilterCounts",
+    "SequenceSummary",
     "callback_trend",
     "compare_periods",
     "daily_event_trend",
     "daily_session_trend",
     "dashboard_frames",
     "date_at_percent",
+    "dates_at_percents",
+    "factorised",
+    "factorised_sequence",
     "flow_graph",
     "flow_graph_from_log",
     "flow_trend",
     "in_order",
     "log_sequence",
+    "merge_summaries",
+    "read_summary",
+    "refreshed",
+    "refreshed_at",
+    "restrict_counted",
     "restrict_tollfree",
     "restrict_window",
     "sessions_on_path",
     "step_sequence",
+    "summarise",
     "top_path_trend",
     "top_path_trend_from_sequence",
     "top_paths",

@@ -34,7 +34,8 @@ def dashboard_frames(
     """Graph, totals, top paths and callbacks of one materialised sequence.
 
     The date range and the toll-free switch narrow all frames but the totals, which always show the
-    whole sequence.
+    whole sequence. Of an empty sequence all frames are empty. To draw many refreshes, `summarise` the
+    sequence once and use `refreshed_at`, which gives the same frames without reading it.
     """
     start, end = dates_at_percents(sequence, *dates_pct)
     shown = restrict_tollfree(restrict_window(sequence, start, end), include_tollfree)

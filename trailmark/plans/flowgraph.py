@@ -37,8 +37,21 @@ def flow_graph(
     `sessions` reads it a second time.
     """
     moves = frozen(flow_moves(sequence, by))
+    links = flow_links(sequence, by, sessions) if sessions else None
+    return graph_of(moves, min_count, pct, highlight, by, links)
+
+
+def graph_of(
+    moves: DataFrame,
+    min_count: int | None = None,
+    pct: float | None = None,
+    highlight: str | None = None,
+    by: Sequence[str] = ("path_nickname",),
+    links: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of steps added up by `flow_moves`, or sums of those; no moves, no rows."""
     nodes = nodes_of(moves)
-    links = flow_links(sequence, by, sessions) if sessions else links_of(moves, by)
+    links = links_of(moves, by) if links is None else links
     if min_count is not None or pct is not None:
         links = threshold_links(links, min_count, pct)
     links = link_ids(links, nodes)

@@ -105,32 +105,49 @@ def sessions_on_path(
 
 
 def top_path_trend_from_sequence(
-    sequence: DataFrame, k: int = TOP_PATHS, by: Sequence[str] = ("path_nickname",)
+    sequence: DataFrame,
+    k: int = TOP_PATHS,
+    by: Sequence[str] = ("path_nickname",),
+    callers: DataFrame | None = None,
 ) -> DataFrame:
     """Sessions and mean duration per day for the k nicknames with most steps.
 
-    Rolling means need 14 full rows. `by=()` rolls through the frame without regard to the path.
+    Rolling means need 14 full rows. `by=()` rolls through the frame without regard to the path. With
+    `callers` the sequence is a factorised one's steps.
     """
+    return rolled_top_paths(daily_top_paths(sequence, k, callers), by)
+
+
+def rolled_top_paths(daily: DataFrame, by: Sequence[str] = ("path_nickname",)) -> DataFrame:
     columns = {"avg_14_day_avg_duration": "avg_duration", "avg_14_day_count": "count"}
     order = ["date"] if by else ["path_nickname", "date"]
-    return rolling(daily_top_paths(sequence, k), columns, by, order, **FULL_FRAME)
+    return rolling(daily, columns, by, order, **FULL_FRAME)
 
 
 def daily_event_trend(sequence: DataFrame, by: Sequence[str] = ("FlowName",)) -> DataFrame:
     """Steps per day and flow with the mean of 14 full rows; `by=()` rolls across flows."""
+    return rolled_events(daily_events(sequence), by)
+
+
+def rolled_events(daily: DataFrame, by: Sequence[str] = ("FlowName",)) -> DataFrame:
     order = ["date"] if by else ["date", "FlowName"]
-    daily = daily_events(sequence)
     return rolling(daily, {"avg_14_day_count": "count"}, by, order, **FULL_FRAME)
 
 
-def callback_trend(sequence: DataFrame) -> DataFrame:
-    """Callback metrics per day and toll-free class with means of 14 full rows."""
+def callback_trend(sequence: DataFrame, callers: DataFrame | None = None) -> DataFrame:
+    """Callback metrics per day and toll-free class with means of 14 full rows.
+
+    With `callers` the sequence is a factorised one's steps.
+    """
+    return rolled_callbacks(daily_callbacks(sequence, callers))
+
+
+def rolled_callbacks(daily: DataFrame) -> DataFrame:
     columns = {
         "avg_14_day_avg_duration": "avg_duration",
         "avg_14_day_avg_previous_duration": "avg_previous_duration",
         "avg_14_day_count": "count",
     }
-    daily = daily_callbacks(sequence)
     return rolling(daily, columns, ["TollFreeNumber"], ["date"], **FULL_FRAME)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,11 +85,11 @@ def materialize(sequence: DataFrame, path: str, mode: str = "overwrite") -> Data
     return sequence.sparkSession.read.schema(sequence.schema).parquet(path).select(sequence.columns)
 
 
-_STORED = "flow string, start date, end date, folder string, schema string"
+_STORED = "flow string, start date, end date, folder string, schema string, first string, last string"
 
 
-def stored_sequence(spark: SparkSession, store: str, flow, start, end) -> DataFrame | None:
-    """The sequence last stored for these arguments; None where there is none."""
+def _last_stored(spark: SparkSession, store: str, flow, start, end) -> Row | None:
+    """What the index of `store` says of the sequence last stored for these arguments."""
     try:
         index = spark.read.schema(f"{_STORED}, written timestamp").parquet(f"{store}/index")
     except AnalysisException as error:
@@ -97,7 +97,26 @@ def stored_sequence(spark: SparkSession, store: str, flow, start, end) -> DataFr
             raise
         return None
     same = (F.col("flow") == flow) & (F.col("start") == as_date(start)) & (F.col("end") == as_date(end))
-    last = index.filter(same).agg(F.max_by(F.struct("folder", "schema"), "written")).first()[0]
+    entry = F.struct("folder", "schema", "first", "last")
+    return index.filter(same).agg(F.max_by(entry, "written")).first()[0]
+
+
+def stored_extent(spark: SparkSession, store: str, flow, start, end) -> DataFrame | None:
+    """One row with the `first` and `last` time of a stored sequence, from the index alone.
+
+    `date_at_percent` takes it in place of the sequence. None where the index does not know them.
+    """
+    found = _last_stored(spark, store, flow, start, end)
+    if found is None or found["first"] is None:
+        return None
+    kind = T.StructType.fromJson(json.loads(found["schema"]))["time_event"].dataType
+    times = [F.lit(found[name]).cast(kind).alias(name) for name in ("first", "last")]
+    return spark.range(1).select(*times)
+
+
+def stored_sequence(spark: SparkSession, store: str, flow, start, end) -> DataFrame | None:
+    """The sequence last stored for these arguments; None where there is none."""
+    last = _last_stored(spark, store, flow, start, end)
     if last is None:
         return None
     schema = T.StructType.fromJson(json.loads(last["schema"]))
@@ -107,18 +126,43 @@ def stored_sequence(spark: SparkSession, store: str, flow, start, end) -> DataFr
 def store_sequence(sequence: DataFrame, store: str, flow, start, end) -> DataFrame:
     """Write a sequence into `store` for these arguments and return it read back.
 
-    It goes into a folder of its own; a row in the index names it once it is complete.
+    It goes into a folder of its own; a row in the index names it once it is complete, with the first
+    and the last time of its steps, which are observed while it is written.
     """
-    spark, folder = sequence.sparkSession, f"sequence-{uuid.uuid4()}"
-    stored = materialize(sequence, f"{store}/{folder}")
+    spark, folder, seen = sequence.sparkSession, f"sequence-{uuid.uuid4()}", Observation()
+    ends = [f("time_event").cast("string").alias(n) for f, n in ((F.min, "first"), (F.max, "last"))]
+    stored = materialize(sequence.observe(seen, *ends), f"{store}/{folder}")
+    times = seen.get
     values = [flow, as_date(start), as_date(end), folder, sequence.schema.json()]
+    values += [times["first"], times["last"]]
     names = [part.split()[0] for part in _STORED.split(", ")]
-    entry = spark.range(1).select(*[F.lit(v).alias(n) for n, v in zip(names, values)])
+    kinds = [part.split()[1] for part in _STORED.split(", ")]
+    entry = spark.range(1).select(
+        *[F.lit(value).cast(kind).alias(name) for name, kind, value in zip(names, kinds, values)]
+    )
     entry = entry.withColumn("written", F.current_timestamp())
     entry.write.mode("append").parquet(f"{store}/index")
     return stored
 
 
+class TooManyRows(ValueError):
+    """A result has more rows than its reader has room for."""
+
+
+def bounded_rows(df: DataFrame, max_rows: int) -> Iterator[Row]:
+    """At most `max_rows` rows of `df`, one after another, and an error if there are more.
+
+    The sink for small results: the driver holds a partition of the limited result at a time and never
+    asks for more than one row beyond the limit. The error comes after the last row that has room.
+    """
+    if max_rows < 0:
+        raise ValueError("max_rows must not be negative")
+    for number, row in enumerate(df.limit(max_rows + 1).toLocalIterator(), 1):
+        if number > max_rows:
+            raise TooManyRows(f"more than {max_rows} rows")
+        yield row
+
+
 def run_query(spark: SparkSession, query: str, flows, start, end) -> DataFrame:
     """A SQL query with the named arguments :flows (an array), :start and :end (dates).
 
