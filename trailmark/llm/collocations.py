@@ -276,11 +276,12 @@ def collocations(
     parts = phrases.select(F.col("key").alias("part"), F.col("f").alias("times"))
     best = _lowest_cuts(kept, parts)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
+    # Not cast before the filter: so each task keeps `top` rows of a language before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     ranked = best.withColumn("rank", rank).filter(F.col("rank") <= top)
     totals = counts[0].filter("phrase = ''").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
 
 
