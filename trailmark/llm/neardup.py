@@ -6,9 +6,10 @@ of the COORDINATES - MIN_MATCHES + 1 keys that come first in any common order; k
 often they occur, rare ones first, and only these prefixes are posted. Members of a list are compared
 with its least and greatest member first, which joins groups of copies without listing their pairs.
 Where the members of a list are then not in one component, signatures are compared inside tasks, block
-by block, to find which classes may belong to which other component; these are compared with all its
-members on the full sets, and one link is kept. So no pairs inside a group are listed, and no link
-between components is lost. All links are confirmed on the full sets.
+by block. A first pass finds the classes that agree with any class of another component, a second
+brings the full sets of these into blocks, confirms inside the task, and keeps only links that join
+components not yet joined there. So what leaves a task are members and a forest, never the pairs of a
+group, and no link between components is lost. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from trailmark.llm.keyed import lookup
 from trailmark.llm.streams import grouped, runs
-from trailmark.llm.words import hashes, mixed, window_hashes
+from trailmark.llm.words import chunks, hashes_of, mixed, window_hashes
 from trailmark.operators.freeze import fits, frozen
 
 SHINGLE = 5
@@ -52,10 +54,10 @@ _PIECE = 50_000
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Distinct hashes of the shingles of a text, A-Z in lower case, cut to 48 bits; sorted."""
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    of_words = hashes_of(text, lower=True)
+    if not len(of_words):
         return np.zeros(0, np.uint64)
-    found = window_hashes(hashes(words), min(size, len(words)))
+    found = window_hashes(of_words, min(size, len(of_words)))
     return np.unique(found >> np.uint64(16))
 
 
@@ -90,15 +92,15 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _described(docs: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """`_id`, `n`, `class`, `signature` of each row; the last two are null without words."""
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+def _described(docs: DataFrame, size: int, carried: list[str], text_column: str) -> DataFrame:
+    """The `carried` columns, `n`, `class`, `signature` of each row; the last two null without words."""
+    rows = docs.select(*carried, F.col(text_column).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "_text"):
             kept = []
-            for text in batch.column("_text").to_pylist():
-                found = shingle_set(text, size)
+            for text in batch.column("_text"):
+                found = shingle_set(text.as_py(), size)
                 if len(found):
                     kept.append((len(found), _class_of(found), _signature(found).tobytes()))
                 else:
@@ -106,16 +108,16 @@ def _described(docs: DataFrame, size: int, id_column: str, text_column: str) ->
             n, classes, signatures = zip(*kept) if kept else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_id"),
+                    *[batch.column(name) for name in carried],
                     pa.array(n, pa.int64()),
                     pa.array(classes, pa.int64()),
                     pa.array(signatures, pa.binary()),
                 ],
-                names=["_id", "n", "class", "signature"],
+                names=[*carried, "n", "class", "signature"],
             )
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, n long, class long, signature binary")
+    kinds = [f"{name} {rows.schema[name].dataType.simpleString()}" for name in carried]
+    return rows.mapInArrow(run, ", ".join([*kinds, "n long, class long, signature binary"]))
 
 
 def _frequencies(classes: DataFrame) -> np.ndarray:
@@ -195,21 +197,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, text_column: str) -> Da
         listed = docs.sparkSession.sparkContext.broadcast(np.sort(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            kept = []
-            for text in batch.column("_text").to_pylist():
-                found = shingle_set(text, size)
-                if not len(found) or (name := _class_of(found)) in seen:
+        for batch in chunks(batches, "_text"):
+            kept: dict[int, bytes] = {}
+            for text in batch.column("_text"):
+                found = shingle_set(text.as_py(), size)
+                if not len(found) or (name := _class_of(found)) in kept:
                     continue
                 if listed is not None:
                     at = np.searchsorted(listed.value, name)
                     if at == len(listed.value) or listed.value[at] != name:
                         continue
-                    seen.add(name)
-                kept.append((name, _pack(found)))
+                kept[name] = _pack(found)
             if kept:
-                names, members = zip(*kept)
+                names, members = zip(*kept.items())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64()), pa.array(members, pa.binary())],
                     names=["class", "members"],
@@ -308,158 +308,109 @@ class _Links:
             self.labels = connected(self.links)
 
 
-def _open_questions(
+def _open_lists(
     postings: DataFrame, labels: DataFrame, classes: DataFrame, shared: Broadcast, percent: int
 ) -> DataFrame:
-    """`class`, `component`: which classes must be compared with which other components.
+    """`key`, `class`, `component`, `n`, `signature`: members of lists that are in several components
+    and agree in MIN_MATCHES places, at sizes that allow a link, with one of another component.
 
-    They come from lists whose members are in several components: the signatures of two members agree
-    in MIN_MATCHES places, their sizes allow a link, and the class is the one in the smaller
-    component. Of the lists that two classes share only that of the first place counts them.
+    Of the lists that two classes share only that of the first place counts them.
     """
-    members = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_members"))
-    known = labels.join(members, "component")
     placed = frozen(
-        postings.join(known, "class", "left").select(
-            "key",
-            "class",
-            F.coalesce("component", "class").alias("component"),
-            F.coalesce("_members", F.lit(1)).alias("_members"),
+        postings.join(labels, "class", "left").select(
+            "key", "class", F.coalesce("component", "class").alias("component")
         )
     )
-    split = (
+    split = frozen(
         placed.groupBy("key")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
         .filter("_lo < _hi")
         .select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     )
-    blocks = placed.join(split, "key").withColumn(
-        "_block", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int")
-    )
-    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    spread = blocks.withColumn("_other", others).select(
-        "key",
-        F.least("_block", "_other").alias("_low"),
-        F.greatest("_block", "_other").alias("_high"),
-        "_block",
-        "class",
-        "component",
-        "_members",
-    )
+    spread = _in_blocks(lookup(placed, split, "key"))
     signed = spread.join(classes.select("class", "n", "signature"), "class")
+    names = ["key", "class", "component", "n", "signature"]
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _asked(batches, shared.value, percent)
-
-    ordered = ["key", "_low", "_high", "class"]
-    return (
-        signed.repartition(*ordered[:3])
-        .sortWithinPartitions(*ordered)
-        .mapInArrow(asked, "class long, component long")
-        .distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, _BLOCKS):
+            open_rows = np.zeros(table.num_rows, bool)
+            for i, hit in _candidates(table, shared.value, percent):
+                open_rows[i] |= len(hit) > 0
+                open_rows[hit] = True
+            found = table.select(names).filter(pa.array(open_rows)).combine_chunks()
+            yield from found.to_batches()
+
+    schema = "key long, class long, component long, n long, signature binary"
+    found = (
+        signed.repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS, "class").mapInArrow(run, schema)
     )
+    return found.dropDuplicates(["key", "class"])
 
 
-def _asked(
-    batches: Iterator[pa.RecordBatch], frequencies: np.ndarray, percent: int
-) -> Iterator[pa.RecordBatch]:
-    """(class, component) of candidates in each pair of blocks (key, _low, _high)."""
-    keys = ["key", "_low", "_high"]
-    for table in grouped(batches, keys):
-        low, block, classes, parts, members = (
-            table.column(n).to_numpy() for n in ("_low", "_block", "class", "component", "_members")
-        )
-        signs, sizes = _signatures(table.column("signature")), table.column("n").to_numpy()
-        posted = _keys(signs)
-        place_of = (posted == table.column("key").to_numpy().view(np.uint64)[:, None]).argmax(axis=1)
-        inside_prefix = np.zeros(posted.shape, bool)
-        np.put_along_axis(inside_prefix, _prefix(posted, frequencies), True, axis=1)
-        found: set[tuple[int, int]] = set()
-        for start, end in runs(table, keys):
-            inside = np.arange(start, end)
-            one = inside[block[start:end] == low[start]]
-            two = inside[block[start:end] != low[start]]
-            for place, i in enumerate(one):
-                rest = two if len(two) else one[place + 1 :]
-                rest = rest[parts[rest] != parts[i]]
-                alike = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(
-                    sizes[rest], sizes[i]
-                )
-                rest = rest[alike]
-                equal = signs[rest] == signs[i]
-                first = (equal & inside_prefix[rest] & inside_prefix[i]).argmax(axis=1)
-                hit = rest[(equal.sum(axis=1) >= MIN_MATCHES) & (first == place_of[i])]
-                mine = (members[i], parts[i])
-                for j in hit.tolist():
-                    if mine < (members[j], parts[j]):
-                        found.add((int(classes[i]), int(parts[j])))
-                    else:
-                        found.add((int(classes[j]), int(parts[i])))
-        if found:
-            names, against = zip(*sorted(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(against, pa.int64())],
-                names=["class", "component"],
-            )
+_BLOCKS = ["key", "_low", "_high"]
 
 
-def _answers(questions: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """A link (a, b) for each class and component of `questions` between which there is one.
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members of lists of `_blocks` blocks, once for each pair of blocks (`_low`, `_high`) with theirs."""
+    dealt = members.withColumn("_block", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    pairs = {"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")}
+    return dealt.withColumn("_other", others).withColumns(pairs).drop("_blocks", "_other")
+
+
+def _candidates(
+    table: pa.Table, frequencies: np.ndarray, percent: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a table of whole pairs of blocks: which others each row may be linked to."""
+    low, block, parts = (table.column(name).to_numpy() for name in ("_low", "_block", "component"))
+    signs, sizes = _signatures(table.column("signature")), table.column("n").to_numpy()
+    posted = _keys(signs)
+    place_of = (posted == table.column("key").to_numpy().view(np.uint64)[:, None]).argmax(axis=1)
+    inside_prefix = np.zeros(posted.shape, bool)
+    np.put_along_axis(inside_prefix, _prefix(posted, frequencies), True, axis=1)
+    for start, end in runs(table, _BLOCKS):
+        inside = np.arange(start, end)
+        one = inside[block[start:end] == low[start]]
+        two = inside[block[start:end] != low[start]]
+        for place, i in enumerate(one):
+            rest = two if len(two) else one[place + 1 :]
+            rest = rest[parts[rest] != parts[i]]
+            small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+            rest = rest[100 * small >= percent * large]
+            equal = signs[rest] == signs[i]
+            first = (equal & inside_prefix[rest] & inside_prefix[i]).argmax(axis=1)
+            yield i, rest[(equal.sum(axis=1) >= MIN_MATCHES) & (first == place_of[i])]
+
+
+def _links_between(
+    open_lists: DataFrame, sets: DataFrame, shared: Broadcast, percent: int
+) -> DataFrame:
+    """Links (a, b) that join the components of `open_lists` as far as their members are linked.
 
-    Classes and members of a component meet in tasks block by block, with their full sets.
+    The members of a list meet block by block with their full sets. Blocks hold a bounded number of
+    bytes, or one set: the size of a set decides, and not how many there are.
     """
-    sized = sets.withColumn("_size", F.length("members"))
-    asked = questions.join(sized, "class").withColumn("_side", F.lit(0))
-    touched = questions.select("component").distinct()
-    own = touched.join(labels, "component", "left").select(
-        F.coalesce("class", "component").alias("class"), "component"
-    )
-    there = own.join(sized, "class").withColumn("_side", F.lit(1))
-    rows = asked.unionByName(there)
-    blocks = (
-        rows.groupBy("component")
-        .agg(
-            *[
-                F.ceil(F.sum(F.when(F.col("_side") == side, F.col("_size"))) / BLOCK_BYTES)
-                .cast("int")
-                .alias(f"_blocks{side}")
-                for side in (0, 1)
-            ]
-        )
-        .filter("_blocks0 is not null and _blocks1 is not null")
+    bytes_of = F.sum(F.col("n") * 6)
+    blocks = frozen(
+        open_lists.groupBy("key").agg(F.ceil(bytes_of / BLOCK_BYTES).cast("int").alias("_blocks"))
     )
-    side = F.col("_side") == 0
-    mine = F.pmod(F.xxhash64("class"), F.when(side, F.col("_blocks0")).otherwise(F.col("_blocks1")))
-    every = F.explode(
-        F.sequence(F.lit(0), F.when(side, F.col("_blocks1")).otherwise(F.col("_blocks0")) - 1)
-    )
-    spread = (
-        rows.join(blocks, "component")
-        .withColumn("_mine", mine.cast("int"))
-        .withColumn("_other", every)
-        .select(
-            "component",
-            F.when(side, F.col("_mine")).otherwise(F.col("_other")).alias("_x"),
-            F.when(side, F.col("_other")).otherwise(F.col("_mine")).alias("_y"),
-            "_side",
-            "class",
-            "members",
-        )
-    )
-    keys = ["component", "_x", "_y"]
+    spread = _in_blocks(lookup(open_lists, blocks, "key")).join(sets, "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, keys):
-            sides, classes = (table.column(n).to_numpy() for n in ("_side", "class"))
-            found = []
-            for start, end in runs(table, keys):
-                group = [_unpack(m.as_py()) for m in table.column("members")[start:end]]
-                first = int((sides[start:end] == 0).sum())
-                if 0 < first < len(group):
-                    found += [
-                        (int(classes[start + i]), int(classes[start + first + j]))
-                        for i, j in _overlapping(group[:first], group[first:], percent)
-                    ]
+        for table in grouped(batches, _BLOCKS):
+            classes = table.column("class").to_numpy()
+            parts = table.column("component").to_pylist()
+            forest, found = _Forest(), []
+            members: dict[int, np.ndarray] = {}
+            for i, hit in _candidates(table, shared.value, percent):
+                rest = [j for j in hit.tolist() if forest.apart(parts[i], parts[j])]
+                for j in [i, *rest] if rest else []:
+                    if j not in members:
+                        members[j] = _unpack(table.column("members")[j].as_py())
+                for j in rest:
+                    if forest.apart(parts[i], parts[j]) and _overlap(members[i], members[j], percent):
+                        forest.join(parts[i], parts[j])
+                        found.append((int(classes[i]), int(classes[j])))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays(
@@ -467,66 +418,58 @@ def _answers(questions: DataFrame, labels: DataFrame, sets: DataFrame, percent:
                 )
 
     return (
-        spread.repartition(*keys)
-        .sortWithinPartitions(*keys, "_side", "class")
+        spread.repartition(*_BLOCKS)
+        .sortWithinPartitions(*_BLOCKS, "class")
         .mapInArrow(run, "a long, b long")
     )
 
 
-def _overlapping(
-    one: list[np.ndarray], two: list[np.ndarray], percent: int
-) -> Iterator[tuple[int, int]]:
-    """For each set of `one` the first of `two` that overlaps it enough, as places."""
-    _, ids = np.unique(np.concatenate([*one, *two]), return_inverse=True)
-    sizes = np.array([len(x) for x in (*one, *two)])
-    starts = np.cumsum(sizes) - sizes
-    split = starts[len(one)]
-    right, offsets, others = ids[split:], starts[len(one) :] - split, sizes[len(one) :]
-    marked = np.zeros(len(ids), bool)
-    for i in range(len(one)):
-        own = ids[starts[i] : starts[i] + sizes[i]]
-        marked[own] = True
-        shared = np.add.reduceat(marked[right].astype(np.int64), offsets)
-        marked[own] = False
-        hit = np.flatnonzero(100 * shared >= percent * (sizes[i] + others - shared))
-        if len(hit):
-            yield i, int(hit[0])
+def _overlap(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets overlap enough."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    shared = int((large[at] == small).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def near_duplicates(
-    docs: DataFrame,
-    shingle: int = SHINGLE,
-    percent: int = PERCENT,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """Per row: the id, `n_shingles`, `component_id` (the least id it is linked to, directly or not),
-    `kept` (whether that is its own id).
+class _Forest:
+    """Components joined inside one task."""
 
-    Two texts are linked if 100 * shared >= percent * all of their distinct `shingle`-word shingles
-    (words in lower-case ASCII; a text of fewer words is one shingle). `percent` must be 80 or more,
-    for which the signature's threshold is chosen. A null text or one without words has no shingles
-    and is linked with nothing. Rows that repeat an id are kept or not together. A null id is
-    not a least id unless all ids of its component are null. Other columns are ignored, an empty
-    table gives an empty result. Hashes of shingles have 48 bits, names of sets 64.
-    """
-    if percent < PERCENT:
-        raise ValueError(f"candidates are complete from {PERCENT} percent on")
-    rows = frozen(_described(docs, shingle, id_column, text_column))
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def top(self, part: int) -> int:
+        while (up := self.above.get(part, part)) != part:
+            self.above[part] = self.above.get(up, up)
+            part = up
+        return part
+
+    def apart(self, one: int, two: int) -> bool:
+        return self.top(one) != self.top(two)
+
+    def join(self, one: int, two: int) -> None:
+        self.above[self.top(one)] = self.top(two)
+
+
+def _with_components(
+    rows: DataFrame, docs: DataFrame, shingle: int, percent: int, text_column: str
+) -> DataFrame:
+    """`rows`, as `_described` and written, with `_component` in place of class and signature: the
+    least class of all that theirs is linked to; null without words."""
     classes = frozen(
         rows.filter("class is not null")
         .groupBy("class")
-        .agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+        .agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
     )
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(classes))
     postings = frozen(_postings(classes, shared))
-    ends = (
+    ends = frozen(
         postings.groupBy("key")
         .agg(F.min("class").alias("_lo"), F.max("class").alias("_hi"))
         .filter("_lo < _hi")
     )
     stars = (
-        postings.join(ends, "key")
+        lookup(postings, ends, "key")
         .select("class", F.explode(F.array("_lo", "_hi")).alias("_end"))
         .filter("class <> _end")
         .select(F.least("class", "_end").alias("a"), F.greatest("class", "_end").alias("b"))
@@ -537,26 +480,45 @@ def near_duplicates(
     wanted = frozen(pending.select(F.col("a").alias("class")).union(pending.select("b")).distinct())
     state.resolve(pending, frozen(_sets(docs, wanted, shingle, text_column)), percent)
 
-    questions = frozen(_open_questions(postings, state.labels, classes, shared, percent))
-    against = (
-        questions.select("component")
-        .distinct()
-        .join(state.labels, "component", "left")
-        .select(F.coalesce("class", "component").alias("class"))
-    )
-    wanted = frozen(questions.select("class").union(against).distinct())
+    open_lists = frozen(_open_lists(postings, state.labels, classes, shared, percent))
+    wanted = frozen(open_lists.select("class").distinct())
     sets = frozen(_sets(docs, wanted, shingle, text_column))
-    state.add(frozen(_answers(questions, state.labels, sets, percent)))
-
-    least = classes.join(state.labels, "class", "left").select(
-        "class", "least", F.coalesce("component", "class").alias("component")
+    state.add(frozen(_links_between(open_lists, sets, shared, percent)))
+    named = state.labels.withColumnRenamed("component", "_named")
+    slim = rows.drop("signature")
+    found = lookup(slim.filter("class is not null"), named, "class", "left").select(
+        *slim.columns, F.coalesce("_named", "class").alias("_component")
     )
-    named = least.join(
-        least.groupBy("component").agg(F.min("least").alias("component_id")), "component"
-    ).select("class", "component_id")
-    found = rows.drop("signature").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return found.select(
+    wordless = slim.filter("class is null").withColumn("_component", F.lit(None).cast("long"))
+    return frozen(found.unionByName(wordless).drop("class"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """Per row: the id, `n_shingles`, `component_id` (the least id it is linked to, directly or not),
+    `kept` (whether that is its own id).
+
+    Two texts are linked if 100 * shared >= percent * all of their distinct `shingle`-word shingles
+    (words in lower-case ASCII; a text of fewer words is one shingle). `percent` must be 80 or more,
+    for which the signature's threshold is chosen. A null text or one without words has no shingles
+    and is linked with nothing. Rows that repeat an id are kept or not together. A null id is
+    not a least id unless all ids of its component are null. Other columns are ignored, an empty
+    table gives an empty result. Hashes of shingles have 48 bits, names of sets 64.
+    """
+    _check(percent)
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    described = frozen(_described(rows, shingle, ["_id"], "_text"))
+    found = _with_components(described, docs, shingle, percent, text_column)
+    linked = found.filter("_component is not null")
+    least = frozen(linked.groupBy("_component").agg(F.min("_id").alias("_least")))
+    wordless = found.filter("_component is null").withColumn("_least", F.col("_id"))
+    component = F.col("_least")
+    return lookup(linked, least, "_component").unionByName(wordless).select(
         F.col("_id").alias(id_column),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
@@ -564,6 +526,11 @@ def near_duplicates(
     )
 
 
+def _check(percent: int) -> None:
+    if percent < PERCENT:
+        raise ValueError(f"candidates are complete from {PERCENT} percent on")
+
+
 def keep_one(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -571,13 +538,31 @@ def keep_one(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """The rows of `docs`, all columns, that `near_duplicates` keeps.
+    """One row of each component of `near_duplicates`, all columns; rows without words all stay.
 
-    Dropped ids are joined with the rows; they are broadcast where they are few enough.
+    It is the row with the least id, a null id after all others; of several rows with that id, also of
+    equal ones, one stays. `docs` is written once with a number for each row, by which the others are
+    dropped; the numbers are broadcast where they are few enough. Columns may have any names.
     """
-    found = near_duplicates(docs, shingle, percent, id_column, text_column)
-    gone = frozen(
-        found.filter("not kept").select(F.col(id_column).alias("_gone")).distinct()
+    _check(percent)
+    numbered = frozen(
+        docs.select(
+            F.monotonically_increasing_id().alias("_row"),
+            F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_doc"),
+        )
+    )
+    doc = F.col("_doc")
+    rows = numbered.select("_row", doc[id_column].alias("_id"), doc[text_column].alias("_text"))
+    described = frozen(_described(rows, shingle, ["_row", "_id"], "_text"))
+    found = _with_components(described, rows, shingle, percent, "_text").filter(
+        "_component is not null"
     )
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
+    stay = found.groupBy("_component").agg(first.alias("_first")).select(
+        F.col("_first._row").alias("_row")
+    )
+    gone = frozen(found.select("_row").join(stay, "_row", "left_anti"))
     dropped = F.broadcast(gone) if fits(gone, BROADCAST_CLASSES) else gone
-    return docs.join(dropped, docs[id_column] == F.col("_gone"), "left_anti")
+    return numbered.join(dropped, "_row", "left_anti").select(
+        *[doc[name].alias(name) for name in docs.columns]
+    )

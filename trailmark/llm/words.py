@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,10 @@ from xxhash import xxh3_64_intdigest
 # Text handled at once inside a task, in code points.
 CHUNK_CHARS = 8_000_000
 
+# Bytes of one text whose words are held as objects at once.
+PIECE_BYTES = 4_000_000
+
+_BLANK = re.compile(rb"\s")
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -40,6 +45,18 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def hashes_of(text: str | None, lower: bool = False) -> np.ndarray:
+    """The hashes of a text's words, A-Z in lower case if asked; a long text is split piece by piece."""
+    raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+    raw = raw.lower() if lower else raw
+    found, at = [], 0
+    while len(raw) - at > PIECE_BYTES and (cut := _BLANK.search(raw, at + PIECE_BYTES)):
+        found.append(hashes(raw[at : cut.start()].split()))
+        at = cut.start()
+    found.append(hashes(raw[at:].split()))
+    return np.concatenate(found)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every bit of the input moves every bit of the result."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
