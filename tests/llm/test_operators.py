@@ -429,33 +429,84 @@ def test_mix_keeps_all(spark):
     assert sorted(r["doc_id"] for r in mixed if r["mix_kept"]) == list(range(len(rows)))
     source = {r["mix_slot"]: r["source"] for r in mixed}
     assert sorted(source) == list(range(207 + 22 + 1 + 1))
+    weight = {name: math.sqrt(n) for name, n in sizes.items()}
     given = Counter()
     for slot in range(229):
         given[source[slot]] += 1
         if given["mid"] < 22 and given["hot"] < 207:
-            assert abs(given["hot"] / math.sqrt(3300) - given["mid"] / math.sqrt(350)) <= 1 / math.sqrt(350) + 1e-9
+            # Both are within a block of one number of slots at their weights, to 1 / 1000.
+            low, high = (
+                max((given[s] - 1) / weight[s] for s in ("hot", "mid")),
+                min((given[s] + 1) / weight[s] for s in ("hot", "mid")),
+            )
+            assert low <= high * 1.01
     slots = {r["doc_id"]: r["mix_slot"] for r in mixed}
     ordered = [slots[r["doc_id"]] for r in mixing.interleave(docs).collect()]
     assert ordered == sorted(slots.values())
 
 
-def test_mix_many_sources(spark):
-    """More sources than slots of a period, and a share far below one slot."""
-    rows = [(i, "t", "en", f"s{i % 1500}", 1) for i in range(3000)]
-    many = table(spark, rows)
-    found = mixing.mix(many, mixing.tempered_weights(many), block_rows=1).collect()
-    assert sorted(r["mix_slot"] for r in found) == list(range(3000)) and all(r["mix_kept"] for r in found)
-    assert sorted(r["mix_slot"] for r in mixing.mix(many, block_rows=1).collect()) == list(range(3000))
-    uneven = table(spark, [(i, "t", "en", "rare" if i < 2 else "hot", 1) for i in range(102)])
-    found = mixing.mix(uneven, {"rare": 1, "hot": 30, "gone": 0.3}, block_rows=1, period=10).collect()
-    slots = {(r["source"], r["mix_block"]): (r["mix_slot"], r["mix_kept"]) for r in found}
-    assert sorted(slot for slot, _ in slots.values()) == list(range(102))
-    assert slots["rare", 0] == (30, True) and slots["rare", 1] == (61, True)
-    # The rare source lacks its third block at 3, the absent one its first at 1 / 0.3.
-    assert sum(kept for _, kept in slots.values()) == 2 + 90
-    partly = mixing.mix(uneven, {"rare": 1, "gone": 1e-4}, block_rows=1).collect()
-    assert all((r["mix_slot"] is None) == (r["source"] == "hot") for r in partly)
-    assert not any(r["mix_kept"] for r in partly if r["source"] == "hot")
+def mixed_blocks(spark, sizes, weights, **options):
+    """{slot: source} of the kept blocks, and {(source, block): slot} of all."""
+    names = [source for source, n in sizes.items() for _ in range(n)]
+    rows = [(i, "t", "en", source, 1) for i, source in enumerate(names)]
+    found = mixing.mix(table(spark, rows), weights, block_rows=1, **options).collect()
+    assert len(found) == len(rows)
+    kept = {r["mix_slot"]: r["source"] for r in found if r["mix_kept"]}
+    return kept, {(r["source"], r["mix_block"]): r["mix_slot"] for r in found}
+
+
+@pytest.mark.parametrize("n, hot, rows", [(20, 20, 30), (100, 99, 12), (1500, 40, 2)])
+def test_mix_prefixes(spark, n, hot, rows):
+    """After any number of slots each source is within a block of its share, for any number of them."""
+    weights = {f"s{i}": 1.0 + i % 3 for i in range(n - 1)} | {"hot": float(hot)}
+    sizes = {source: math.ceil(rows * weight) for source, weight in weights.items()}
+    kept, slots = mixed_blocks(spark, sizes, weights)
+    assert sorted(kept) == list(range(len(kept))) and len(kept) > sum(weights.values())
+    assert len(set(slots.values())) == len(slots)
+    known = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    schedule = mixing._schedule(known, 1000)
+    plan = schedule.plan.select("_source", "share").distinct().collect()
+    shares = {r["_source"][1:]: r["share"] / schedule.period for r in plan}
+    assert len(shares) == n and abs(sum(shares.values()) - 1) < 1e-9
+    given = Counter()
+    for slot in range(len(kept)):
+        given[kept[slot]] += 1
+        if slot % (1 + n // 100) == 0:
+            assert all(abs(given[s] - (slot + 1) * share) < 1 for s, share in shares.items())
+
+
+def test_mix_light_sources(spark):
+    """Sources below a slot of the period have all rows placed and hardly move the others."""
+    sizes, weights = {"a": 100, "b": 200, "c": 400}, {"a": 1, "b": 2, "c": 4}
+    kept, alone = mixed_blocks(spark, sizes, weights)
+    _, beside = mixed_blocks(spark, sizes, weights | {"absent": 1e-6})
+    assert max(abs(beside[block] - slot) for block, slot in alone.items()) <= 2
+    sizes |= {"d": 3, "e": 2}
+    kept, slots = mixed_blocks(spark, sizes, weights | {"d": 0.003, "e": 0.002}, period=100)
+    assert len(set(slots.values())) == len(slots) == 705
+    # One slot in 1,401 is theirs, in the middle of each stretch; the first is d's.
+    light = sorted(slots["d", i] for i in range(3)) + sorted(slots["e", i] for i in range(2))
+    assert sorted(light) == [700 + 1401 * i for i in range(5)] and slots["d", 0] == 700
+    # b has 29 of 100 scheduled slots, and 200 blocks.
+    assert sorted(kept) == list(range(len(kept))) and 685 < len(kept) < 700
+    partly = mixed_blocks(spark, {"hot": 5, "rare": 2}, {"rare": 1, "gone": 1e-4})[1]
+    assert all((slot is None) == (block[0] == "hot") for block, slot in partly.items() if block[1] is None)
+
+
+def test_mix_beyond_the_scheduled(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SCHEDULED", 3)
+    sizes = {f"s{i}": 4 + i for i in range(9)}
+    weights = {source: float(n) for source, n in sizes.items()}
+    kept, slots = mixed_blocks(spark, sizes, weights)
+    assert len(set(slots.values())) == len(slots) == sum(sizes.values())
+    assert sorted(kept) == list(range(len(kept))) and len(kept) > 30
+    given = Counter()
+    for slot in range(len(kept)):
+        given[kept[slot]] += 1
+        total = sum(weights.values())
+        assert all(abs(given[s] - (slot + 1) * w / total) < 2 for s, w in weights.items())
+    mixed = mixing.mix(table(spark, [(i, "t", "en", f"s{i % 9}", 1) for i in range(90)]), block_rows=1)
+    assert sorted(r["mix_slot"] for r in mixed.collect()) == list(range(90))
 
 
 # 10

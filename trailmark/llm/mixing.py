@@ -1,8 +1,9 @@
-"""Mixing sources to target weights: a Pfair schedule, or blocks of all rows in order of deadlines."""
+"""Mixing sources to target weights: blocks of rows in the slots of a Pfair schedule."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from trailmark.operators.ordered import number_rows
 
 BLOCK_ROWS = 16
 PERIOD = 1000
+# Slots for each source at least, and the sources that are scheduled one by one.
+SLOTS_PER_SOURCE = 8
+MOST_SCHEDULED = 2_048
 WEIGHT_POWER = 0.5
 
 
@@ -57,47 +61,61 @@ def pfair_period(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     the deadline ceil((c+1)*P/a). Each slot goes to the released block with the earliest deadline,
     of equal ones to the first source by name. Since the shares add up to P all deadlines are met,
     so after t slots a source has had t*a/P blocks with less than one block's deviation, and the
-    schedule repeats after P slots. The fold runs over P slots and the sources of `weights`
-    (source, weight), which cannot be more than P: its size does not depend on the data mixed.
+    schedule repeats after P slots. Sources of equal share have the same releases and deadlines and
+    are served in turn, so the fold over P slots keeps one count per distinct share, of which there are
+    at most sqrt(2P): its size does not depend on the data mixed.
     """
-    shares = _shares(weights, period).filter("share > 0")
-    table = shares.agg(F.array_sort(F.collect_list(F.struct("_source", "share"))).alias("_of"))
+    return _period_plan(_shares(weights, period).filter("share > 0"), period)
+
+
+def _period_plan(shares: DataFrame, period: int) -> DataFrame:
+    names = shares.agg(F.array_sort(F.collect_list(F.struct("_source", "share"))).alias("_of"))
+    alike = (
+        names.select(F.posexplode("_of").alias("at", "of"))
+        .groupBy(F.col("of.share").alias("share"))
+        .agg(F.array_sort(F.collect_list("at")).alias("members"))
+    )
+    classes = alike.agg(F.array_sort(F.collect_list(F.struct("share", "members"))).alias("_classes"))
 
     def step(state: Column, slot: Column) -> Column:
-        given = state["given"]
-        ready = F.transform(
-            F.col("_of"),
-            lambda of, i: F.when(
-                F.floor(F.get(given, i) * period / of["share"]) <= slot,
+        def next_of(group: Column, i: Column) -> Column:
+            given, size = F.get(state["given"], i), F.size(group["members"])
+            block = F.floor(given / size)
+            return F.when(
+                F.floor(block * period / group["share"]) <= slot,
                 F.struct(
-                    F.ceil((F.get(given, i) + 1) * period / of["share"]).alias("deadline"),
-                    i.cast("long").alias("index"),
+                    F.ceil((block + 1) * period / group["share"]).alias("deadline"),
+                    F.get(group["members"], (given % size).cast("int")).alias("index"),
+                    block.alias("nth"),
+                    i.alias("group"),
                 ),
-            ),
-        )
-        chosen = F.array_min(ready)["index"].cast("int")
+            )
+
+        chosen = F.array_min(F.transform("_classes", next_of))
         return F.struct(
-            F.transform(given, lambda n, i: n + (i == chosen).cast("long")).alias("given"),
+            F.transform(
+                state["given"], lambda n, i: n + (i == chosen["group"]).cast("long")
+            ).alias("given"),
             F.array_append(
-                state["plan"],
-                F.struct(chosen.alias("index"), F.get(given, chosen).alias("nth")),
+                state["plan"], F.struct(chosen["index"].alias("index"), chosen["nth"].alias("nth"))
             ).alias("plan"),
         )
 
     start = F.struct(
-        F.transform("_of", lambda of: F.lit(0).cast("long")).alias("given"),
+        F.transform("_classes", lambda group: F.lit(0).cast("long")).alias("given"),
         F.array().cast("array<struct<index:int,nth:bigint>>").alias("plan"),
     )
     fold = F.aggregate(
         F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda state: state["plan"]
     )
-    plan = table.filter(F.size("_of") > 0).select("_of", F.posexplode(fold).alias("slot", "_step"))
-    return plan.select(
-        F.col("slot").cast("long").alias("slot"),
-        F.get("_of", F.col("_step.index"))["_source"].alias("_source"),
-        F.col("_step.nth").alias("nth"),
-        F.get("_of", F.col("_step.index"))["share"].alias("share"),
+    plan = (
+        classes.filter(F.size("_classes") > 0)
+        .select(F.posexplode(fold).alias("slot", "_step"))
+        .select(F.col("slot").cast("long").alias("slot"), "_step.*")
     )
+    places = names.select(F.posexplode("_of").alias("index", "of")).select("index", "of.*")
+    # One row per source with a slot: at most MOST_SCHEDULED, or as many as the caller's period.
+    return plan.join(F.broadcast(places), "index").select("slot", "_source", "nth", "share")
 
 
 def _numbered(
@@ -118,29 +136,98 @@ def _numbered(
     return numbered, frozen(sources)
 
 
-def _with_deadlines(numbered: DataFrame, sources: DataFrame, block_rows: int) -> DataFrame:
-    """`numbered` with `mix_block` and `_deadline` by `sources` (_source, _first, weight), of any number.
+@dataclass(frozen=True)
+class _Schedule:
+    """Which slots sources have, for any number of them and any ratio of weights.
 
-    Block c (from 0) of a source of weight w is due at (c + 1) / w. Up to any place in the order of
-    deadlines there is a time t at which each source with blocks left has had t * w of them with
-    less than one block's deviation; one that has run out leaves its slots to the others.
+    `plan` is the period of the scheduled sources; `light` has the `weight` of those with less than half
+    a slot of it or beyond MOST_SCHEDULED. These share slots of their own, which fall between the
+    scheduled ones at the rate of their joint weight: `ratio` scheduled slots to one of theirs.
     """
-    own = sources.select("_source", "_first", "weight")
+
+    plan: DataFrame
+    period: int
+    light: DataFrame | None = None
+    ratio: float = 0.0
+
+    def gap(self, light: Column) -> Column:
+        """Scheduled slots before the light block of this place."""
+        return F.floor((light + 0.5) * self.ratio)
+
+    def final(self, scheduled: Column) -> Column:
+        """The slot of the mix for a slot of the plan, repeated without end."""
+        if self.light is None:
+            return scheduled
+        about = F.ceil((scheduled + 1) / self.ratio - 0.5)
+        before = (
+            F.when(self.gap(about - 1) > scheduled, about - 1)
+            .when(self.gap(about) > scheduled, about)
+            .otherwise(about + 1)
+        )
+        return scheduled + F.greatest(before, F.lit(0))
+
+
+def _schedule(weights: DataFrame, period: int) -> _Schedule:
+    """The schedule of `weights` (source, weight), written."""
+    # Bounded: the heaviest sources.
+    heavy = frozen(weights.orderBy(F.col("weight").desc(), "source").limit(MOST_SCHEDULED))
+    period = max(period, SLOTS_PER_SOURCE * heavy.count())
+    shares = frozen(_shares(heavy, period).filter("share > 0"))
+    plan = frozen(_period_plan(shares, period))
+    named = weights.select(_source("source").alias("_source"), "weight")
+    scheduled = F.broadcast(shares.select("_source"))
+    light = frozen(named.join(scheduled, "_source", "left_anti"))
+    rest = light.agg(F.sum("weight")).first()[0]
+    if rest is None:
+        return _Schedule(plan, period)
+    whole = named.join(scheduled, "_source", "left_semi").agg(F.sum("weight")).first()[0]
+    return _Schedule(plan, period, light, whole / rest)
+
+
+def _placed(
+    numbered: DataFrame, sources: DataFrame, schedule: _Schedule, block_rows: int
+) -> tuple[DataFrame, int | None]:
+    """`numbered` with `mix_block` and `mix_slot`, and the first slot whose source lacks a whole block."""
+    planned = schedule.plan.select("_source", "share").distinct()
+    own = planned.withColumn("weight", F.lit(None).cast("double"))
+    if schedule.light is not None:
+        own = own.unionByName(schedule.light.withColumn("share", F.lit(None).cast("long")))
+    own = frozen(own.join(sources, "_source", "left"))
+    known = own.select("_source", "_first", "share", "weight")
     block = F.floor((F.col("_number") - F.col("_first")) / block_rows)
-    return (
-        join_attributes(numbered, own, "_source", "left", fits(own, BROADCAST_ROWS))
+    rows = (
+        join_attributes(numbered, known, "_source", "left", fits(known, BROADCAST_ROWS))
         .withColumn("mix_block", block)
-        .withColumn("_deadline", (F.col("mix_block") + 1) / F.col("weight"))
+        .withColumn("nth", F.col("mix_block") % F.col("share"))
+        .join(F.broadcast(schedule.plan), ["_source", "nth", "share"], "left")
     )
-
-
-def _with_slots(due: DataFrame, block_rows: int) -> DataFrame:
-    """`due`, as `_with_deadlines` makes it, with `mix_slot`: the place of a row's block."""
-    starts = due.filter((F.col("_number") - F.col("_first")) % block_rows == 0)
-    order = [F.col("_deadline"), F.col("_source")]
-    slots = number_rows(starts.select("_source", "mix_block", "_deadline"), order, "_place")
-    slot = (F.col("_place") - 1).alias("mix_slot")
-    return due.join(slots.select("_source", "mix_block", slot), ["_source", "mix_block"], "left")
+    turn = F.floor(F.col("mix_block") / F.col("share")) * schedule.period
+    rows = rows.withColumn("mix_slot", schedule.final(turn + F.col("slot")))
+    full = F.floor(F.coalesce("_rows", F.lit(0)) / block_rows)
+    ends = own.withColumn("_full", full).withColumn("nth", F.col("_full") % F.col("share"))
+    at = F.floor(F.col("_full") / F.col("share")) * schedule.period + F.col("slot")
+    limits = ends.join(F.broadcast(schedule.plan), ["_source", "nth", "share"]).agg(
+        F.min(schedule.final(at))
+    )
+    limit = limits.first()[0]
+    if schedule.light is None:
+        return rows, limit
+    due = (F.col("mix_block") + 0.5) / F.col("weight")
+    starts = rows.filter(
+        F.col("weight").isNotNull() & ((F.col("_number") - F.col("_first")) % block_rows == 0)
+    ).select("_source", "mix_block", due.alias("_due"))
+    order = [F.col("_due"), F.col("_source")]
+    places = number_rows(starts, order, "_place").withColumn("_place", F.col("_place") - 1)
+    slot = schedule.gap(F.col("_place")) + F.col("_place")
+    slots = places.select("_source", "mix_block", slot.alias("_light_slot"))
+    rows = rows.join(slots, ["_source", "mix_block"], "left").withColumn(
+        "mix_slot", F.coalesce("_light_slot", "mix_slot")
+    )
+    lacking = F.struct(((F.col("_full") + 0.5) / F.col("weight")).alias("_due"), "_source")
+    first = ends.filter("weight is not null").agg(F.min(lacking)).first()[0]
+    before = places.filter(F.struct("_due", "_source") < F.struct(*map(F.lit, first))).count()
+    at = rows.sparkSession.range(1).select(schedule.gap(F.lit(before)) + before).first()[0]
+    return rows, at if limit is None else min(limit, at)
 
 
 def _unpacked(placed: DataFrame, names: list[str]) -> DataFrame:
@@ -148,27 +235,13 @@ def _unpacked(placed: DataFrame, names: list[str]) -> DataFrame:
     return placed.select(*rows, "mix_block", "mix_slot", "mix_kept")
 
 
-def _mixed_by_deadlines(
-    numbered: DataFrame, sources: DataFrame, weights: DataFrame, block_rows: int, names: list[str]
+def _all_placed(
+    docs: DataFrame, block_rows: int, period: int, seed: int, id_column: str, source_column: str
 ) -> DataFrame:
-    """`mix` at `weights` (source, weight) of any number and ratio, without a period."""
-    named = weights.select(_source("source").alias("_source"), "weight")
-    known = frozen(sources.join(named, "_source", "right"))
-    whole = F.floor(F.coalesce("_rows", F.lit(0)) / block_rows)
-    lacking = F.struct(((whole + 1) / F.col("weight")).alias("_deadline"), "_source")
-    cut = known.agg(F.min(lacking)).first()[0]
-    placed = _with_slots(_with_deadlines(numbered, known, block_rows), block_rows)
-    kept = F.lit(False)
-    if cut is not None:
-        before = F.struct("_deadline", "_source") < F.struct(*map(F.lit, cut))
-        # A source that is not named has no deadline.
-        kept = F.col("_deadline").isNotNull() & before
-    return _unpacked(placed.withColumn("mix_kept", kept), names)
-
-
-def _tempered(sources: DataFrame) -> DataFrame:
-    weight = F.pow(F.col("_rows").cast("double"), F.lit(WEIGHT_POWER))
-    return sources.withColumn("weight", weight)
+    """All rows at `tempered_weights`, with the slots of a schedule in which no source ends."""
+    numbered, sources = _numbered(docs, seed, id_column, source_column)
+    weights = frozen(tempered_weights(docs, source_column=source_column))
+    return _placed(numbered, sources, _schedule(weights, period), block_rows)[0]
 
 
 def interleave(
@@ -178,12 +251,15 @@ def interleave(
     id_column: str = "doc_id",
     source_column: str = "source",
 ) -> DataFrame:
-    """All rows of `docs`, sorted by the slots that `mix` gives them without target weights."""
+    """All rows of `docs`, sorted by the slots that `mix` gives them without target weights.
+
+    Same columns. Nulls, ties, repeated rows and empty tables are as in `mix`; columns may have any
+    names, also `mix_slot`.
+    """
     if block_rows < 1:
         raise ValueError("block_rows is at least 1")
-    numbered, sources = _numbered(docs, seed, id_column, source_column)
-    due = _with_deadlines(numbered, _tempered(sources), block_rows)
-    return due.orderBy("_deadline", "_source", "_number").select(
+    placed = _all_placed(docs, block_rows, PERIOD, seed, id_column, source_column)
+    return placed.orderBy("mix_slot", "_number").select(
         *[F.col("_row")[name].alias(name) for name in docs.columns]
     )
 
@@ -202,15 +278,19 @@ def mix(
     The rows of a source, in an order drawn by `seed` and the id, make blocks of `block_rows`. New
     columns: `mix_block` (of the source, from 0), `mix_slot`, `mix_kept`. No row is lost here.
 
-    Without `weights` all rows are kept. Blocks, also short last ones, are placed in the order of
-    their deadlines at `tempered_weights`; a source that has run out leaves its slots to the others.
+    `weights` maps sources to positive numbers, or is a table (source, weight). Blocks take the slots
+    of a Pfair schedule (see `pfair_period`), over and over, and kept are those up to the slot where the
+    first source lacks a whole block: there every prefix of the mix holds the weights to within one
+    block per source. There are `period` slots, or SLOTS_PER_SOURCE for each source if those are more;
+    weights are rounded to whole slots. Sources that are too light for one, and those beyond the
+    MOST_SCHEDULED heaviest, share slots that fall between the others at the rate of their weight, and
+    take them in the order of the middles of their blocks' windows: such a source has all its rows
+    placed, and moves the blocks of others by no more than the slots it takes. Sources not named have no
+    slot: `mix_slot` is null.
 
-    `weights` maps sources to positive numbers, or is a table (source, weight). Blocks then take the
-    slots of `pfair_period`, over and over, and kept are those up to the slot where the first source
-    lacks a whole block: there every prefix of the mix holds the weights to within one block per
-    source. Weights are rounded to 1/`period`; where a source would have no slot by that, or there
-    are more sources than slots, blocks of all sources are placed in the order of their deadlines at
-    the exact weights instead. Sources not named have no slot: `mix_slot` is null.
+    Without `weights` all rows are kept, also short last blocks, in the same schedule at
+    `tempered_weights`; a source that has run out leaves its slots to the others, and `mix_slot` counts
+    the blocks in the order of their slots.
 
     A null source is a source of its own. Null ids come first, and rows of equal id, repeated rows
     too, lie next to each other in any order. Columns of `docs` named like new ones are replaced. An
@@ -223,10 +303,13 @@ def mix(
     docs = docs.drop(*added)
     spark = docs.sparkSession
     if weights is None:
-        numbered, sources = _numbered(docs, seed, id_column, source_column)
-        due = _with_deadlines(numbered, _tempered(sources), block_rows)
-        placed = _with_slots(due, block_rows).withColumn("mix_kept", F.lit(True))
-        return _unpacked(placed, docs.columns)
+        rows = _all_placed(docs, block_rows, period, seed, id_column, source_column)
+        keys = ["_source", "mix_block"]
+        starts = rows.filter((F.col("_number") - F.col("_first")) % block_rows == 0)
+        ranks = number_rows(starts.select(*keys, "mix_slot"), [F.col("mix_slot")], "_place")
+        slots = ranks.select(*keys, (F.col("_place") - 1).alias("mix_slot"))
+        placed = rows.drop("mix_slot").join(slots, keys, "left")
+        return _unpacked(placed.withColumn("mix_kept", F.lit(True)), docs.columns)
     if isinstance(weights, Mapping):
         rows = [(source, float(weight)) for source, weight in weights.items()]
         weights = spark.createDataFrame(rows, "source string, weight double")
@@ -234,30 +317,6 @@ def mix(
     if known.filter("not weight > 0 or weight is null").limit(1).count():
         raise ValueError("weights must be positive")
     numbered, sources = _numbered(docs, seed, id_column, source_column)
-    shares = None
-    if known.limit(period + 1).count() <= period:
-        shares = frozen(_shares(known, period))
-    if shares is None or shares.filter("share = 0").limit(1).count():
-        return _mixed_by_deadlines(numbered, sources, known, block_rows, docs.columns)
-    plan = frozen(pfair_period(known, period))
-    # At most one row per slot has a place in the plan: both tables are bounded by `period`.
-    planned = plan.select("_source", "share").distinct()
-    known_sources = sources.join(F.broadcast(planned), "_source", "right")
-    full = F.floor(F.coalesce("_rows", F.lit(0)) / block_rows)
-    at = (F.col("_at") % F.col("share")).alias("nth")
-    ends = known_sources.select("_source", "share", full.alias("_at")).withColumn("nth", at)
-    limit = (
-        ends.join(F.broadcast(plan), ["_source", "nth", "share"])
-        .agg(F.min(F.floor(F.col("_at") / F.col("share")) * period + F.col("slot")))
-        .first()[0]
-    )
-    block = F.floor((F.col("_number") - F.col("_first")) / block_rows)
-    placed = (
-        numbered.join(F.broadcast(known_sources.select("_source", "_first", "share")), "_source", "left")
-        .withColumn("mix_block", block)
-        .withColumn("nth", F.col("mix_block") % F.col("share"))
-        .join(F.broadcast(plan), ["_source", "nth", "share"], "left")
-    )
-    slot = F.floor(F.col("mix_block") / F.col("share")) * period + F.col("slot")
-    kept = F.coalesce(slot < F.lit(limit if limit is not None else 0), F.lit(False))
-    return _unpacked(placed.withColumn("mix_slot", slot).withColumn("mix_kept", kept), docs.columns)
+    rows, limit = _placed(numbered, sources, _schedule(known, period), block_rows)
+    kept = F.coalesce(F.col("mix_slot") < F.lit(limit or 0), F.lit(False))
+    return _unpacked(rows.withColumn("mix_kept", kept), docs.columns)

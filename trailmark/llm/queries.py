@@ -67,9 +67,12 @@ def op4_sentencepiece(
     return segmentation_digest(_table(spark, sf_dir, "documents"), model_file)
 
 
-def segmentation_digest(docs: DataFrame, model_file: str) -> DataFrame:
+def segmentation_digest(
+    docs: DataFrame, model_file: str, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row the id, the `carried` columns, and its sampled segmentations as sizes and hashes."""
     vocabulary = sentencepieces.Vocabulary(model_file)
-    found = sentencepieces.sample_segmentations(docs, vocabulary, digest=True)
+    found = sentencepieces.sample_segmentations(docs, vocabulary, digest=True, carried=carried)
     brief = F.transform(
         "samples",
         lambda s: F.struct(
@@ -79,7 +82,7 @@ def segmentation_digest(docs: DataFrame, model_file: str) -> DataFrame:
             F.round(s["log_inclusion"], 6).alias("log_inclusion"),
         ),
     )
-    return found.select("doc_id", "round_trip", brief.alias("samples"))
+    return found.select("doc_id", *carried, "round_trip", brief.alias("samples"))
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
