@@ -97,14 +97,64 @@ def test_registered():
 def test_licenses(docs, none):
     found = by_id(licenses.scan_licenses(docs))
     assert sum(map(len, found.values())) == len(ROWS)
-    # 4 of 4 and 4 bigrams, one of them changed.
-    assert found[1][0]["matches"] == [] and found[1][0]["n_candidates"] == 1
-    assert [found[i][0]["n_lines"] for i in (4, 5, 6)] == [0, 1, 3]
+    # 3 of 4 and 4 bigrams: 120 words, then "Release under the MIT License."
+    assert found[1][0]["matches"] == [] and found[1][0]["n_windows"] == 1
+    assert [found[i][0]["n_words"] for i in (4, 5, 6)] == [0, 0, 0]
     loose = by_id(licenses.scan_licenses(docs, min_dice=0.75))
-    assert [(m["line"], m["license"], m["dice"]) for m in loose[1][0]["matches"]] == [(2, "MIT", 0.75)]
+    assert [tuple(m) for m in loose[1][0]["matches"]] == [("MIT", 0.75, 120)]
     assert licenses.scan_licenses(none).count() == 0
 
 
+def prose(n, seed=0):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return " ".join(f"{'aeiou'[x % 5]}word{x}" for x in rng.integers(0, 500, n))
+
+
+def test_license_bodies(spark):
+    """Bodies, headers and wrapped notices, in prose, behind comment marks and with changed words."""
+    body = " ".join(licenses.TEMPLATES["MIT body"].split())
+    wrapped = "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n"
+    header = "".join(f" * {line.strip()}\n" for line in licenses.TEMPLATES["GPL header"].strip().split("\n"))
+    notice = f"{prose(30)} Licensed under the Apache License, Version 2.0. {prose(30, 1)}"
+    changed = body.replace("persons to whom", "people to whom").replace("merge, publish", "publish")
+    texts = {
+        "mit": f"{prose(50)}\n{body}\n{prose(50, 2)}",
+        "bsd": f"#!/bin/sh\n{wrapped}import os\n",
+        "gpl": f"/*\n{header} */\nint main() {{}}",
+        "apache": notice,
+        "changed": changed,
+        "upper": body.upper(),
+        "half": " ".join(body.split()[:60]),
+        "prose": prose(3000, 3) + " permission is granted to the reader of the software",
+    }
+    rows = [(i, text, "en", name, 1) for i, (name, text) in enumerate(texts.items())]
+    found = by_id(licenses.scan_licenses(table(spark, rows)))
+    names = {name: {m["license"] for m in found[i][0]["matches"]} for i, name in enumerate(texts)}
+    assert names["mit"] == names["changed"] == names["upper"] == {"MIT body"}
+    assert names["bsd"] == {"BSD-3-Clause"} and names["gpl"] == {"GPL header"}
+    assert names["apache"] == {"Apache-2.0"} and names["half"] == names["prose"] == set()
+    exact = {name: max((m["dice"], m["word"]) for m in found[i][0]["matches"]) for i, name in enumerate(texts) if names[name]}
+    assert exact["mit"] == (1.0, 50) and exact["bsd"] == (1.0, 2) and exact["apache"] == (1.0, 30)
+    assert 0.8 <= exact["changed"][0] < 1
+    every = [(i, text, "en", "a", 1) for i, text in enumerate(licenses.TEMPLATES.values())]
+    found = by_id(licenses.scan_licenses(table(spark, every)))
+    for i, name in enumerate(licenses.TEMPLATES):
+        assert (name, 1.0, 0) in [tuple(m) for m in found[i][0]["matches"]]
+
+
+def test_license_anchors():
+    """A window that reaches the coefficient holds an anchor: bigrams kept at random."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    for text in licenses.TEMPLATES.values():
+        words = licenses.template_words(text)
+        pairs = list(zip(words, words[1:]))
+        known = [offset for _, offset in licenses.anchors(words)]
+        least = math.ceil(len(pairs) * 0.8 / 1.2)
+        assert len(known) == len(pairs) - least + 1
+        for _ in range(50):
+            assert set(rng.permutation(len(pairs))[:least].tolist()) & set(known)
+
+
 # 2
 
 

@@ -1,43 +1,108 @@
-"""License scans: lines of a text compared to license notices by word bigrams."""
+"""License scans: windows of a text's normalised words compared to license templates by word bigrams.
+
+The whole text is normalised to words, whatever its lines and comment marks. Dice's coefficient over
+bigrams reaches d only if enough of a template's m bigrams are there: ceil(m*d/(2-d)) at least, whatever
+the window's size, and so one of any m - ceil(m*d/(2-d)) + 1. So many of the rarest ones, the template's
+anchors, are looked up in the text, and the template is compared with the window that lays it over an
+anchor's place. Bounds of size prune windows that the text's end cuts too short. Texts without a word
+that begins an anchor are left at once.
+"""
 
 from __future__ import annotations
 
+import json
+import math
 from collections import Counter
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Notices as projects word them.
+# Notices as projects word them, headers of source files, and bodies of short licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "Apache-2.0 header": """
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
+        in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+        writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    "BSD-2-Clause body": """
+        Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: Redistributions of source code must retain the
+        above copyright notice, this list of conditions and the following disclaimer. Redistributions in
+        binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "BSD-3-Clause": """
+        Use of this source code is governed by a BSD-style license that can be found in the LICENSE
+        file.""",
+    "BSD-3-Clause third clause": """
+        Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+        or promote products derived from this software without specific prior written permission.""",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL header": """
+        This program is free software: you can redistribute it and/or modify it under the terms of the
+        GNU General Public License as published by the Free Software Foundation, either version 3 of the
+        License, or (at your option) any later version. This program is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "ISC body": """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without
+        fee is hereby granted, provided that the above copyright notice and this permission notice appear
+        in all copies.""",
     "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT body": """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction,
+        including without limitation the rights to use, copy, modify, merge, publish, distribute,
+        sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+        furnished to do so, subject to the following conditions: The above copyright notice and this
+        permission notice shall be included in all copies or substantial portions of the Software. THE
+        SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT.""",
+    "MPL-2.0": """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.""",
 }
 MIN_DICE = 0.8
 
 
-def bigrams(text: str) -> list[str]:
-    """Bigrams of the normalised words of a template, equal ones numbered."""
-    kept = "".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split()
+def template_words(text: str) -> list[str]:
+    """The normalised words of a template: letters and digits of ASCII, in lower case."""
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split()
+
+
+def bigrams(words: list[str]) -> list[str]:
+    """Bigrams of words, equal ones numbered."""
     seen: Counter[str] = Counter()
     found = []
-    for a, b in zip(kept, kept[1:]):
-        seen[f"{a} {b}"] += 1
-        found.append(f"{a} {b} {seen[f'{a} {b}']}")
+    for pair in map(" ".join, zip(words, words[1:])):
+        seen[pair] += 1
+        found.append(f"{pair} {seen[pair]}")
     return found
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.trim(F.lower(F.regexp_replace(line, "[^A-Za-z0-9]+", " "))), " ")
+def anchors(words: list[str], min_dice: float = MIN_DICE) -> list[tuple[str, int]]:
+    """(bigram, place) of the bigrams of which any window that reaches `min_dice` holds one.
+
+    A window of n bigrams shares d * (n + m) / 2 of them at least, and n is at least m * d / (2 - d).
+    Bigrams that begin with a long word stand for rare ones.
+    """
+    pairs = [(f"{a} {b}", i) for i, (a, b) in enumerate(zip(words, words[1:]))]
+    needed = len(pairs) - math.ceil(len(pairs) * min_dice / (2 - min_dice)) + 1
+    rare = sorted(pairs, key=lambda pair: (-len(pair[0].split()[0]), -len(pair[0]), pair))
+    return sorted(rare[:needed], key=lambda pair: pair[1])
+
+
+def _literal(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _bigrams(words: Column) -> Column:
-    """As `bigrams`, for a short array of at least two words."""
+def _numbered_bigrams(words: Column) -> Column:
+    """As `bigrams`, for a short array of two words at least."""
     pairs = F.transform(
         F.sequence(F.lit(1), F.size(words) - 1),
         lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)),
@@ -57,67 +122,83 @@ def scan_licenses(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """License notices among the lines of each text.
-
-    A line is normalised (letters and digits of ASCII, lower case) and compared to each template by
-    Dice's coefficient over word bigrams, where a bigram counts as often as it occurs. A template of
-    m bigrams can reach `min_dice` only with a line of n, where n lies between m*d/(2-d) and
-    m*(2-d)/d: other lines and templates are not compared.
-
-    Returns, for each row, the id, `n_lines`, `n_candidates` (lines that the bounds let through) and
-    `matches`, an array of (line, license, dice): per line the best template of at least `min_dice`,
-    of equal ones the last by name. A null text has no lines, an empty one has one. Rows are
-    independent: repeated ids or rows give as many results, null ids are kept, other columns are
-    ignored. Work per row; nothing is shuffled.
+    """License templates found in each text, by Dice's coefficient over word bigrams.
+
+    A text becomes words of ASCII letters and digits in lower case; all else parts words. A bigram
+    counts as often as it occurs. Windows have as many words as the template, begin at the text's
+    beginning at the earliest and are shorter only at its end; one of n bigrams is compared with a
+    template of m if n lies between m*d/(2-d) and m*(2-d)/d.
+
+    Returns, for each row, the id, `n_words`, `n_windows` (windows that an anchor points to) and
+    `matches`, an array of (license, dice, word): each template of which a window reaches `min_dice`, by
+    name, with the best window, of equal ones the first, and the place of its first word from 0. A null
+    or empty text has no words. Rows are independent: repeated ids or rows give as many results, null
+    ids are kept, other columns are ignored. Work per row; nothing is shuffled.
     """
-    known = {name: bigrams(text) for name, text in templates.items()}
-    if not known or not all(known.values()) or not 0 < min_dice <= 1:
+    known = {name: template_words(text) for name, text in sorted(templates.items())}
+    if not known or min(map(len, known.values())) < 2 or not 0 < min_dice <= 1:
         raise ValueError("templates need two words at least, and min_dice lies in (0, 1]")
-    low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
+    places: dict[str, list[dict[str, int]]] = {}
+    for at, words in enumerate(known.values()):
+        for pair, offset in anchors(words, min_dice):
+            places.setdefault(pair, []).append({"t": at, "o": offset})
+    sheets = [{"name": n, "m": len(w) - 1, "grams": bigrams(w)} for n, w in known.items()]
+    pointed = _literal(places, "map<string,array<struct<t:int,o:int>>>")
+    template = _literal(sheets, "array<struct<name:string,m:int,grams:array<string>>>")
+    begins = _literal(sorted({pair.split()[0] for pair in places}), "array<string>")
+
+    plain = F.trim(F.lower(F.regexp_replace(text_column, "[^A-Za-z0-9]+", " ")))
+    split = F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
+        F.split(plain, " ")
+    )
 
-    def within(size: Column, m: int) -> Column:
-        # Compared as products, so that a bound is met exactly.
-        return (size * (2 - min_dice) >= m * min_dice) & (size * min_dice <= m * (2 - min_dice))
-
-    def fits_any(line: Column) -> Column:
-        size = F.size(line["words"]) - 1
-        smallest, largest = min(map(len, known.values())), max(map(len, known.values()))
-        return (size >= max(1, int(low * smallest))) & (size <= int(high * largest) + 1)
-
-    def best(line: Column) -> Column:
-        grams = line["grams"]
-        scores = []
-        for name, own in known.items():
-            both = F.size(F.array_intersect(grams, F.array(*map(F.lit, own))))
-            dice = F.when(
-                within(F.size(grams), len(own)), both * 2.0 / (F.size(grams) + len(own))
-            ).otherwise(F.lit(0.0))
-            scores.append(F.struct(dice.alias("dice"), F.lit(name).alias("license")))
-        top = F.array_max(F.array(*scores))
-        return F.struct(
-            line["line"].alias("line"), top["license"].alias("license"), top["dice"].alias("dice")
+    def windows_from(i: Column) -> Column:
+        pair = F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1))
+        return F.transform(
+            F.when(F.array_contains(begins, F.get("_words", i)), F.try_element_at(pointed, pair)),
+            lambda a: F.struct(a["t"].alias("t"), F.greatest(i - a["o"], F.lit(0)).alias("word")),
         )
 
-    lines = F.when(F.col(text_column).isNull(), F.array().cast("array<string>")).otherwise(
-        F.split(text_column, "\n", -1)
+    size = F.size("_words")
+    found = F.flatten(
+        F.filter(
+            F.transform(F.sequence(F.lit(0), size - 2), windows_from), lambda w: w.isNotNull()
+        )
     )
-    words = F.transform(
-        lines, lambda line, i: F.struct((i + 1).alias("line"), _words(line).alias("words"))
+    none = F.array().cast("array<struct<t:int,word:int>>")
+    windows = F.when(
+        (size > 1) & F.arrays_overlap("_words", begins), F.array_sort(F.array_distinct(found))
+    ).otherwise(none)
+
+    def scored(window: Column) -> Column:
+        sheet = F.get(template, window["t"])
+        words = F.slice("_words", window["word"] + 1, sheet["m"] + 1)
+        n, m = F.size(words) - 1, sheet["m"]
+        # Compared as products, so that a bound is met exactly.
+        fits = (n * (2 - min_dice) >= m * min_dice) & (n * min_dice <= m * (2 - min_dice)) & (n > 0)
+        both = F.size(F.array_intersect(_numbered_bigrams(words), sheet["grams"]))
+        dice = F.when(fits, both * 2.0 / (n + m)).otherwise(F.lit(0.0))
+        return F.struct(dice.alias("dice"), (-window["word"]).alias("back"), window["t"].alias("t"))
+
+    prepared = docs.select(F.col(id_column).alias("_id"), split.alias("_words")).select(
+        "_id", F.size("_words").cast("long").alias("n_words"), "_words", windows.alias("_windows")
     )
-    candidates = F.transform(
-        F.filter(words, fits_any),
-        lambda line: F.struct(line["line"].alias("line"), _bigrams(line["words"]).alias("grams")),
+    reached = F.filter(F.transform("_windows", scored), lambda s: s["dice"] >= min_dice)
+    best = F.transform(
+        F.sequence(F.lit(0), F.lit(len(known) - 1)),
+        lambda t: F.array_max(F.filter("_reached", lambda s: s["t"] == t)),
     )
-    prepared = docs.select(
-        F.col(id_column).alias("_id"),
-        F.size(lines).cast("long").alias("n_lines"),
-        candidates.alias("_candidates"),
+    matches = F.transform(
+        F.filter(best, lambda s: s.isNotNull()),
+        lambda s: F.struct(
+            F.get(template, s["t"])["name"].alias("license"),
+            s["dice"].alias("dice"),
+            (-s["back"]).cast("long").alias("word"),
+        ),
     )
-    return prepared.select(
+    return prepared.select("*", reached.alias("_reached")).select(
         F.col("_id").alias(id_column),
-        "n_lines",
-        F.size("_candidates").cast("long").alias("n_candidates"),
-        F.filter(F.transform("_candidates", best), lambda m: m["dice"] >= min_dice).alias(
-            "matches"
-        ),
+        "n_words",
+        F.size("_windows").cast("long").alias("n_windows"),
+        matches.alias("matches"),
     )

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from trailmark.llm.licenses import MIN_DICE, TEMPLATES
+from trailmark.llm.licenses import MIN_DICE, TEMPLATES, anchors, template_words
 
+_NAMED = sorted(TEMPLATES.items())
 _TEMPLATES = ", ".join(
-    "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items()
+    "('{}', '{}')".format(name, " ".join(template_words(text))) for name, text in _NAMED
+)
+_ANCHORS = ", ".join(
+    f"('{name}', '{pair}', {offset})"
+    for name, text in _NAMED
+    for pair, offset in anchors(template_words(text))
 )
 
 
@@ -17,38 +23,53 @@ def _bigrams(table: str, keys: str) -> str:
           FROM (SELECT *, unnest(range(1, len(w))) AS i FROM {table}))"""
 
 
-_WORDS = r"string_split(trim(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
-
 LICENSES = f"""
 WITH templates(license, body) AS (VALUES {_TEMPLATES}),
-tw AS (SELECT license, {_WORDS.format("body")} AS w FROM templates),
+points(license, pair, o) AS (VALUES {_ANCHORS}),
+tw AS (SELECT license, string_split(body, ' ') AS w FROM templates),
 tg AS ({_bigrams("tw", "license")}),
 ts AS (SELECT license, len(w) - 1 AS m FROM tw),
-lines AS (
-    SELECT doc_id, generate_subscripts(s, 1) AS line, unnest(s) AS body
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
-),
-lw AS (SELECT doc_id, line, {_WORDS.format("body")} AS w FROM lines),
-bounds AS (SELECT greatest(1, floor(min(m) * {MIN_DICE} / (2 - {MIN_DICE}))) AS lo,
-                  floor(max(m) * (2 - {MIN_DICE}) / {MIN_DICE}) + 1 AS hi FROM ts),
-cand AS (SELECT lw.* FROM lw, bounds WHERE len(w) - 1 BETWEEN lo AND hi),
-lg AS ({_bigrams("cand", "doc_id, line")}),
-shared AS (SELECT doc_id, line, license, count(*) AS n FROM lg JOIN tg USING (gram) GROUP BY ALL),
+plain AS (
+    SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) AS body FROM documents
+),
+dw AS (
+    SELECT doc_id, CASE WHEN coalesce(body, '') = '' THEN [] ELSE string_split(body, ' ') END AS w
+    FROM plain
+),
+pairs AS (
+    SELECT doc_id, i - 1 AS place, w[i] || ' ' || w[i + 1] AS pair
+    FROM (SELECT *, unnest(range(1, len(w))) AS i FROM dw)
+),
+windows AS (
+    SELECT DISTINCT doc_id, license, greatest(place - o, 0) AS word FROM pairs JOIN points USING (pair)
+),
+cut AS (
+    SELECT doc_id, license, word, m, list_slice(dw.w, word + 1, word + m + 1) AS w
+    FROM windows JOIN dw USING (doc_id) JOIN ts USING (license)
+),
+fit AS (
+    SELECT *, len(w) - 1 AS n FROM cut
+    WHERE len(w) > 1 AND (len(w) - 1) * (2 - {MIN_DICE}) >= m * {MIN_DICE}
+      AND (len(w) - 1) * {MIN_DICE} <= m * (2 - {MIN_DICE})
+),
+fg AS ({_bigrams("fit", "doc_id, license, word")}),
+shared AS (
+    SELECT doc_id, license, word, count(*) AS alike FROM fg JOIN tg USING (license, gram) GROUP BY ALL
+),
 scored AS (
-    SELECT doc_id, line, license, n * 2.0::DOUBLE / (len(w) - 1 + m) AS dice
-    FROM shared JOIN cand USING (doc_id, line) JOIN ts USING (license)
+    SELECT doc_id, license, word, alike * 2.0::DOUBLE / (n + m) AS dice
+    FROM shared JOIN fit USING (doc_id, license, word)
 ),
 best AS (
-    SELECT doc_id, line, license, dice FROM scored WHERE dice >= {MIN_DICE}
-    QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license DESC) = 1
+    SELECT * FROM scored WHERE dice >= {MIN_DICE}
+    QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, word) = 1
 )
-SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines,
-       coalesce(c.n, 0) AS n_candidates, coalesce(p.n, 0) AS n_matches,
-       b.license AS license, round(b.dice, 6) AS dice
-FROM documents d
-LEFT JOIN (SELECT doc_id, count(*) AS n FROM cand GROUP BY doc_id) c USING (doc_id)
+SELECT d.doc_id, len(dw.w) AS n_words, coalesce(c.n, 0) AS n_windows, coalesce(p.n, 0) AS n_matches,
+       b.license, round(b.dice, 6) AS dice, b.word
+FROM documents d JOIN dw USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM windows GROUP BY doc_id) c USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM best GROUP BY doc_id) p USING (doc_id)
-LEFT JOIN (SELECT doc_id, license, dice FROM best
+LEFT JOIN (SELECT * FROM best
            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license DESC) = 1) b
        USING (doc_id)
 """

@@ -33,18 +33,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices per document: how many, and the best by score, of equal ones the last by name."""
+    """Licenses per document: how many, and the best by score, of equal ones the last by name."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     best = F.array_max(
-        F.transform("matches", lambda m: F.struct(m["dice"], m["license"], m["line"]))
+        F.transform("matches", lambda m: F.struct(m["dice"], m["license"], m["word"]))
     )
     return found.select(
         "doc_id",
-        "n_lines",
-        "n_candidates",
+        "n_words",
+        "n_windows",
         F.size("matches").cast("long").alias("n_matches"),
         best["license"].alias("license"),
         F.round(best["dice"], 6).alias("dice"),
+        best["word"].alias("word"),
     )
 
 
