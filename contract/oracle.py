@@ -697,4 +697,9 @@ FROM exits GROUP BY ALL""",
     "exit_events_from_files": _with(_EXITS, "SELECT * FROM exits"),
 }
 
-ORACLE |= {f"{name}_whole_log": ORACLE[name].replace(_FILTERED, _WHOLE) for name in _ON_WHOLE_LOG}
+_OF_FLOWS = [name for name in _ON_WHOLE_LOG if name not in ("step_sequence", "user_sequence")]
+ORACLE |= {f"{name}_of_flows": ORACLE[name] for name in _OF_FLOWS}
+ORACLE |= {
+    name if name in _OF_FLOWS else f"{name}_whole_log": ORACLE[name].replace(_FILTERED, _WHOLE)
+    for name in _ON_WHOLE_LOG
+}

@@ -1,4 +1,8 @@
-"""Registered queries: each operator over the whole of the driver's tables."""
+"""Registered queries: each operator over the driver's tables.
+
+All read whole tables. Queries of flows and dates filter by them because that is the feature: operators
+that take them as arguments, and those named `_of_flows`.
+"""
 
 from __future__ import annotations
 
@@ -154,7 +158,8 @@ def _exits_from_files(spark, sf_dir):
     return tm.read_exit_events(spark, mapping.exit_file(spark, sf_dir))
 
 
-# Operators without a filter of their own, on the events of two flows and 26 days, and on all.
+# Operators without a filter of their own: on the whole log, and, named `_of_flows`, behind the filter of
+# flows and dates that stands before them in the user sequence.
 BARE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "session_paths": tm.session_paths,
     "session_flow_paths": lambda events: tm.session_paths(events, ["SessionId", "FlowName"]),
@@ -229,8 +234,8 @@ QUERIES: dict[str, Query] = {
     "call_events": _call_events,
     "available_flows": _of_exits(tm.available_flows),
     "step_sequence": _of_events(lambda log: tm.step_sequence(log, FLOWS, START, END)),
-    **{name: _of_kept(operator) for name, operator in BARE.items()},
-    **{f"{name}_whole_log": _of_events(operator) for name, operator in BARE.items()},
+    **{name: _of_events(operator) for name, operator in BARE.items()},
+    **{f"{name}_of_flows": _of_kept(operator) for name, operator in BARE.items()},
     "step_sequence_whole_log": _of_events(tm.step_sequence),
     "user_sequence_whole_log": _of_events(tm.user_sequence),
     "sequence_in_order": lambda spark, sf_dir: tm.in_order(_sequence(spark, sf_dir)),
