@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from trailmark.llm.licenses import MIN_DICE, TEMPLATES, anchors, template_words
 
 _NAMED = sorted(TEMPLATES.items())
@@ -241,9 +243,76 @@ SELECT doc_id, source, mix_block, mix_slot::BIGINT AS mix_slot,
 FROM mixed
 """
 
+COLLOCATIONS = rf"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(text, '{ascii_uppercase}', '{ascii_lowercase}') AS text
+    FROM documents WHERE text IS NOT NULL
+),
+pieces AS (
+    SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+),
+worded AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+    FROM pieces
+),
+sizes(m) AS (VALUES (1), (2), (3)),
+grams AS (
+    SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+    FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded), sizes
+    WHERE i + m - 1 <= len(w)
+),
+counts AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
+candidates AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND a >= 10
+),
+longer AS (
+    SELECT lang, phrase, max(a) AS a FROM (
+        SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM candidates WHERE m = 3
+        UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE m = 3
+    ) GROUP BY lang, phrase
+),
+kept AS (
+    SELECT c.* FROM candidates c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase
+    WHERE o.a IS NULL OR 100 * o.a < 50 * c.a
+),
+cuts AS (
+    SELECT k.lang, k.phrase, k.a, cut, x.a AS l, y.a AS r,
+           1000000::HUGEINT * k.a * k.a // (x.a::HUGEINT * y.a) AS score
+    FROM (SELECT *, unnest(range(1, m)) AS cut FROM kept) k
+    JOIN counts x ON x.lang = k.lang AND x.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+    JOIN counts y ON y.lang = k.lang AND y.phrase = array_to_string(list_slice(w, cut + 1, k.m), ' ')
+),
+best AS (
+    SELECT * FROM cuts
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM best) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
+
+TOP_K = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
 ORACLE = {
     "op1_license_scan": LICENSES,
     "op5_warc_fixity": WARC,
     "op6_line_dedup": LINE_DEDUP,
     "op9_source_mix": SOURCE_MIX,
+    "op11_collocations": COLLOCATIONS,
+    "op12_top_k": TOP_K,
 }
