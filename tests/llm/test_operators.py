@@ -244,11 +244,61 @@ def test_quality_perplexity(corpus, entries):
     rows = corpus.collect()
     for lang in ("en", "fr"):
         own = [r for r in rows if r["lang"] == lang]
-        logp = brute_model([(r["text"], quality.few_symbols(r["text"])) for r in own], 4)
+        logp = brute_model([(r["text"], True) for r in own], 4)
         for r in own[:40]:
             assert found[r["doc_id"]]["log_ppl"] == pytest.approx(brute_log_ppl(r["text"], logp, 4), rel=1e-5)
 
 
+def brute_band(values, ranges=(6.0, 12.0)):
+    """The shortest stretch between percentiles i and i + 50, and its width at least 0.01."""
+    values = sorted(values)
+    at = [values[max(0, math.ceil(i * len(values) / 100) - 1)] for i in range(101)]
+    low, high = min(((at[i + 50] - at[i], at[i], at[i + 50]) for i in range(51)))[1:]
+    width = max(high - low, 0.01)
+    return (low, high), (low - ranges[0] * width, high + ranges[1] * width)
+
+
+def test_quality_kept(spark, corpus):
+    """The verdict, from the log perplexities and the bands of distinct texts."""
+    rows = [(r["doc_id"], r["text"], r["lang"], "a", 1) for r in corpus.collect()]
+    rng = np.random.Generator(np.random.PCG64(8))
+    for i in range(6):  # of which some lie outside
+        rows.append((10_000 + i, " ".join("".join(map(chr, rng.integers(0x4E00, 0x9000, 7))) for _ in range(40)), "en", "a", 1))
+    found = quality.quality_report(table(spark, rows)).collect()
+    texts = {row[0]: row[1] for row in rows}
+    verdicts = Counter()
+    for lang in {row[2] for row in rows}:
+        ids = {row[0] for row in rows if row[2] == lang}
+        own = [r for r in found if r["doc_id"] in ids and not r["base_failed"]]
+        _, band = brute_band({texts[r["doc_id"]]: r["log_ppl"] for r in own}.values())
+        half, _ = brute_band([r["log_ppl"] for r in own])
+        low, high = min(band[0], half[0]), max(band[1], half[1])
+        for r in own:
+            if min(abs(r["log_ppl"] - low), abs(r["log_ppl"] - high)) > 1e-9:
+                assert r["kept"] == (low <= r["log_ppl"] <= high), (lang, r)
+                verdicts[r["kept"]] += 1
+    assert verdicts[False] and verdicts[True] > 100
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.33])
+def test_quality_junk(spark, share):
+    """Random letters, up to a third of a language, are rejected and its clean texts stay."""
+    larger = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{larger}/documents.parquet").filter("lang = 'en'").collect()
+    rng = np.random.Generator(np.random.PCG64(6))
+    rows = [(r["doc_id"], r["text"], "en", "a", 1) for r in clean]
+    n = int(len(rows) * share / (1 - share))
+    for i in range(n):
+        sizes = rng.integers(2, 10, rng.integers(60, 300))
+        text = " ".join("".join(map(chr, rng.integers(97, 123, size))) for size in sizes)
+        rows.append((100_000 + i, text, "en", "a", 1))
+    found = quality.quality_report(table(spark, rows)).filter("not base_failed").collect()
+    junk = [r["kept"] for r in found if r["doc_id"] >= 100_000]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{larger}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
+    labelled = [r["kept"] for r in found if r["doc_id"] in good]
+    assert len(junk) == n and np.mean(junk) < 0.1 and np.mean(labelled) > 0.98
+
+
 def test_quality_facts(texts, corpus):
     for row in quality.quality_report(corpus).collect():
         text = texts[row["doc_id"]]

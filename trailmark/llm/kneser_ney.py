@@ -65,7 +65,7 @@ def _lang(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _count_grams(order: int, usable: Callable[[str], bool] | None) -> Callable:
+def _count_grams(order: int) -> Callable:
     """For mapInArrow over (`_lang`, `_text`, `_train`): the n-grams of each task, with counts."""
 
     def grams(lang: str, counts: Counter) -> pa.RecordBatch:
@@ -94,7 +94,7 @@ def _count_grams(order: int, usable: Callable[[str], bool] | None) -> Callable:
             rows = zip(*(chunk.column(name).to_pylist() for name in ("_lang", "_text", "_train")))
             for lang, text, train in rows:
                 counts = held.setdefault(lang, Counter())
-                if train and text is not None and (usable is None or usable(text)):
+                if train and text is not None:
                     counts.update(words_of(text))
                 else:
                     counts.update(dict.fromkeys(words_of(text), 0))
@@ -338,11 +338,9 @@ def train(
     lang_column: str = "lang",
     order: int = ORDER,
     array_entries: int = ARRAY_ENTRIES,
-    usable: Callable[[str], bool] | None = None,
 ) -> Model:
     """A model of each language from the rows where `trained` holds, for scoring all rows of `docs`.
 
-    `usable`, called in tasks, can refuse texts for training.
     A null language is a language of its own, the same as the empty string. Null texts have no words.
     """
     rows = docs.select(
@@ -351,7 +349,7 @@ def train(
         F.coalesce(trained, F.lit(False)).alias("_train"),
     )
     grams = frozen(
-        rows.mapInArrow(_count_grams(order, usable), _GRAMS)
+        rows.mapInArrow(_count_grams(order), _GRAMS)
         .groupBy("lang", "gram")
         .agg(F.first("key").alias("key"), F.sum("n").alias("n"))
     )

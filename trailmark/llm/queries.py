@@ -50,6 +50,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without the words in windows of 35 words that stand elsewhere too, as a hash."""
     kept = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -137,6 +138,7 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without its site's boilerplate lines, as a hash."""
     report = lines.line_report(_table(spark, sf_dir, "documents"))
     return report.select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
@@ -144,6 +146,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and of an edited one, and likenesses to that and to the next text."""
+
     def digest(text: str) -> str:
         return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -151,6 +155,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each text, whether a base rule rejects it, and whether it is kept."""
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
@@ -161,6 +166,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each text under links of a similarity of 0.8 on four-word shingles."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 

@@ -1,12 +1,14 @@
-"""Substring dedup: passages of words that stand in two places, by prefix-partitioned suffix trees.
-
-A suffix begins at a word. Suffixes are partitioned by a prefix of PREFIX words at an anchor: of the PREFIX-word
-windows inside each WINDOW-word window, the one with the least hash. Equal windows have equal anchors at
-equal offsets, so they meet in one partition, and about one window in ten is an anchor. Prefixes that
-occur once cannot lead to a repeat and are left out by a bitmap of fixed size. In a partition the
-suffixes are sorted by offset and content: neighbours that share WINDOW words are the leaves below an
-internal node of that depth, a repeat. Partitions of more than HOT_ROWS anchors are split by the longest
-prefix that matters, WINDOW words, where counting what is equal is enough.
+"""Substring dedup: passages of words that stand in two places, by prefix-partitioned window hashes.
+
+This stands in for prefix-partitioned suffix trees, and builds none: a repeat counts from WINDOW words
+on, so equality of whole windows decides, and no deeper common prefix is needed. A suffix begins at a
+word. Suffixes are partitioned by a prefix of PREFIX words at an anchor: of the PREFIX-word windows inside
+each WINDOW-word window, the one with the least hash. Equal windows have equal anchors at equal offsets, so
+they meet in one partition, and about one window in ten is an anchor. Prefixes that occur once cannot
+lead to a repeat and are left out by a bitmap of fixed size; where it is full nothing is left out. In a
+partition windows are sorted by their hashes, and equal neighbours are a repeat. Partitions of more than
+HOT_ROWS anchors are split by the hash of the whole window, the longest prefix that matters, where
+counting what is equal is enough.
 """
 
 from __future__ import annotations
