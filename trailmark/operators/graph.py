@@ -15,12 +15,17 @@ HIGHLIGHT_COLOR = "#ed7953"
 LINK_COLOR = "#d3d3d3"
 
 
+def _weight(sequence: DataFrame) -> Column:
+    """How often a step counts: its `count`, or once where there is none."""
+    return F.col("count") if "count" in sequence.columns else F.lit(1).cast("long")
+
+
 def flow_moves(sequence: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Steps added up by (event_name, next_event, rank_event, *by): all a graph needs of them.
 
     A step counts as often as its `count` says, 1 in a flat sequence.
     """
-    weight = F.col("count")
+    weight = _weight(sequence)
     timed = F.when(F.col("time_from_start").isNotNull(), weight)
     return sequence.groupBy("event_name", "next_event", "rank_event", *by).agg(
         F.sum(weight).alias("count"),
@@ -66,7 +71,7 @@ def flow_nodes(sequence: DataFrame) -> DataFrame:
     before. `node_id` numbers the nodes from 0 in this order.
     """
     # One pass over the sequence; the two ends are told apart on its few distinct moves.
-    steps = F.sum("count").alias("count")
+    steps = F.sum(_weight(sequence)).alias("count")
     return nodes_of(sequence.groupBy("event_name", "next_event", "rank_event").agg(steps))
 
 
