@@ -10,7 +10,6 @@ that begins an anchor are left at once.
 
 from __future__ import annotations
 
-import json
 import math
 from collections import Counter
 from collections.abc import Mapping
@@ -97,8 +96,8 @@ def anchors(words: list[str], min_dice: float = MIN_DICE) -> list[tuple[str, int
     return sorted(rare[:needed], key=lambda pair: pair[1])
 
 
-def _literal(value, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def _texts(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def _numbered_bigrams(words: Column) -> Column:
@@ -142,10 +141,23 @@ def scan_licenses(
     for at, words in enumerate(known.values()):
         for pair, offset in anchors(words, min_dice):
             places.setdefault(pair, []).append({"t": at, "o": offset})
-    sheets = [{"name": n, "m": len(w) - 1, "grams": bigrams(w)} for n, w in known.items()]
-    pointed = _literal(places, "map<string,array<struct<t:int,o:int>>>")
-    template = _literal(sheets, "array<struct<name:string,m:int,grams:array<string>>>")
-    begins = _literal(sorted({pair.split()[0] for pair in places}), "array<string>")
+    # Constants, which the optimizer folds into literals.
+    template = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"),
+                F.lit(len(words) - 1).alias("m"),
+                _texts(bigrams(words)).alias("grams"),
+            )
+            for name, words in known.items()
+        ]
+    )
+    points = [
+        F.array(*[F.struct(F.lit(a["t"]).alias("t"), F.lit(a["o"]).alias("o")) for a in found])
+        for found in places.values()
+    ]
+    pairs, pointed = _texts(list(places)), F.array(*points)
+    begins = _texts(sorted({pair.split()[0] for pair in places}))
 
     plain = F.trim(F.lower(F.regexp_replace(text_column, "[^A-Za-z0-9]+", " ")))
     split = F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
@@ -154,8 +166,9 @@ def scan_licenses(
 
     def windows_from(i: Column) -> Column:
         pair = F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1))
+        at = F.when(F.array_contains(begins, F.get("_words", i)), F.array_position(pairs, pair))
         return F.transform(
-            F.when(F.array_contains(begins, F.get("_words", i)), F.try_element_at(pointed, pair)),
+            F.get(pointed, F.nullif(at, F.lit(0)).cast("int") - 1),
             lambda a: F.struct(a["t"].alias("t"), F.greatest(i - a["o"], F.lit(0)).alias("word")),
         )
 
@@ -166,8 +179,14 @@ def scan_licenses(
         )
     )
     none = F.array().cast("array<struct<t:int,word:int>>")
+    # Overlaps are hashed, places are searched: only texts that hold an anchor are searched for places.
+    own = F.transform(
+        F.sequence(F.lit(0), size - 2),
+        lambda i: F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1)),
+    )
     windows = F.when(
-        (size > 1) & F.arrays_overlap("_words", begins), F.array_sort(F.array_distinct(found))
+        (size > 1) & F.arrays_overlap("_words", begins) & F.arrays_overlap(own, pairs),
+        F.array_sort(F.array_distinct(found)),
     ).otherwise(none)
 
     def scored(window: Column) -> Column:
@@ -184,9 +203,15 @@ def scan_licenses(
         "_id", F.size("_words").cast("long").alias("n_words"), "_words", windows.alias("_windows")
     )
     reached = F.filter(F.transform("_windows", scored), lambda s: s["dice"] >= min_dice)
-    best = F.transform(
-        F.sequence(F.lit(0), F.lit(len(known) - 1)),
-        lambda t: F.array_max(F.filter("_reached", lambda s: s["t"] == t)),
+    # Bound as a lambda's argument: a column named inside a lambda is computed for each of its calls.
+    best = F.flatten(
+        F.transform(
+            F.array("_reached"),
+            lambda every: F.transform(
+                F.sequence(F.lit(0), F.lit(len(known) - 1)),
+                lambda t: F.array_max(F.filter(every, lambda s: s["t"] == t)),
+            ),
+        )
     )
     matches = F.transform(
         F.filter(best, lambda s: s.isNotNull()),
