@@ -5,7 +5,7 @@ bigrams reaches d only if enough of a template's m bigrams are there: ceil(m*d/(
 the window's size, and so one of any m - ceil(m*d/(2-d)) + 1. So many of the rarest ones, the template's
 anchors, are looked up in the text, and the template is compared with the window that lays it over an
 anchor's place. Bounds of size prune windows that the text's end cuts too short. Texts without a word
-that begins an anchor are left at once.
+that begins an anchor are left at once, and so are those that hold no anchor's two words.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,12 +108,19 @@ def _numbered_bigrams(words: Column) -> Column:
         F.sequence(F.lit(1), F.size(words) - 1),
         lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)),
     )
-    return F.transform(
-        pairs,
-        lambda pair, i: F.concat_ws(
-            " ", pair, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda p: p == pair))
-        ),
-    )
+
+    def numbered(every: Column) -> Column:
+        again = F.transform(
+            every,
+            lambda pair, i: F.concat_ws(
+                " ", pair, F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda p: p == pair))
+            ),
+        )
+        once = F.transform(every, lambda pair: F.concat_ws(" ", pair, F.lit("1")))
+        return F.when(F.size(F.array_distinct(every)) == F.size(every), once).otherwise(again)
+
+    # Bound as a lambda's argument, so that the pairs are made once.
+    return F.flatten(F.transform(F.array(pairs), numbered))
 
 
 def scan_licenses(
@@ -159,9 +168,20 @@ def scan_licenses(
     pairs, pointed = _texts(list(places)), F.array(*points)
     begins = _texts(sorted({pair.split()[0] for pair in places}))
 
-    plain = F.trim(F.lower(F.regexp_replace(text_column, "[^A-Za-z0-9]+", " ")))
-    split = F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.split(plain, " ")
+    # Two capitals beyond ASCII have small letters within it: they part words as all such letters do.
+    parted = F.replace(F.replace(text_column, F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" "))
+    small = F.coalesce(F.lower(parted), F.lit(""))
+    follow: dict[str, list[str]] = {}
+    for pair in places:
+        first, second = pair.split()
+        follow.setdefault(first, []).append(second)
+
+    def held(word: str) -> Column:
+        return F.contains("_small", F.lit(word))
+
+    # Searches of the text stop at the first hit and make no strings, which lists of bigrams would.
+    likely = reduce(
+        or_, [held(first) & reduce(or_, map(held, seconds)) for first, seconds in follow.items()]
     )
 
     def windows_from(i: Column) -> Column:
@@ -179,14 +199,8 @@ def scan_licenses(
         )
     )
     none = F.array().cast("array<struct<t:int,word:int>>")
-    # Overlaps are hashed, places are searched: only texts that hold an anchor are searched for places.
-    own = F.transform(
-        F.sequence(F.lit(0), size - 2),
-        lambda i: F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1)),
-    )
     windows = F.when(
-        (size > 1) & F.arrays_overlap("_words", begins) & F.arrays_overlap(own, pairs),
-        F.array_sort(F.array_distinct(found)),
+        (size > 1) & F.arrays_overlap("_words", begins) & likely, F.array_sort(F.array_distinct(found))
     ).otherwise(none)
 
     def scored(window: Column) -> Column:
@@ -199,8 +213,13 @@ def scan_licenses(
         dice = F.when(fits, both * 2.0 / (n + m)).otherwise(F.lit(0.0))
         return F.struct(dice.alias("dice"), (-window["word"]).alias("back"), window["t"].alias("t"))
 
-    prepared = docs.select(F.col(id_column).alias("_id"), split.alias("_words")).select(
-        "_id", F.size("_words").cast("long").alias("n_words"), "_words", windows.alias("_windows")
+    words_of = F.array_remove(F.split("_small", "[^a-z0-9]+"), "")
+    prepared = (
+        docs.select(F.col(id_column).alias("_id"), small.alias("_small"))
+        .select("_id", "_small", words_of.alias("_words"))
+        .select(
+            "_id", F.size("_words").cast("long").alias("n_words"), "_words", windows.alias("_windows")
+        )
     )
     reached = F.filter(F.transform("_windows", scored), lambda s: s["dice"] >= min_dice)
     # Bound as a lambda's argument: a column named inside a lambda is computed for each of its calls.
