@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import trailmark as tm
 from contract.mapping import END, FLOWS, START, events_log
-from tests.conftest import rows
+from tests.conftest import plan_of, rows
 from trailmark.functions import path_length
 from trailmark.operators import freeze, ordered, paths
 from trailmark.plans import sequence as sequence_plan
@@ -142,6 +142,16 @@ def test_attribute_join(skewed, small, how):
     assert rows(joined) == rows(expected)
 
 
+@pytest.mark.parametrize("how", ["left", "left_semi"])
+def test_copies_of_attributes_are_not_broadcast(spark, how):
+    """Spark takes a table copied per salt for no larger than it was, and would broadcast it."""
+    attributes = freeze.frozen(spark.range(50).withColumnRenamed("id", "key"))
+    events = spark.range(200).selectExpr("id % 70 AS key", "id AS n")
+    joined = freeze.join_attributes(events, attributes, "key", how, False)
+    assert "BroadcastHashJoin" not in plan_of(joined)
+    assert rows(joined) == rows(events.join(attributes, "key", how))
+
+
 def test_intermediate_tables_are_deleted(spark, small):
     events = events_log(spark, small)
     kept = freeze.frozen(spark.range(3))
