@@ -367,6 +367,59 @@ def test_classifier(spark, docs, none):
     assert classifier.classify(docs, trusted.limit(0)).filter("threshold is not null").count() == 0
 
 
+@pytest.mark.parametrize("order", [classifier.ORDER, 4])
+@pytest.mark.parametrize("entries", [kneser_ney.ARRAY_ENTRIES, 10])
+def test_classifier_across_words(spark, corpus, entries, order):
+    """Perplexity of the text as one sequence, threshold and verdict by their definition."""
+    odd = ["a", "a b c d e f", "abcdefgh", "Ünï ☃\t\n the  end", "x\x02y \x03z of", " ", None]
+    rows = [(r["doc_id"], r["text"], r["lang"], "a", 1) for r in corpus.collect()]
+    rows += [(10_000 + i, text, "en", "a", 1) for i, text in enumerate(odd)]
+    trusted = corpus.filter("doc_id % 3 = 0").select("doc_id")
+    ids = {r["doc_id"] for r in trusted.collect()}
+    found = classifier.classify(table(spark, rows), trusted, order=order, array_entries=entries, quantile=0.9)
+    found = {r["doc_id"]: r for r in found.collect()}
+    assert len(found) == len(rows)
+    half = {r[0]: r[1] for r in table(spark, rows).selectExpr("doc_id", "pmod(xxhash64(doc_id), 2)").collect()}
+
+    def joined(text):  # to `brute_model` one word
+        plain = (text or "").replace("\x02", "\x1a").replace("\x03", "\x1a")
+        return "\x1f".join(w.decode() for w in words(plain))
+
+    for lang in ("en", "fr"):
+        own = {r[0]: joined(r[1]) for r in rows if r[2] == lang}
+        logp = brute_model([(text, i in ids) for i, text in own.items()], order)
+        ppl = {i: brute_log_ppl(text, logp, order) for i, text in own.items()}
+        for i, value in ppl.items():
+            if value is None:
+                assert found[i]["perplexity"] is None and not found[i]["kept"]
+            else:
+                assert math.log(found[i]["perplexity"]) == pytest.approx(value, rel=1e-5)
+        known = [i for i in ids & own.keys() if ppl[i] is not None]
+        values = [[found[i]["perplexity"] for i in known], []]
+        for k in (0, 1):  # each half by the model of the other
+            logp = brute_model([(own[i], half[i] != k) for i in known], order)
+            values[1] += [math.exp(brute_log_ppl(own[i], logp, order)) for i in known if half[i] == k]
+        threshold = max(sorted(x)[math.ceil(0.9 * len(known)) - 1] for x in values)
+        for i in own:
+            assert found[i]["threshold"] == pytest.approx(threshold, rel=1e-5)
+            if ppl[i] is not None and abs(found[i]["perplexity"] - threshold) > 1e-4:
+                assert found[i]["kept"] == (found[i]["perplexity"] < threshold)
+    assert {r["kept"] for r in found.values()} == {True, False}
+
+
+def test_classifier_sees_word_order(spark):
+    """Shuffled words are less likely than the text they come from."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    who, does, what = ["the dog", "the cat", "a bird"], ["sees", "has seen", "looks at"], ["the big tree", "a small house", "the old man"]
+    texts = [" ".join(f"{rng.choice(who)} {rng.choice(does)} {rng.choice(what)}" for _ in range(20)) for _ in range(60)]
+    rows = [(i, text, "en", "a", 1) for i, text in enumerate(texts)]
+    rows += [(100 + i, " ".join(rng.permutation(text.split())), "en", "a", 1) for i, text in enumerate(texts)]
+    docs = table(spark, rows)
+    found = {r["doc_id"]: r for r in classifier.classify(docs, docs.filter("doc_id < 40").select("doc_id")).collect()}
+    assert all(found[100 + i]["perplexity"] > 1.2 * found[i]["perplexity"] for i in range(60))
+    assert all(found[i]["kept"] and not found[100 + i]["kept"] for i in range(40))
+
+
 # 4
 
 
