@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,6 +265,55 @@ def interleave(
     )
 
 
+def placed_in_order(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """`docs` with their place in their present order in two new columns: file and row, or partition and row.
+
+    A table that is read from files has the order in which it was written; any other that of its
+    partitions.
+    """
+    # A sorted table shows the files below it too, but no longer has their order.
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            placed = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+            return docs.select("*", *[x.alias(name) for x, name in zip(placed, names)])
+        except AnalysisException as error:
+            if not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                raise
+    made = {names[0]: F.lit(""), names[1]: F.monotonically_increasing_id()}
+    return docs.select("*", *[x.alias(name) for name, x in made.items()])
+
+
+def slots_in_order(
+    docs: DataFrame,
+    order: tuple[str, str],
+    block_rows: int = BLOCK_ROWS,
+    source_column: str = "source",
+) -> DataFrame:
+    """`docs` with `mix_slot`, the number of their block in the order by the columns `order`.
+
+    Each `block_rows` rows of a source in that order are a block, the last one may be shorter, and
+    blocks are numbered from 0 by their first row. Where `interleave` made the order, these are the
+    slots that `mix` gives without weights. `order` must be unique. A null source is a source of its own.
+    """
+    by = [F.col(name) for name in order]
+    keyed = docs.drop("mix_slot").withColumn("_source", _source(source_column))
+    numbered = number_rows(keyed, [F.col("_source"), *by], "_number")
+    firsts = frozen(numbered.groupBy("_source").agg(F.min("_number").alias("_first")))
+    small = fits(firsts, BROADCAST_ROWS)
+    since = F.col("_number") - F.col("_first")
+    rows = (
+        join_attributes(numbered, firsts, "_source", "left", small)
+        .withColumn("_block", F.floor(since / block_rows))
+        .withColumn("_starts", since % block_rows == 0)
+    )
+    keys = ["_source", "_block"]
+    starts = rows.filter("_starts").select(*keys, *order)
+    slot = (F.col("_place") - 1).alias("mix_slot")
+    slots = number_rows(starts, by, "_place").select(*keys, slot)
+    names = [name for name in docs.columns if name != "mix_slot"]
+    return rows.join(slots, keys).select(*names, "mix_slot")
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | DataFrame | None = None,
