@@ -25,7 +25,7 @@ from trailmark.llm import (
     warc,
 )
 from trailmark.llm.oracle import ORACLE
-from trailmark.llm.queries import PIECE_MODEL, QUERIES
+from trailmark.llm.queries import PIECE_MODEL, QUERIES, segmentation_digest
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 BASE = " ".join(f"word{i}" for i in range(120))
@@ -453,6 +453,41 @@ def test_segmentations(docs, none, vocabulary):
     assert sentencepieces.sample_segmentations(none, vocabulary).count() == 0
 
 
+def test_segmentation_digest(docs, vocabulary):
+    """The query's sizes, hashes and round trip are those of the ids that the operator returns."""
+    found = sentencepieces.sample_segmentations(docs, vocabulary).select(
+        "doc_id", "round_trip", F.transform("samples", lambda s: s["ids"]).alias("ids")
+    )
+    hashed = F.transform("ids", lambda x: F.struct(F.size(x).cast("long"), F.xxhash64(x)))
+    expected = found.select("doc_id", "round_trip", hashed.alias("x")).collect()
+    digest = segmentation_digest(docs, PIECE_MODEL)
+    brief = F.transform("samples", lambda s: F.struct(s["n_pieces"], s["ids_hash"]))
+    got = digest.select("doc_id", "round_trip", brief.alias("x")).collect()
+    plain = lambda rows: sorted(str((r[0], r[1], [tuple(x) for x in r[2]])) for r in rows)
+    assert plain(got) == plain(expected) and any(len(r["x"]) == 2 for r in got)
+    each = found.select("doc_id", F.posexplode("ids").alias("nth", "ids"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    decoded = sentencepieces.decode(each, vocabulary, "ids").collect()
+    assert all(r["decoded"] == texts[r["doc_id"]] for r in decoded if r["doc_id"] is not None) and {r["nth"] for r in decoded} == {0, 1}
+
+
+def test_round_trip_of_all_samples(vocabulary, monkeypatch):
+    """A later sample that does not decode to its text is noticed too."""
+    lattice = sentencepieces._Lattice(vocabulary)
+    text = "the old house"
+    batch = sentencepieces._Batch([text], sentencepieces.mixed(np.arange(1, dtype=np.uint64)), lattice)
+    plain, seen = sentencepieces._ids, []
+
+    def damaged(*args):
+        ids, many = plain(*args)
+        seen.append(ids.copy())
+        return (ids if len(seen) == 1 else ids[::-1]), many
+
+    monkeypatch.setattr(sentencepieces, "_ids", damaged)
+    _, same = sentencepieces._segmented(batch, [text], 2, vocabulary, False)
+    assert len(seen) == 2 and not same[0]
+
+
 def test_sampling_distribution(vocabulary):
     """Ordered samples of a small text occur as often as drawing without replacement makes them."""
     weight = {
