@@ -346,3 +346,18 @@ def test_nested_columns_weigh(spark):
         assert not fits(spark.range(10).select(column.alias("v")), 100)
     assert fits(spark.range(10).select(F.array("id").alias("v"), "id"), 100)
     assert not fits(spark.range(11), 10)
+
+
+def test_days_of_a_store_are_written_by_several_tasks(spark, small, tmp_path):
+    """A day's rows do not all go to one task, and stay the same rows."""
+    events = events_log(spark, small)
+    store = tm.SequenceStore(spark, str(tmp_path / "store"))
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store.add(events)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+    files = [len(list(day.glob("*.parquet"))) for day in (tmp_path / "store" / "steps").glob("date=*")]
+    assert max(files) > 1
+    assert store.sequence().count() == tm.user_sequence(events).count()

@@ -23,6 +23,9 @@ from trailmark.operators.paths import (
 from trailmark.operators.steps import step_metrics
 from trailmark.plans.sequence import public_sequence
 
+# Tasks that write the rows of one day, and the files it has at most.
+FILES_OF_DAY = 8
+
 
 class SequenceStore:
     """The enriched sequence of some flows in tables below `path`, extended by `add`.
@@ -88,16 +91,20 @@ class SequenceStore:
     def _replace(self, name: str, rows: DataFrame, touched: DataFrame) -> list[dt.date]:
         """Write the days of `rows`, and those on which `touched` sessions were stored before."""
         stored, rows = self._table(name), frozen(rows)
-        days = {row[0] for row in rows.select("date").distinct().collect()}
+        left = {row[0] for row in rows.select("date").distinct().collect()}
+        days = set(left)
         if stored is not None:
             before = stored.join(touched, "SessionId", "left_semi").select("date").distinct()
             days |= {row[0] for row in before.collect()}
             others = stored.filter(F.col("date").isin(list(days)))
             others = others.join(touched, "SessionId", "left_anti")
             # The files below are replaced: what is kept of them is written elsewhere first.
-            rows = frozen(rows.unionByName(others.select(rows.columns)))
-        left = {row[0] for row in rows.select("date").distinct().collect()}
-        writer = rows.repartition("date").write.mode("overwrite").partitionBy("date")
+            others = frozen(others.select(rows.columns))
+            left |= {row[0] for row in others.select("date").distinct().collect()}
+            rows = rows.unionByName(others)
+        # A day is written by several tasks, however large it is.
+        part = F.pmod(F.xxhash64("SessionId"), F.lit(FILES_OF_DAY))
+        writer = rows.repartition("date", part).write.mode("overwrite").partitionBy("date")
         writer.option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/{name}")
         for day in days - left:
             self._delete(f"{name}/date={day}")
