@@ -19,7 +19,7 @@ BROADCAST_IDS = 1_000_000
 
 def _sizes(text: str | None) -> tuple[int, int]:
     words = words_of(text)
-    return len(words), sum(len(w.decode("utf-8", "surrogatepass")) for w in words)
+    return len(words), len(b"".join(words).decode("utf-8", "surrogatepass"))
 
 
 def classify(
